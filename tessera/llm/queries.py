@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact, shards
+from . import chat, exact, shards, simhash, tokenfile
 from .common import read_table
 
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
@@ -17,6 +17,10 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_chats(rows.unionByName(probe)))
 
 
+def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(read_table(spark, sf_dir, "documents"))
 
@@ -25,7 +29,14 @@ def op6_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.kd_shards(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op5_exact_dedup, op6_kd_shards)}
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    files = tokenfile.write_token_files(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return tokenfile.read_token_files(files)
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_format, op3_simhash_dedup, op5_exact_dedup, op6_kd_shards, op9_token_files)}
 
 ORACLE = {
     "op1_chat_format": r"""
