@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact, shards, simhash, tokenfile
+from . import chat, contamination, exact, shards, simhash, tokenfile
 from .common import read_table
 
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
@@ -17,6 +17,10 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_chats(rows.unionByName(probe)))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -36,7 +40,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_token_files(files)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op3_simhash_dedup, op5_exact_dedup, op6_kd_shards, op9_token_files)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_decontaminate, op3_simhash_dedup, op5_exact_dedup, op6_kd_shards, op9_token_files)}
 
 ORACLE = {
     "op1_chat_format": r"""
@@ -55,6 +59,28 @@ select conv_id, count(*) as n_turns,
   sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
   sum(n_text + case when opens then 12 + n_role + 1 + 11 else 10 end)::bigint as formatted_chars
 from e group by conv_id
+""",
+    "op2_decontaminate": r"""
+with d as (
+  select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents
+), b as (
+  select item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark
+), win as (
+  select distinct item_id, array_to_string(w[i:i+7], ' ') as phrase, least(8, len(w)) as k
+  from (select *, unnest(range(1, greatest(1, len(w) - 7) + 1)) as i from b where len(w) > 0)
+), sizes as (select distinct k from win
+), pos as (
+  select doc_id, i, k, array_to_string(w[i:i+k-1], ' ') as phrase
+  from (select doc_id, w, k, unnest(range(1, len(w) - k + 2)) as i from d, sizes where len(w) >= k)
+), occ as (select doc_id, i, win.k, item_id from pos join win on pos.phrase = win.phrase and pos.k = win.k
+), hit as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + k)) as p from occ) group by doc_id
+), its as (
+  select doc_id, count(*) as n_items, string_agg(s, ',' order by s) as listed
+  from (select distinct doc_id, item_id::varchar as s from occ) group by doc_id
+)
+select d.doc_id, coalesce(len(w), 0)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+  sha256(coalesce(listed, '')) as items_sha256, coalesce(n_items, 0) >= 2 as contaminated
+from d left join hit using (doc_id) left join its using (doc_id)
 """,
     "op5_exact_dedup": r"""
 with d as (
