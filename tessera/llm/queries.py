@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, contamination, exact, shards, simhash, tokenfile
+from . import chat, contamination, exact, langid, mixing, shards, simhash, tokenfile
 from .common import read_table
 
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
@@ -33,6 +33,17 @@ def op6_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.kd_shards(read_table(spark, sf_dir, "documents"))
 
 
+def op7_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    rows = mixing.mixed(docs, mixing.plan(docs, max_repeats=2.0))
+    return rows.select("doc_id", "source", F.col("_epoch").alias("epoch"), F.col("_block").alias("block"), F.col("_order").alias("block_order"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.train(docs, usable=langid.learnable()))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -40,7 +51,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_token_files(files)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_decontaminate, op3_simhash_dedup, op5_exact_dedup, op6_kd_shards, op9_token_files)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_decontaminate, op3_simhash_dedup, op5_exact_dedup, op6_kd_shards, op7_temperature_mix, op8_language_id, op9_token_files)}
 
 ORACLE = {
     "op1_chat_format": r"""
