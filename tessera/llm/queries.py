@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, contamination, exact, langid, mixing, shards, simhash, tokenfile
+from . import chat, contamination, exact, htmltext, langid, mixing, secretscan, shards, simhash, tokenfile
 from .common import read_table
 
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
@@ -25,6 +25,10 @@ def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(read_table(spark, sf_dir, "pages"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(read_table(spark, sf_dir, "documents"))
 
@@ -51,7 +55,11 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_token_files(files)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_decontaminate, op3_simhash_dedup, op5_exact_dedup, op6_kd_shards, op7_temperature_mix, op8_language_id, op9_token_files)}
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secretscan.scan(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_decontaminate, op3_simhash_dedup, op4_html_text, op5_exact_dedup, op6_kd_shards, op7_temperature_mix, op8_language_id, op9_token_files, op10_secret_scan)}
 
 ORACLE = {
     "op1_chat_format": r"""
