@@ -6,20 +6,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from ..paths import scratch
+
 ROW = "_row"
 BUCKET = 1 << 16
 
 
 def number_rows(df: DataFrame, *keys: str | Column) -> DataFrame:
     """Add _row: dense positions from 0 in key order. Rows are range-partitioned and sorted in place; each partition's
-    first position is the count of those before it."""
+    first position is the count of those before it. The partitions are written once, because the sampled bounds of a
+    range partitioning differ from run to run."""
     order = [F.col(k).asc_nulls_last() if isinstance(k, str) else k for k in keys]
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
-    part = F.shiftright("_at", 33)
-    counts = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = scratch(spark, "rows")
+    df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()).write.parquet(path)
+    placed = spark.read.parquet(path).withColumn("_part", F.shiftright("_at", 33))
+    counts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     starts = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
-    return placed.withColumn("_part", part).join(starts, "_part").withColumn(ROW, (F.col("_start") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).cast("long")).drop("_part", "_start", "_at")
+    return placed.join(starts, "_part").withColumn(ROW, (F.col("_start") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).cast("long")).drop("_part", "_start", "_at")
 
 
 def running(df: DataFrame, sums: dict[str, Column], bucket: int = BUCKET) -> DataFrame:

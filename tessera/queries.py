@@ -1,2 +1,729 @@
-QUERIES: dict = {}
-ORACLE: dict = {}
+"""One query per operator over the star schema, and the same result as DuckDB SQL."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .operators import aggregates, arrays, lookups, view
+from .operators.sheet import Sheet, Workbook, cell_val
+from .operators.view import Compare, Contains, Empty, FormatRule, NonEmpty, Values, View
+from .plans.rows import ROW, number_rows
+from .shipping import ready_for_python
+from .sources import delimited, paged
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+#: Unique keys in whose order a table's rows are numbered.
+KEYS = {"region": ["r_regionkey"], "nation": ["n_nationkey"], "customer": ["c_custkey"], "supplier": ["s_suppkey"], "part": ["p_partkey"], "orders": ["o_orderkey"], "events": ["event_id"], "documents": ["doc_id"]}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def sheet(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    df = table(spark, sf_dir, name)
+    return number_rows(df.select(*dict.fromkeys([*KEYS[name], *columns])) if columns else df, *KEYS[name])
+
+
+def numbered(name: str) -> str:
+    return f"(select *, row_number() over (order by {', '.join(KEYS[name])}) - 1 as _row from {name})"
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def keep(f):
+        QUERIES[name or f.__name__] = f
+        if sql:
+            ORACLE[name or f.__name__] = sql
+        return f
+
+    return keep
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.select(*[(F.round(F.col(c), digits) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+# views
+
+FILTERS = {
+    "filter_contains": ("part", "p_type", Contains("steel"), "contains(lower(p_type), 'steel')"),
+    "filter_contains_case": ("part", "p_type", Contains("BRASS", match_case=True), "contains(p_type, 'BRASS')"),
+    "filter_contains_number": ("customer", "c_custkey", Contains("12"), "contains(c_custkey::varchar, '12')"),
+    "filter_values": ("customer", "c_mktsegment", Values(("BUILDING", "MACHINERY")), "c_mktsegment in ('BUILDING', 'MACHINERY')"),
+    "filter_values_null": ("customer", "c_mktsegment", Values(("BUILDING", None)), "c_mktsegment = 'BUILDING' or c_mktsegment is null"),
+    **{f"filter_compare_{o}": ("orders", "o_totalprice", Compare(o, 150000.0), f"o_totalprice {s} 150000") for o, s in (("gt", ">"), ("gte", ">="), ("lt", "<"), ("lte", "<="), ("eq", "="), ("neq", "<>"))},
+    "filter_empty": ("customer", "c_mktsegment", Empty(), "c_mktsegment is null"),
+    "filter_nonempty": ("customer", "c_mktsegment", NonEmpty(), "c_mktsegment is not null"),
+}
+for _name, (_t, _c, _f, _w) in FILTERS.items():
+    query(f"select {KEYS[_t][0]}, {_c} from {_t} where {_w}" if KEYS[_t][0] != _c else f"select {_c} from {_t} where {_w}", _name)(lambda s, d, t=_t, c=_c, f=_f: (df := table(s, d, t)).where(f.predicate(df, c)).select(*dict.fromkeys([KEYS[t][0], c])))
+
+
+@query("select o_orderkey, o_totalprice, o_orderstatus from orders where o_orderstatus = 'F' and o_totalprice > 100000 and contains(lower(o_orderpriority), 'urgent')")
+def filter_multi_and(spark, sf_dir):
+    df = table(spark, sf_dir, "orders")
+    v = View({"o_orderstatus": Values(("F",)), "o_totalprice": Compare("gt", 100000.0), "o_orderpriority": Contains("Urgent")})
+    return v.rows(df).select("o_orderkey", "o_totalprice", "o_orderstatus")
+
+
+@query(f"select n_nationkey, _row from {numbered('nation')} where _row not in (3, 5, 7)")
+def hide_rows(spark, sf_dir):
+    return View(hidden=(3, 5, 7)).rows(sheet(spark, sf_dir, "nation")).select("n_nationkey", ROW)
+
+
+@query(f"select o_orderkey from {numbered('orders')} where _row not in (select _row from {numbered('orders')} where o_orderstatus = 'O')")
+def hide_rows_table(spark, sf_dir):
+    df = sheet(spark, sf_dir, "orders", "o_orderstatus")
+    return view.hide_rows(df, df.where("o_orderstatus = 'O'")).select("o_orderkey")
+
+
+@query(f"select n_nationkey, _row from {numbered('nation')} where not (_row between 4 and 9)")
+def collapse_group(spark, sf_dir):
+    return View(collapsed=((4, 9),)).rows(sheet(spark, sf_dir, "nation")).select("n_nationkey", ROW)
+
+
+@query(f"select n_nationkey from {numbered('nation')} where _row not in (1, 2) and not (_row between 10 and 12)")
+def clear_view(spark, sf_dir):
+    v = View({"n_name": Contains("A")}, (("n_name", True),), hidden=(1, 2), collapsed=((10, 12),))
+    return v.cleared().rows(sheet(spark, sf_dir, "nation")).select("n_nationkey")
+
+
+@query("select count(*) as view_rows from customer where c_acctbal > 5000")
+def view_row_count(spark, sf_dir):
+    return View({"c_acctbal": Compare("gt", 5000.0)}).count(table(spark, sf_dir, "customer"))
+
+
+def _sorted(name: str, t: str, keys: tuple, order: str):
+    @query(f"select {KEYS[t][0]}, row_number() over (order by {order}, _row) - 1 as _view from {numbered(t)}", name)
+    def run(spark, sf_dir):
+        cols = [c for c, _ in keys]
+        return View(sort=keys).positions(sheet(spark, sf_dir, t, *cols)).select(KEYS[t][0], "_view")
+
+
+_sorted("sort_single_asc", "orders", (("o_totalprice", False),), "o_totalprice asc nulls last")
+_sorted("sort_single_desc", "orders", (("o_totalprice", True),), "o_totalprice desc nulls first")
+_sorted("sort_text", "customer", (("c_mktsegment", False),), "c_mktsegment asc nulls last")
+_sorted("sort_multi", "customer", (("c_mktsegment", True), ("c_acctbal", False)), "c_mktsegment desc nulls first, c_acctbal asc nulls last")
+
+
+@query(f"select _row, row_number() over (order by c_acctbal desc nulls first, _row) - 1 as _view from {numbered('customer')} where c_mktsegment = 'BUILDING'")
+def view_mapping(spark, sf_dir):
+    v = View({"c_mktsegment": Values(("BUILDING",))}, (("c_acctbal", True),))
+    return v.positions(sheet(spark, sf_dir, "customer", "c_mktsegment", "c_acctbal")).select(ROW, "_view")
+
+
+@query("select * from (select l_orderkey, l_partkey, l_extendedprice, l_quantity from lineitem where l_returnflag = 'R' and l_quantity >= 25 order by l_extendedprice desc, l_orderkey, l_partkey, l_quantity limit 100)")
+def view_filter_sort_take(spark, sf_dir):
+    df = table(spark, sf_dir, "lineitem")
+    kept = View({"l_returnflag": Values(("R",)), "l_quantity": Compare("gte", 25.0)}).rows(df)
+    return kept.select("l_orderkey", "l_partkey", "l_extendedprice", "l_quantity").orderBy(F.col("l_extendedprice").desc_nulls_first(), "l_orderkey", "l_partkey", "l_quantity").limit(100)
+
+
+@query("select sum(l_quantity)::double as sum_value, round(avg(l_quantity), 6) as avg_value, min(l_quantity) as min_value, max(l_quantity) as max_value, count(l_quantity)::double as count_value from lineitem")
+def agg_column(spark, sf_dir):
+    return rounded(view.column_aggregate(table(spark, sf_dir, "lineitem"), "l_quantity", "sum", "avg", "min", "max", "count"))
+
+
+for _op, _sql in (("sum", "round(sum(o_totalprice), 2)"), ("avg", "round(avg(o_totalprice), 4)"), ("min", "min(o_totalprice)"), ("max", "max(o_totalprice)"), ("count", "count(o_totalprice)::double")):
+    query(f"select {_sql} as {_op}_value from orders", f"agg_{_op}")(lambda s, d, o=_op: rounded(view.column_aggregate(table(s, d, "orders"), "o_totalprice", o), 2 if o == "sum" else 4))
+
+
+@query(f"select c_mktsegment as value, min(_row) as first_row from {numbered('customer')} group by 1")
+def distinct_values(spark, sf_dir):
+    return view.distinct_values(sheet(spark, sf_dir, "customer", "c_mktsegment"), "c_mktsegment")
+
+
+@query(f"select _row, col from (select _row, 0::int as col, c_name as s from {numbered('customer')} union all select _row, 1::int, c_mktsegment from {numbered('customer')}) where contains(lower(s), 'er')")
+def search_cells(spark, sf_dir):
+    return view.search(sheet(spark, sf_dir, "customer", "c_name", "c_mktsegment"), "ER", ["c_name", "c_mktsegment"])
+
+
+@query(f"select _row, 0::int as col from {numbered('customer')} where lower(c_mktsegment) = 'building'")
+def search_whole_cell(spark, sf_dir):
+    return view.search(sheet(spark, sf_dir, "customer", "c_mktsegment"), "Building", ["c_mktsegment"], whole=True)
+
+
+@query("select p_partkey, regexp_replace(p_type, 'steel', 'IRON', 'gi') as p_type from part")
+def replace_text(spark, sf_dir):
+    return view.replace_text(table(spark, sf_dir, "part").select("p_partkey", "p_type"), "p_type", "steel", "IRON")
+
+
+@query(f"""with b as (select _row, case when p_size > 10 then p_size end as v from {numbered('part')}), n as (
+  select _row, v, min(case when v is null then _row end) over w as n0, min(case when v is not null then _row end) over w as n1, max(_row) over () as last
+  from b window w as (order by _row rows between 1 following and unbounded following))
+select _row, case when v is not null and coalesce(n0 - 1, last) > _row then coalesce(n0 - 1, last) else coalesce(n1, last) end as edge from n""")
+def data_edge(spark, sf_dir):
+    df = sheet(spark, sf_dir, "part", "p_size").withColumn("v", F.when(F.col("p_size") > 10, F.col("p_size")))
+    return view.data_edges(df, "v")
+
+
+@query("""select o_orderkey, (case when o_totalprice > 200000 then 1 else 0 end
+  + case when o_totalprice < 50000 then 2 else 0 end + case when o_orderstatus = 'F' and not (o_totalprice < 50000) then 4 else 0 end
+  + case when contains(lower(o_orderpriority), 'high') and not (o_totalprice < 50000) then 8 else 0 end)::bigint as mask from orders""")
+def cond_format_mask(spark, sf_dir):
+    df = table(spark, sf_dir, "orders")
+    rules = [FormatRule(F.col("o_totalprice") > 200000), FormatRule(F.col("o_totalprice") < 50000, stop=True), FormatRule(F.col("o_orderstatus") == "F"), FormatRule(Contains("high").predicate(df, "o_orderpriority"))]
+    return view.format_mask(df, rules).select("o_orderkey", "mask")
+
+
+@query("""select c_custkey, c_mktsegment in ('BUILDING', 'MACHINERY') or c_mktsegment is null as ok_list, c_acctbal between 0 and 5000 or c_acctbal is null as ok_number,
+  c_acctbal is null or (c_acctbal >= 0 and c_acctbal = floor(c_acctbal)) as ok_integer, c_mktsegment is null or length(c_mktsegment) > 8 as ok_length, false as ok_checkbox from customer""")
+def validate(spark, sf_dir):
+    df = table(spark, sf_dir, "customer")
+    return df.select(
+        "c_custkey",
+        view.validation(df, "c_mktsegment", "list", options=("BUILDING", "MACHINERY")).alias("ok_list"),
+        view.validation(df, "c_acctbal", "number", low=0, high=5000).alias("ok_number"),
+        view.validation(df, "c_acctbal", "number", op="gte", low=0, integer=True).alias("ok_integer"),
+        view.validation(df, "c_mktsegment", "textLength", op="gt", low=8).alias("ok_length"),
+        view.validation(df, "c_mktsegment", "checkbox").alias("ok_checkbox"),
+    )
+
+
+@query("select o_orderkey, o_orderdate >= timestamp '1995-01-01' as ok_date from orders")
+def validate_date(spark, sf_dir):
+    df = table(spark, sf_dir, "orders")
+    return df.select("o_orderkey", view.validation(df, "o_orderdate", "date", op="gte", low=34700.0).alias("ok_date"))
+
+
+# formulas over the rows of a table
+
+def formulas(name: str, t: str, made: dict[str, str], sql: dict[str, str], where: str = "true", digits: int = 6, python: bool = False):
+    """made: output -> formula; sql: output -> expression (an output <o>_err takes the error code)."""
+    key = KEYS[t][0]
+
+    @query(f"select {key}, {', '.join(f'{e} as {o}' for o, e in sql.items())} from {t} where {where}", name)
+    def run(spark, sf_dir):
+        if python:
+            ready_for_python(spark)
+        df = table(spark, sf_dir, t).where(where)
+        book = Workbook({"S": Sheet(df.withColumn(ROW, F.col(key)), list(df.columns))})
+        for o, f in made.items():
+            book = book.with_formula("S", o, f)
+        return rounded(book.sheets["S"].df.select(key, *sql), digits)
+
+
+def r6(x: str) -> str:
+    return f"round({x}, 6) + 0.0"
+
+
+def half_away(x: str, digits: int) -> str:
+    a = f"abs({x}) * {10.0**digits!r}" if digits >= 0 else f"abs({x}) / {10.0**-digits!r}"
+    back = f"/ {10.0**digits!r}" if digits >= 0 else f"* {10.0**-digits!r}"
+    return f"round(sign({x}) * (floor({a}) + case when {a} - floor({a}) >= 0.5 then 1 else 0 end) {back}, 6)"
+
+
+_X = "(c_acctbal)"
+formulas(
+    "math_basic", "customer",
+    {"a": "=ABS([@c_acctbal])", "b": "=SIGN([@c_acctbal])", "c": "=INT([@c_acctbal])", "d": "=SQRT([@c_acctbal])", "e": "=EXP([@c_acctbal]/10000)", "f": "=LN([@c_acctbal])", "g": "=LOG10([@c_acctbal])", "h": "=LOG([@c_acctbal],2)", "i": "=PI()*2"},
+    {"a": f"abs{_X}", "b": f"sign{_X}::double", "c": f"floor{_X}", "d": r6("case when c_acctbal >= 0 then sqrt(c_acctbal) end"), "d_err": "case when c_acctbal < 0 then '#NUM!' end", "e": r6("exp(c_acctbal / 10000)"), "f": r6("case when c_acctbal > 0 then ln(c_acctbal) end"), "f_err": "case when c_acctbal <= 0 then '#NUM!' end", "g": r6("case when c_acctbal > 0 then log10(c_acctbal) end"), "h": r6("case when c_acctbal > 0 then ln(c_acctbal) / ln(2) end"), "i": r6("pi() * 2")},
+)
+formulas(
+    "math_round", "customer",
+    {"a": "=ROUND([@c_acctbal],1)", "b": "=ROUND([@c_acctbal],-2)", "c": "=ROUNDUP([@c_acctbal],0)", "d": "=ROUNDDOWN([@c_acctbal],1)", "e": "=TRUNC([@c_acctbal])", "f": "=FLOOR([@c_acctbal],7)", "g": "=CEILING([@c_acctbal],7)", "h": "=MROUND([@c_acctbal],IF([@c_acctbal]<0,-5,5))", "i": "=EVEN([@c_acctbal])", "j": "=ODD([@c_acctbal])"},
+    {"a": half_away("c_acctbal", 1), "b": half_away("c_acctbal", -2), "c": r6("sign(c_acctbal) * ceil(abs(c_acctbal))"), "d": r6("sign(c_acctbal) * floor(abs(c_acctbal) * 10.0) / 10.0"), "e": r6("trunc(c_acctbal)"), "f": r6("floor(c_acctbal / 7) * 7"), "g": r6("ceil(c_acctbal / 7) * 7"), "h": r6("sign(c_acctbal) * floor(abs(c_acctbal) / 5 + 0.5) * 5"),
+     "i": r6("sign(c_acctbal) * 2 * ceil(abs(c_acctbal) / 2)"), "j": r6("case when c_acctbal < 0 then -1 else 1 end * (2 * ceil((ceil(abs(c_acctbal)) - 1) / 2) + 1)")},
+)
+formulas(
+    "math_two", "part",
+    {"a": "=MOD([@p_retailprice],-7)", "b": "=POWER([@p_size],3)", "c": "=QUOTIENT([@p_retailprice],[@p_size]-25)", "d": "=[@p_size]^-1", "e": "=[@p_retailprice]/([@p_size]-10)", "f": "=MOD([@p_size],0)"},
+    {"a": r6("p_retailprice + 7 * floor(p_retailprice / -7)"), "b": r6("pow(p_size, 3)"), "c": r6("case when p_size <> 25 then trunc(p_retailprice / (p_size - 25)) end"), "c_err": "case when p_size = 25 then '#DIV/0!' end", "d": r6("1.0 / p_size"), "e": r6("case when p_size <> 10 then p_retailprice / (p_size - 10) end"), "e_err": "case when p_size = 10 then '#DIV/0!' end", "f": "null::double", "f_err": "'#DIV/0!'"},
+)
+formulas(
+    "op_arithmetic", "part",
+    {"a": "=-2^2+[@p_size]*10%", "b": "=2^3^2-[@p_size]/4", "c": '="n"&[@p_size]&"/"&1.5', "d": "=[@p_size]>25", "e": '=[@p_type]="promo brushed steel"', "f": '=[@p_size]<"a"', "g": "=(1+2)*3-[@p_size]", "h": "=TRUE+[@p_size]"},
+    {"a": r6("4 + p_size * 0.1"), "b": r6("64 - p_size / 4.0"), "c": "'n' || p_size || '/1.5'", "d": "p_size > 25", "e": "lower(p_type) = 'promo brushed steel'", "f": "true", "g": r6("9 - p_size"), "h": r6("1 + p_size")},
+)
+formulas(
+    "logic_if", "part",
+    {"a": '=IF([@p_size]>25,"big","small")', "b": "=IF([@p_size]>25,1)", "c": '=IFERROR(1/([@p_size]-10),"none")', "d": '=IFS([@p_size]<10,"s",[@p_size]<30,"m",TRUE,"l")', "e": '=SWITCH([@p_size],1,"one",2,"two","many")', "f": '=CHOOSE(MOD([@p_size],3)+1,"x","y","z")', "g": "=AND([@p_size]>5,[@p_size]<20)", "h": "=OR([@p_size]>45,[@p_size]<5)", "i": "=XOR([@p_size]>10,[@p_size]>20)", "j": "=NOT([@p_size]>10)", "k": '=IFNA(IF([@p_size]=7,NA(),[@p_size]),-1)', "l": "=SWITCH([@p_size],1,10,2,20)"},
+    {"a": "case when p_size > 25 then 'big' else 'small' end", "b": "case when p_size > 25 then 1.0 else 0.0 end", "c": "case when p_size = 10 then 'none' else 'x' end", "d": "case when p_size < 10 then 's' when p_size < 30 then 'm' else 'l' end", "e": "case p_size when 1 then 'one' when 2 then 'two' else 'many' end", "f": "['x', 'y', 'z'][p_size % 3 + 1]", "g": "p_size > 5 and p_size < 20", "h": "p_size > 45 or p_size < 5", "i": "(p_size > 10) <> (p_size > 20)", "j": "not (p_size > 10)", "k": "case when p_size = 7 then -1.0 else p_size::double end", "l": "case p_size when 1 then 10.0 when 2 then 20.0 end", "l_err": "case when p_size not in (1, 2) then '#N/A' end"},
+)
+# a division's text form is no SQL matter, so the recovered branch is compared alone
+_inner = QUERIES["logic_if"]
+QUERIES["logic_if"] = lambda s, d: _inner(s, d).withColumn("c", F.when(F.col("c") == "none", F.col("c")).otherwise(F.lit("x")))
+formulas(
+    "logic_info", "customer",
+    {"a": "=ISBLANK([@c_mktsegment])", "b": "=ISNUMBER([@c_acctbal])", "c": "=ISTEXT([@c_mktsegment])", "d": "=ISLOGICAL([@c_acctbal]>0)", "e": "=ISERROR(LN([@c_acctbal]))", "f": "=ISERR(LN([@c_acctbal]))", "g": "=ISNA(LN([@c_acctbal]))", "h": "=TYPE([@c_mktsegment])", "i": "=N([@c_acctbal]>0)", "j": "=T([@c_mktsegment])", "k": "=TYPE(1/0)", "l": "=ISNA(NA())", "m": "=TRUE()", "n": "=FALSE()"},
+    {"a": "c_mktsegment is null", "b": "c_acctbal is not null", "c": "c_mktsegment is not null", "d": "true", "e": "c_acctbal <= 0", "f": "c_acctbal <= 0", "g": "false", "h": "case when c_mktsegment is null then 1.0 else 2.0 end", "i": "case when c_acctbal > 0 then 1.0 else 0.0 end", "j": "coalesce(c_mktsegment, '')", "k": "16.0", "l": "true", "m": "true", "n": "false"},
+)
+formulas("let_binding", "part", {"a": "=LET(x,[@p_size],y,x*2,unused,1/0,x+y)"}, {"a": "p_size * 3.0"})
+formulas("address_row_column", "part", {"a": "=ADDRESS([@p_partkey]+1,[@p_size])", "b": "=ADDRESS([@p_partkey]+1,[@p_size],4)", "c": '=ADDRESS([@p_partkey]+1,[@p_size],1,FALSE,"My Sheet")', "d": "=COLUMN([@p_size])", "e": "=COLUMNS(S[[p_partkey]:[p_size]])"},
+         {"a": "'$' || case when p_size <= 26 then chr(64 + p_size) else chr(64 + (p_size - 1) // 26) || chr(65 + (p_size - 1) % 26) end || '$' || (p_partkey + 1)", "b": "case when p_size <= 26 then chr(64 + p_size) else chr(64 + (p_size - 1) // 26) || chr(65 + (p_size - 1) % 26) end || (p_partkey + 1)", "c": "'''My Sheet''!R' || (p_partkey + 1) || 'C' || p_size", "d": "5.0", "e": "5.0"})
+formulas(
+    "text_basic", "part",
+    {"a": "=LEN([@p_type])", "b": "=LEFT([@p_type],3)", "c": "=RIGHT([@p_type],4)", "d": "=MID([@p_type],3,5)", "e": "=UPPER([@p_name])", "f": "=LOWER([@p_type])", "g": '=TRIM("  a   b "&[@p_size])', "h": '=CLEAN("x"&CHAR(7)&[@p_size])', "i": '=EXACT([@p_type],LOWER([@p_type]))', "j": '=CONCAT([@p_brand],"-",[@p_size],TRUE)', "k": '=TEXTJOIN(", ",TRUE,[@p_brand],"",[@p_type])', "l": '=REPT("ab",MOD([@p_size],4))', "m": "=LEFT([@p_type])"},
+    {"a": "length(p_type)::double", "b": "left(p_type, 3)", "c": "right(p_type, 4)", "d": "substring(p_type, 3, 5)", "e": "upper(p_name)", "f": "lower(p_type)", "g": "'a b ' || p_size", "h": "'x' || p_size", "i": "p_type = lower(p_type)", "j": "p_brand || '-' || p_size || 'TRUE'", "k": "p_brand || ', ' || p_type", "l": "repeat('ab', (p_size % 4)::bigint)", "m": "left(p_type, 1)"},
+)
+formulas(
+    "text_edit", "part",
+    {"a": '=SUBSTITUTE([@p_type]," ","_")', "b": '=SUBSTITUTE([@p_type]," ","_",2)', "c": '=REPLACE([@p_type],2,3,"###")', "d": '=FIND(" ",[@p_type])', "e": '=FIND(" ",[@p_type],FIND(" ",[@p_type])+1)', "f": '=SEARCH("s?e",[@p_type])', "g": '=FIND("zzz",[@p_type])', "h": "=REPLACE([@p_type],99,1,\"x\")"},
+    {"a": "replace(p_type, ' ', '_')", "b": "regexp_replace(p_type, '^([^ ]* [^ ]*) ', '\\1_')", "c": "left(p_type, 1) || '###' || substring(p_type, 5)", "d": "case when instr(p_type, ' ') > 0 then instr(p_type, ' ')::double end", "d_err": "case when instr(p_type, ' ') = 0 then '#VALUE!' end", "e": "case when instr(substring(p_type, instr(p_type, ' ') + 1), ' ') > 0 and instr(p_type, ' ') > 0 then (instr(p_type, ' ') + instr(substring(p_type, instr(p_type, ' ') + 1), ' '))::double end",
+     "f": "case when regexp_matches(p_type, '(?is)s.e') then (length(regexp_extract(p_type, '(?is)^(.*?)s.e', 1)) + 1)::double end", "f_err": "case when not regexp_matches(p_type, '(?is)s.e') then '#VALUE!' end", "g": "null::double", "g_err": "'#VALUE!'", "h": "null::varchar", "h_err": "'#VALUE!'"},
+)
+formulas(
+    "text_codes", "part",
+    {"a": "=CODE([@p_type])", "b": "=CHAR(64+MOD([@p_size],26)+1)", "c": "=UNICODE([@p_name])", "d": "=UNICHAR(945+MOD([@p_size],20))", "e": "=PROPER([@p_type])", "f": '=VALUE([@p_size]&".50")', "g": '=NUMBERVALUE([@p_size]&".000,5",",",".")', "h": '=VALUE([@p_size]&"%")', "i": '=TEXT([@p_retailprice],"0.0")', "j": '=TEXT([@p_size],"0")', "k": "=CHAR(0)", "l": '=VALUE("abc")', "m": '="v="&[@p_retailprice]'},
+    {"a": "ascii(p_type)::double", "b": "chr(65 + p_size % 26)", "c": "ascii(p_name)::double", "d": "chr(945 + p_size % 20)", "e": "array_to_string(list_transform(string_split(p_type, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ')", "f": "p_size + 0.5::double", "g": "p_size * 1000 + 0.5::double", "h": r6("p_size / 100.0::double"), "i": "printf('%.1f', p_retailprice)", "j": "p_size::varchar", "k": "null::varchar", "k_err": "'#VALUE!'", "l": "null::double", "l_err": "'#VALUE!'", "m": "'v=' || case when p_retailprice = floor(p_retailprice) then p_retailprice::bigint::varchar else p_retailprice::varchar end"},
+    python=True,
+)
+_S = "(o_orderdate::date - date '1899-12-30')"
+_D = "o_orderdate::date"
+formulas(
+    "date_parts", "orders",
+    {"a": "=INT([@o_orderdate])", "b": "=YEAR([@o_orderdate])", "c": "=MONTH([@o_orderdate])", "d": "=DAY([@o_orderdate])", "e": "=DATE(YEAR([@o_orderdate]),MONTH([@o_orderdate])+13,DAY([@o_orderdate]))", "f": "=EDATE([@o_orderdate],1)", "g": "=EOMONTH([@o_orderdate],-2)", "h": "=WEEKDAY([@o_orderdate])", "i": "=WEEKDAY([@o_orderdate],2)", "j": "=WEEKNUM([@o_orderdate])", "k": "=WEEKNUM([@o_orderdate],21)", "l": '=TEXT([@o_orderdate],"yyyy-mm-dd")', "m": '=DAYS([@o_orderdate],"1992-01-01")'},
+    {"a": f"{_S}::double", "b": "year(o_orderdate)::double", "c": "month(o_orderdate)::double", "d": "day(o_orderdate)::double", "e": f"((date_trunc('month', {_D}) + interval 13 month)::date - date '1899-12-30' + day(o_orderdate) - 1)::double", "f": f"(({_D} + interval 1 month)::date - date '1899-12-30')::double", "g": f"(last_day(({_D} - interval 2 month)::date) - date '1899-12-30')::double", "h": "(dayofweek(o_orderdate) + 1)::double", "i": "isodow(o_orderdate)::double", "j": f"((({_D} - date_trunc('year', {_D})::date) + dayofweek(date_trunc('year', {_D}))) // 7 + 1)::double", "k": "weekofyear(o_orderdate)::double", "l": "strftime(o_orderdate, '%Y-%m-%d')", "m": f"({_D} - date '1992-01-01')::double"},
+)
+formulas(
+    "date_work", "orders",
+    {"a": "=NETWORKDAYS([@o_orderdate],[@o_orderdate]+45)", "b": "=WORKDAY([@o_orderdate],5)", "c": '=NETWORKDAYS([@o_orderdate],[@o_orderdate]+30,"1995-12-25")', "d": "=WORKDAY([@o_orderdate],-3)"},
+    {"a": f"len(list_filter(range(0, 46), lambda i: isodow({_D} + i::int) < 6))::double", "b": f"({_S} + list_filter(range(1, 16), lambda i: isodow({_D} + i::int) < 6)[5])::double", "c": f"(len(list_filter(range(0, 31), lambda i: isodow({_D} + i::int) < 6)) - case when date '1995-12-25' between {_D} and {_D} + 30 then 1 else 0 end)::double", "d": f"({_S} - list_filter(range(1, 16), lambda i: isodow({_D} - i::int) < 6)[3])::double"},
+)
+formulas(
+    "date_fraction", "orders",
+    {"a": "=DAYS360([@o_orderdate],[@o_orderdate]+100,TRUE)", "b": "=YEARFRAC([@o_orderdate],[@o_orderdate]+100,2)", "c": "=YEARFRAC([@o_orderdate]+100,[@o_orderdate],3)", "d": "=YEARFRAC([@o_orderdate],[@o_orderdate]+1000,4)", "e": "=YEARFRAC([@o_orderdate],[@o_orderdate]+1000,1)"},
+    {"a": f"((year({_D} + 100) - year({_D})) * 360 + (month({_D} + 100) - month({_D})) * 30 + least(day({_D} + 100), 30) - least(day({_D}), 30))::double", "b": r6("100.0::double / 360"), "c": r6("-100.0::double / 365"), "d": r6(f"((year({_D} + 1000) - year({_D})) * 360 + (month({_D} + 1000) - month({_D})) * 30 + least(day({_D} + 1000), 30) - least(day({_D}), 30)) / 360.0::double"),
+     "e": r6(f"1000.0::double / ((make_date(year({_D} + 1000) + 1, 1, 1) - make_date(year({_D}), 1, 1)) / (year({_D} + 1000) - year({_D}) + 1.0::double))")},
+)
+formulas(
+    "date_text", "events",
+    {"a": '=DATEVALUE("2024-02-"&(MOD([@event_id],28)+1))', "b": '=TIMEVALUE(MOD([@event_id],24)&":30:15")', "c": "=TIME(MOD([@event_id],24),61,5)", "d": "=HOUR([@ts])", "e": "=MINUTE([@ts])", "f": "=SECOND([@ts])", "g": '=DATEVALUE("13/2/2024")', "h": '=TIMEVALUE("1:05 pm")', "i": '=DATEVALUE("2023-02-29")'},
+    {"a": "(45323 + event_id % 28)::double", "b": r6("((event_id % 24) * 3600 + 1815) / 86400.0::double"), "c": r6("(((event_id % 24) * 3600 + 3665) % 86400) / 86400.0::double"), "d": "hour(ts)::double", "e": "minute(ts)::double", "f": "second(ts)::double", "g": "45335.0::double", "h": r6("47100 / 86400.0::double"), "i": "null::double", "i_err": "'#VALUE!'"},
+)
+_R, _N, _P = "(0.002 + p_size / 10000.0::double)", "(12 + p_size)", "p_retailprice"
+_G = f"pow(1 + {_R}, {_N})"
+_A = f"(({_G} - 1) / {_R})"
+_M = f"(-({_P} * {_G}) / {_A})"
+_FR, _FN = "(0.002+[@p_size]/10000)", "(12+[@p_size])"
+_BAL = f"(-({_P} * pow(1 + {_R}, 2) + {_M} * ((pow(1 + {_R}, 2) - 1) / {_R})))"
+formulas(
+    "fin_annuity", "part",
+    {"a": f"=PV({_FR},{_FN},-50)", "b": f"=FV({_FR},{_FN},-50,[@p_retailprice])", "c": f"=PMT({_FR},{_FN},[@p_retailprice])", "d": f"=IPMT({_FR},3,{_FN},[@p_retailprice])", "e": f"=PPMT({_FR},3,{_FN},[@p_retailprice])", "f": f"=PMT(0,{_FN},[@p_retailprice])", "g": f"=NPV({_FR},100,200,[@p_size])", "h": f"=IPMT({_FR},999,{_FN},1)"},
+    {"a": r6(f"50 * {_A} / {_G}"), "b": r6(f"-({_P} * {_G} - 50 * {_A})"), "c": r6(_M), "d": r6(f"{_BAL} * {_R}"), "e": r6(f"{_M} - {_BAL} * {_R}"), "f": r6(f"-{_P} / {_N}"), "g": r6(f"100 / (1 + {_R}) + 200 / pow(1 + {_R}, 2) + p_size / pow(1 + {_R}, 3)"), "h": "null::double", "h_err": "'#NUM!'"},
+)
+formulas(
+    "fin_solver", "part",
+    {"a": "=RATE(2,-60-[@p_size],100)", "b": "=RATE(1,0,-100,100+[@p_size])"},
+    {"a": r6("(60 + p_size + sqrt(pow(60 + p_size, 2) + 400 * (60 + p_size))) / 200.0::double - 1"), "b": r6("p_size / 100.0::double")},
+    python=True,
+)
+
+
+@query("select p_partkey, round((60 + p_size + sqrt(pow(60 + p_size, 2) + 400 * (60 + p_size))) / 200.0::double - 1, 6) + 0.0 as irr from part")
+def fin_irr(spark, sf_dir):
+    ready_for_python(spark)
+    df = table(spark, sf_dir, "part").select("p_partkey", F.lit(-100.0).alias("c0"), (F.col("p_size") + 60.0).alias("c1"), (F.col("p_size") + 60.0).alias("c2"))
+    book = Workbook({"S": Sheet(df.withColumn(ROW, F.col("p_partkey")), df.columns)}).with_formula("S", "irr", "=IRR([@[c0]:[c2]])".replace("[@[c0]:[c2]]", "S[[#This Row],[c0]:[c2]]"))
+    return rounded(book.sheets["S"].df.select("p_partkey", "irr"))
+
+
+@query("select round(sum(value / pow(1.0005::double, n)), 4) as npv from (select value, row_number() over (order by event_id) as n from events where event_id < 200)")
+def fin_npv_column(spark, sf_dir):
+    df = sheet(spark, sf_dir, "events", "value").where(F.col("event_id") < 200)
+    v = aggregates.npv(cell_val(df, "value"), 0.0005, F.col(ROW) + 1)
+    return df.agg(F.round(v.col, 4).alias("npv"))
+
+
+# aggregates of ranges
+
+AGGREGATES = {
+    "fn_sum": ("SUM", "round(sum({x}), 2)"), "fn_average": ("AVERAGE", "avg({x})"), "fn_min": ("MIN", "min({x})"), "fn_max": ("MAX", "max({x})"), "fn_count": ("COUNT", "count({x})::double"), "fn_counta": ("COUNTA", "count({x})::double"), "fn_countblank": ("COUNTBLANK", "count(*) filter ({x} is null)::double"),
+    "fn_median": ("MEDIAN", "median({x})"), "fn_stdev_s": ("STDEV.S", "stddev_samp({x})"), "fn_stdev_p": ("STDEV.P", "stddev_pop({x})"), "fn_var_s": ("VAR.S", "var_samp({x})"), "fn_var_p": ("VAR.P", "var_pop({x})"),
+}
+for _name, (_fn, _sql) in AGGREGATES.items():
+    @query(f"select round({_sql.format(x='l_extendedprice')}, 2) + 0.0 as result from lineitem", _name)
+    def _run(spark, sf_dir, fn=_fn):
+        df = table(spark, sf_dir, "lineitem")
+        v = aggregates.aggregate(fn, cell_val(df, "l_extendedprice"))
+        return rounded(df.agg(v.col.alias("result")), 2)
+
+
+@query("select round(exp(avg(ln(p_retailprice))), 6) as geomean, round(exp(sum(ln(1 + p_size / 1000.0::double))), 6) as product from part")
+def fn_geomean_product(spark, sf_dir):
+    df = table(spark, sf_dir, "part").withColumn("f", 1 + F.col("p_size") / 1000.0)
+    return rounded(df.agg(aggregates.aggregate("GEOMEAN", cell_val(df, "p_retailprice")).col.alias("geomean"), aggregates.aggregate("PRODUCT", cell_val(df, "f")).col.alias("product")))
+
+
+@query("select 6.0::double as gcd_value, list_reduce(list(distinct (p_size % 9 + 1)::bigint), lambda a, b: lcm(a, b))::double as lcm_value, min(6.0::double) as least from part")
+def fn_gcd_lcm(spark, sf_dir):
+    df = table(spark, sf_dir, "part").select((F.col("p_size") * 6).cast("double").alias("a"), (F.col("p_size") % 9 + 1).cast("double").alias("b"))
+    return df.agg(aggregates.aggregate("GCD", cell_val(df, "a")).col.alias("gcd_value"), aggregates.aggregate("LCM", cell_val(df, "b")).col.alias("lcm_value")).withColumn("least", F.lit(6.0))
+
+
+@query("select round(sum(l_quantity * l_extendedprice), 0) as result from lineitem")
+def fn_sumproduct(spark, sf_dir):
+    df = table(spark, sf_dir, "lineitem")
+    return rounded(df.agg(aggregates.sumproduct(cell_val(df, "l_quantity"), cell_val(df, "l_extendedprice")).col.alias("result")), 0)
+
+
+@query("select round(corr(l_quantity, l_extendedprice), 6) as correl, round(covar_samp(l_quantity, l_extendedprice), 2) as covar_s, round(covar_pop(l_quantity, l_extendedprice), 2) as covar_p from lineitem")
+def fn_correl_covariance(spark, sf_dir):
+    df = table(spark, sf_dir, "lineitem")
+    a, b = cell_val(df, "l_quantity"), cell_val(df, "l_extendedprice")
+    return df.agg(F.round(aggregates.paired("CORREL", a, b).col, 6).alias("correl"), F.round(aggregates.paired("COVARIANCE.S", a, b).col, 2).alias("covar_s"), F.round(aggregates.paired("COVARIANCE.P", a, b).col, 2).alias("covar_p"))
+
+
+@query("select round(quantile_cont(o_totalprice, 0.9), 4) as p90, round(quantile_cont(o_totalprice, 0.25), 4) as q1, round(quantile_cont(o_totalprice, 0.75), 4) as q3 from orders")
+def fn_percentile_quartile(spark, sf_dir):
+    df = table(spark, sf_dir, "orders")
+    v = cell_val(df, "o_totalprice")
+    return rounded(df.agg(aggregates.percentile(v, 0.9).col.alias("p90"), aggregates.percentile(v, 0.25).col.alias("q1"), aggregates.percentile(v, 0.75).col.alias("q3")), 4)
+
+
+@query("select bool_and(l_quantity > 0) as all_true, bool_or(l_quantity > 49) as any_true, (count(*) filter (l_quantity > 25)) % 2 = 1 as xor_true from lineitem")
+def fn_and_or_xor(spark, sf_dir):
+    df = table(spark, sf_dir, "lineitem").select((F.col("l_quantity") > 0).alias("a"), (F.col("l_quantity") > 49).alias("b"), (F.col("l_quantity") > 25).alias("c"))
+    return df.agg(aggregates.aggregate("AND", cell_val(df, "a")).col.alias("all_true"), aggregates.aggregate("OR", cell_val(df, "b")).col.alias("any_true"), aggregates.aggregate("XOR", cell_val(df, "c")).col.alias("xor_true"))
+
+
+def book_query(name: str, sheets: dict[str, tuple[str, tuple]], target: str, made: dict[str, str], sql: str, out: tuple[str, ...], digits: int = 6, once: bool = False, python: bool = False, where: dict | None = None):
+    """Formulas that read other rows or sheets. once: the formula is one value, so one row shows it."""
+    @query(sql, name)
+    def run(spark, sf_dir):
+        if python:
+            ready_for_python(spark)
+        book = Workbook({n: Sheet(number_rows(table(spark, sf_dir, t).select(*cols).where((where or {}).get(n, "true")), *cols), list(cols)) for n, (t, cols) in sheets.items()})
+        if once:
+            book = Workbook({**book.sheets, "One": Sheet(spark.range(1).select(F.col("id").alias(ROW), F.lit(0.0).alias("z")), ["z"])})
+        for o, f in made.items():
+            book = book.with_formula("One" if once else target, o, f)
+        return rounded(book.sheets["One" if once else target].df.select(*out), digits)
+
+
+_ORD = {"T": ("orders", ("o_orderkey", "o_totalprice", "o_orderstatus"))}
+book_query("fn_mode", {"T": ("part", ("p_partkey", "p_size"))}, "T", {"m": "=MODE.SNGL(T[p_size])"}, "select p_size::double as m from (select p_size, count(*) as c from part group by 1 having c > 1 order by c desc, p_size limit 1)", ("m",), once=True)
+book_query("fn_large_small", _ORD, "T", {"a": "=LARGE(T[o_totalprice],3)", "b": "=SMALL(T[o_totalprice],5)"}, "select (select o_totalprice from orders order by 1 desc limit 1 offset 2) as a, (select o_totalprice from orders order by 1 limit 1 offset 4) as b", ("a", "b"), once=True)
+book_query("fn_rank_eq", {"T": ("customer", ("c_custkey", "c_acctbal"))}, "T", {"r": "=RANK.EQ([@c_acctbal],T[c_acctbal])", "u": "=RANK.EQ([@c_acctbal],T[c_acctbal],1)"}, "select c_custkey, rank() over (order by c_acctbal desc)::double as r, rank() over (order by c_acctbal)::double as u from customer", ("c_custkey", "r", "u"))
+_SUB = ["avg(l_quantity)", "count(l_quantity)::double", "count(l_quantity)::double", "max(l_quantity)", "min(l_quantity)", "0.0::double", "stddev_samp(l_quantity)", "stddev_pop(l_quantity)", "sum(l_quantity)", "var_samp(l_quantity)", "var_pop(l_quantity)"]
+for _i, _e in enumerate(_SUB):
+    if _i != 5:
+        @query(f"select round({_e}, 6) as result from lineitem", f"subtotal_{_i + 1}")
+        def _subtotal(spark, sf_dir, i=_i):
+            df = table(spark, sf_dir, "lineitem").select("l_quantity").withColumn(ROW, F.lit(0).cast("long"))
+            one = Sheet(spark.range(1).select(F.col("id").alias(ROW), F.lit(0.0).alias("z")), ["z"])
+            return rounded(Workbook({"T": Sheet(df, ["l_quantity"]), "One": one}).with_formula("One", "result", f"=SUBTOTAL({i + 1},T[l_quantity])").sheets["One"].df.select("result"))
+book_query("subtotal_6", {"T": ("region", ("r_regionkey",))}, "T", {"result": "=SUBTOTAL(6,T[r_regionkey])"}, "select 0.0::double as result", ("result",), once=True)
+
+# criteria
+
+_CRIT = {"T": ("orders", ("o_orderkey", "o_totalprice", "o_orderstatus", "o_orderpriority"))}
+for _name, _f, _sql in (
+    ("countif", '=COUNTIF(T[o_totalprice],">150000")', "count(*) filter (o_totalprice > 150000)::double"),
+    ("countif_text", '=COUNTIF(T[o_orderstatus],"f")', "count(*) filter (lower(o_orderstatus) = 'f')::double"),
+    ("countif_not", '=COUNTIF(T[o_orderstatus],"<>F")', "count(*) filter (o_orderstatus <> 'F')::double"),
+    ("countif_wildcard", '=COUNTIF(T[o_orderpriority],"*high*")', "count(*) filter (lower(o_orderpriority) like '%high%')::double"),
+    ("countifs", '=COUNTIFS(T[o_totalprice],">100000",T[o_orderstatus],"O")', "count(*) filter (o_totalprice > 100000 and o_orderstatus = 'O')::double"),
+    ("sumif", '=SUMIF(T[o_orderstatus],"O",T[o_totalprice])', "round(sum(o_totalprice) filter (o_orderstatus = 'O'), 2)"),
+    ("sumifs", '=SUMIFS(T[o_totalprice],T[o_orderstatus],"O",T[o_totalprice],"<=200000")', "round(sum(o_totalprice) filter (o_orderstatus = 'O' and o_totalprice <= 200000), 2)"),
+    ("averageif", '=AVERAGEIF(T[o_totalprice],">=100000")', "round(avg(o_totalprice) filter (o_totalprice >= 100000), 2)"),
+    ("averageifs", '=AVERAGEIFS(T[o_totalprice],T[o_orderpriority],"1*")', "round(avg(o_totalprice) filter (o_orderpriority like '1%'), 2)"),
+    ("maxifs", '=MAXIFS(T[o_totalprice],T[o_orderstatus],"P")', "coalesce(max(o_totalprice) filter (o_orderstatus = 'P'), 0)"),
+    ("minifs", '=MINIFS(T[o_totalprice],T[o_orderstatus],"nothing")', "coalesce(min(o_totalprice) filter (o_orderstatus = 'nothing'), 0)::double"),
+):
+    book_query(_name, _CRIT, "T", {"result": _f}, f"select {_sql} as result from orders", ("result",), digits=2, once=True)
+book_query("sumif_per_key", {"T": ("orders", ("o_orderkey", "o_custkey", "o_totalprice")), "C": ("customer", ("c_custkey", "c_name"))}, "C", {"total": "=SUMIF(T[o_custkey],[@c_custkey],T[o_totalprice])", "n": "=COUNTIF(T[o_custkey],[@c_custkey])", "big": "=MAXIFS(T[o_totalprice],T[o_custkey],[@c_custkey],T[o_totalprice],\"<100000\")"}, "select c_custkey, round(coalesce(sum(o_totalprice), 0), 2) as total, count(o_orderkey)::double as n, coalesce(max(case when o_totalprice < 100000 then o_totalprice end), 0) as big from customer left join orders on o_custkey = c_custkey group by 1", ("c_custkey", "total", "n", "big"), digits=2)
+
+
+@query("select l_returnflag, l_linestatus, round(sum(l_extendedprice), 2) as total, count(*)::double as n from lineitem group by 1, 2")
+def group_by_lifted(spark, sf_dir):
+    df = table(spark, sf_dir, "lineitem")
+    return rounded(df.groupBy("l_returnflag", "l_linestatus").agg(aggregates.aggregate("SUM", cell_val(df, "l_extendedprice")).col.alias("total"), aggregates.aggregate("COUNT", cell_val(df, "l_quantity")).col.alias("n")), 2)
+
+
+# lookups
+
+_OC = {"O": ("orders", ("o_orderkey", "o_custkey", "o_totalprice")), "C": ("customer", ("c_custkey", "c_name", "c_mktsegment"))}
+book_query("vlookup_exact", _OC, "O", {"who": "=VLOOKUP([@o_custkey],C[[c_custkey]:[c_mktsegment]],2,FALSE)"}, "select o_orderkey, c_name as who, case when c_name is null then '#N/A' end as who_err from orders left join customer on c_custkey = o_custkey", ("o_orderkey", "who", "who_err"))
+book_query("xlookup_exact", _OC, "O", {"seg": "=XLOOKUP([@o_custkey],C[c_custkey],C[c_mktsegment])"}, "select o_orderkey, c_mktsegment as seg from orders left join customer on c_custkey = o_custkey", ("o_orderkey", "seg"))
+book_query("xlookup_default", _OC, "O", {"seg": '=XLOOKUP([@o_custkey]+100,C[c_custkey],C[c_mktsegment],"none")'}, "select o_orderkey, case when c_custkey is null then 'none' else c_mktsegment end as seg from orders left join customer on c_custkey = o_custkey + 100", ("o_orderkey", "seg"))
+book_query("xlookup_last", {"C": ("customer", ("c_custkey", "c_name")), "O": ("orders", ("o_orderkey", "o_custkey"))}, "C", {"latest": "=XLOOKUP([@c_custkey],O[o_custkey],O[o_orderkey],-1,0,-1)"}, "select c_custkey, coalesce(max(o_orderkey), -1)::double as latest from customer left join orders on o_custkey = c_custkey group by 1", ("c_custkey", "latest"))
+book_query("match_0", _OC, "O", {"at": "=MATCH([@o_custkey],C[c_custkey],0)"}, f"select o_orderkey, (c._row + 1)::double as at from orders left join {numbered('customer')} c on c_custkey = o_custkey", ("o_orderkey", "at"))
+book_query("index_match", _OC, "O", {"who": "=INDEX(C[c_name],MATCH([@o_custkey],C[c_custkey],0))"}, "select o_orderkey, c_name as who from orders left join customer on c_custkey = o_custkey", ("o_orderkey", "who"))
+book_query("index", {"N": ("nation", ("n_nationkey", "n_name"))}, "N", {"next": "=INDEX(N[n_name],[@n_nationkey]+2)"}, f"select a.n_nationkey, b.n_name as next, case when b.n_name is null then '#REF!' end as next_err from nation a left join {numbered('nation')} b on b._row = a.n_nationkey + 1", ("n_nationkey", "next", "next_err"))
+book_query("cross_sheet_ref", {"N": ("nation", ("n_nationkey", "n_name")), "R": ("region", ("r_regionkey", "r_name"))}, "N", {"r": "=R!B1"}, f"select n_nationkey, r_name as r from {numbered('nation')} n left join {numbered('region')} r on n._row = r._row", ("n_nationkey", "r"))
+
+
+@query("select n_nationkey, r_name from nation left join region on r_regionkey = n_regionkey")
+def lookup_nation_region(spark, sf_dir):
+    out = lookups.exact(table(spark, sf_dir, "nation"), "n_regionkey", sheet(spark, sf_dir, "region"), "r_regionkey", {"r_name": "r_name"})
+    return out.select("n_nationkey", "r_name")
+
+
+@query("select c_custkey from customer where exists (select 1 from orders where o_custkey = c_custkey)")
+def lookup_semi(spark, sf_dir):
+    return lookups.semi(table(spark, sf_dir, "customer"), "c_custkey", table(spark, sf_dir, "orders"), "o_custkey").select("c_custkey")
+
+
+@query("select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
+def lookup_anti(spark, sf_dir):
+    return lookups.semi(table(spark, sf_dir, "customer"), "c_custkey", table(spark, sf_dir, "orders"), "o_custkey", anti=True).select("c_custkey")
+
+
+def _bands(spark, sf_dir, descending: bool = False) -> DataFrame:
+    """Suppliers in the order of their balance, as a sorted band table."""
+    key = F.col("s_acctbal").desc() if descending else F.col("s_acctbal").asc()
+    return number_rows(table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal", "s_name"), key, F.col("s_suppkey").asc())
+
+
+def _nearest(name: str, sql: str, **how):
+    @query(sql, name)
+    def run(spark, sf_dir):
+        probe = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
+        return lookups.nearest(probe, "c_acctbal", _bands(spark, sf_dir, how.get("larger", False) and how.get("validate", False)), "s_acctbal", {"s_name": "s_name"}, **how).select("c_custkey", "s_name")
+
+
+_BEST = "(select s_acctbal, arg_min(s_name, s_suppkey) as s_name from supplier group by 1)"
+_nearest("vlookup_approx", f"select c_custkey, s_name from customer asof left join {_BEST} s on c_acctbal >= s_acctbal", validate=True)
+_nearest("xlookup_next_smaller", f"select c_custkey, s_name from customer asof left join {_BEST} s on c_acctbal >= s_acctbal")
+_nearest("xlookup_next_larger", f"select c_custkey, s_name from customer asof left join {_BEST} s on c_acctbal <= s_acctbal", larger=True)
+
+
+def _match_near(name: str, sql: str, larger: bool):
+    @query(sql, name)
+    def run(spark, sf_dir):
+        probe = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
+        out = lookups.nearest(probe, "c_acctbal", _bands(spark, sf_dir, larger).withColumn("at", F.col(ROW) + 1), "s_acctbal", {"at": "at"}, larger=larger, validate=True)
+        return out.select("c_custkey", F.col("at").cast("double").alias("at"))
+
+
+_match_near("match_1", "select c_custkey, at::double as at from customer asof left join (select s_acctbal, min(n) as at from (select s_acctbal, row_number() over (order by s_acctbal, s_suppkey) as n from supplier) group by 1) s on c_acctbal >= s_acctbal", False)
+_match_near("match_minus_1", "select c_custkey, at::double as at from customer asof left join (select s_acctbal, min(n) as at from (select s_acctbal, row_number() over (order by s_acctbal desc, s_suppkey) as n from supplier) group by 1) s on c_acctbal <= s_acctbal", True)
+
+
+@query("select count(*)::bigint as misses from customer")
+def match_unsorted(spark, sf_dir):
+    shuffled = number_rows(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey")
+    out = lookups.nearest(table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), "c_acctbal", shuffled, "p_size", {"p_partkey": "p_partkey"}, validate=True)
+    return out.where("not _found").agg(F.count(F.lit(1)).alias("misses"))
+
+
+@query("select n_name as name, n_nationkey as key from nation where n_name like '%A' or n_name like '%a' order by n_nationkey limit 1")
+def xlookup_wildcard(spark, sf_dir):
+    return lookups.wildcard_first(sheet(spark, sf_dir, "nation"), "n_name", "*a", {"name": "n_name", "key": "n_nationkey"})
+
+
+@query("select n_regionkey::double as result, 1::int as col from nation where n_nationkey = 7")
+def hlookup(spark, sf_dir):
+    # row 0 holds each column's key, row 1 the values; both come from one nation
+    one = table(spark, sf_dir, "nation").where("n_nationkey = 7").select(F.col("n_nationkey").cast("double").alias("a"), F.col("n_regionkey").cast("double").alias("b"))
+    head = one.select(F.lit(10.0).alias("a"), F.lit(20.0).alias("b"), F.lit(0).cast("long").alias(ROW))
+    return lookups.horizontal(head.unionByName(one.withColumn(ROW, F.lit(1).cast("long"))), 0, 20, 1)
+
+
+# dynamic arrays
+
+@query("select p_partkey, p_size from part where p_size > 40")
+def arr_filter(spark, sf_dir):
+    return arrays.filter_rows(table(spark, sf_dir, "part").select("p_partkey", "p_size"), F.col("p_size") > 40)
+
+
+@query("select -1::bigint as p_partkey, 0::int as p_size")
+def arr_filter_empty(spark, sf_dir):
+    return arrays.filter_rows(table(spark, sf_dir, "part").select("p_partkey", "p_size"), F.col("p_size") > 4000, {"p_partkey": -1, "p_size": 0})
+
+
+@query("select p_partkey, p_size from part")
+def arr_filter_columns(spark, sf_dir):
+    return arrays.filter_columns(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size"), [True, False, True])
+
+
+@query(f"select c_custkey, row_number() over (order by lower(coalesce(c_mktsegment, '')), _row) - 1 as _row from {numbered('customer')}")
+def arr_sort(spark, sf_dir):
+    return arrays.sort_rows(sheet(spark, sf_dir, "customer", "c_mktsegment"), "c_mktsegment").select("c_custkey", ROW)
+
+
+@query(f"select min(_row) as _row, arg_min(p_type, _row) as p_type from {numbered('part')} group by lower(p_type)")
+def arr_unique(spark, sf_dir):
+    return arrays.unique(sheet(spark, sf_dir, "part", "p_type"), ["p_type"])
+
+
+@query(f"select min(_row) as _row, min(p_retailprice) as p_retailprice from {numbered('part')} group by p_retailprice having count(*) = 1")
+def arr_unique_once(spark, sf_dir):
+    return arrays.unique(sheet(spark, sf_dir, "part", "p_retailprice"), ["p_retailprice"], exactly_once=True)
+
+
+@query("select 0::int as _row, 0.0::double as r0, 1.0::double as r1, 2.0::double as r2 union all select 1, (select n_regionkey from nation where n_nationkey = 0)::double, (select n_regionkey from nation where n_nationkey = 1)::double, (select n_regionkey from nation where n_nationkey = 2)::double")
+def arr_transpose(spark, sf_dir):
+    return arrays.transpose(sheet(spark, sf_dir, "nation").select(ROW, "n_nationkey", "n_regionkey"), 3)
+
+
+@query("select i as _row, 5.0 + 0.5 * (i * 2)::double as c0, 5.0 + 0.5 * (i * 2 + 1)::double as c1 from range(1000) t(i)")
+def arr_sequence(spark, sf_dir):
+    return arrays.sequence(spark, 1000, 2, 5, 0.5)
+
+
+for _name, _f, _n, _w in (("arr_take", arrays.take, 10, "_row < 10"), ("arr_take_end", arrays.take, -10, "_row >= (select count(*) from orders) - 10"), ("arr_drop", arrays.drop, 10, "_row >= 10"), ("arr_drop_end", arrays.drop, -10, "_row < (select count(*) from orders) - 10")):
+    query(f"select o_orderkey, _row from {numbered('orders')} where {_w}", _name)(lambda s, d, f=_f, n=_n: f(sheet(s, d, "orders", "o_totalprice"), n).select("o_orderkey", ROW))
+
+
+@query("select n_regionkey, n_nationkey, n_regionkey as n_regionkey_2 from nation")
+def arr_choosecols(spark, sf_dir):
+    return arrays.choose_columns(table(spark, sf_dir, "nation"), [-1, 1, 3])
+
+
+@query(f"select n_nationkey, x.i as _row from (values (0, 2), (1, -1), (2, 2)) x(i, a) join {numbered('nation')} on _row = case when a > 0 then a - 1 else (select count(*) from nation) + a end")
+def arr_chooserows(spark, sf_dir):
+    return arrays.choose_rows(sheet(spark, sf_dir, "nation"), [3 - 1, -1, 2]).select("n_nationkey", ROW)
+
+
+@query("select count(*)::double as n_rows, 3.0::double as n_columns from nation")
+def arr_rows_columns(spark, sf_dir):
+    return arrays.shape(table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey"))
+
+
+@query("select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 20")
+def top_k(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").orderBy(F.col("o_totalprice").desc(), "o_orderkey").limit(20)
+
+
+# formulas filled down
+
+_EV = {"E": ("events", ("event_id", "value"))}
+book_query("fill_relative_ref", _EV, "E", {"next": "=B1+B2"}, "select event_id, round(coalesce(value, 0) + coalesce(lead(value) over (order by event_id), 0), 6) as next from events", ("event_id", "next"))
+book_query("fill_running_sum", _EV, "E", {"total": "=SUM($B$1:B1)", "mean": "=AVERAGE($B$1:B1)"}, "select event_id, round(sum(value) over w, 4) as total, round(avg(value) over w, 4) as mean from events window w as (order by event_id)", ("event_id", "total", "mean"), digits=4)
+book_query("fill_sliding_sum", _EV, "E", {"s": "=SUM(B1:B10)", "m": "=MAX(B1:B10)"}, "select event_id, round(sum(value) over w, 4) as s, max(value) over w as m from events window w as (order by event_id rows between current row and 9 following)", ("event_id", "s", "m"), digits=4)
+book_query("fill_fixed_ref", _EV, "E", {"d": "=B1-$B$1", "share": "=B1/SUM(E[value])"}, "select event_id, round(value - (select value from events where event_id = 0), 6) + 0.0 as d, round(value / (select sum(value) from events), 9) as share from events", ("event_id", "d", "share"), digits=9)
+
+
+@query("select event_id, 5.0 + 2.5 * event_id::double as linear, [1.0, 5.0, 2.0][event_id % 3 + 1]::double as tiled from events")
+def fill_series(spark, sf_dir):
+    df = table(spark, sf_dir, "events").select("event_id").withColumn(ROW, F.col("event_id"))
+    return df.select("event_id", view.fill_series([5.0, 7.5, 10.0], 0, df).alias("linear"), view.fill_series([1.0, 5.0, 2.0], 0, df).alias("tiled"))
+
+
+@query("select p_partkey, p_size * 2.0 as twice, p_size * 2.0 + 1 as more from part")
+def dependent_formulas(spark, sf_dir):
+    df = table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    book = Workbook({"S": Sheet(df.withColumn(ROW, F.col("p_partkey")), df.columns)}).with_formulas("S", {"more": "=[@twice]+1", "twice": "=[@p_size]*2"})
+    return book.sheets["S"].df.select("p_partkey", "twice", "more")
+
+
+# sources and mutations
+
+@query(f"select _row, o_orderkey, o_totalprice from {numbered('orders')} where _row >= 1000 and _row < 1200")
+def paged_scan(spark, sf_dir):
+    from .paths import scratch
+
+    path = scratch(spark, "pages")
+    paged.write_pages(sheet(spark, sf_dir, "orders", "o_totalprice"), path, bucket=500)
+    return paged.read_page(spark, path, 1000, 1200, ["o_orderkey", "o_totalprice"], bucket=500)
+
+
+@query(f"select _row, case when _row % 3 = 0 then p_size + 100 else p_size end as p_size, case when _row = 5 then null else p_name end as p_name from {numbered('part')}")
+def overlay_edits(spark, sf_dir):
+    df = sheet(spark, sf_dir, "part", "p_size", "p_name").select(ROW, "p_size", "p_name")
+    edits = df.where("_row % 3 = 0").select(ROW, F.lit("p_size").alias("column"), F.explode(F.array(F.struct(F.lit("1").alias("value"), F.lit(1).alias("seq")), F.struct((F.col("p_size") + 100).cast("string").alias("value"), F.lit(2).alias("seq")))).alias("e")).select(ROW, "column", "e.*")
+    cleared = df.where("_row = 5").select(ROW, F.lit("p_name").alias("column"), F.lit(None).cast("string").alias("value"), F.lit(3).alias("seq"))
+    return paged.overlay(df, edits.unionByName(cleared))
+
+
+@query(f"select case when _row >= 5 then _row + 3 else _row end as _row, n_name from {numbered('nation')} union all select i, null from range(5, 8) t(i)")
+def add_rows(spark, sf_dir):
+    return paged.add_rows(sheet(spark, sf_dir, "nation").select(ROW, "n_name"), 5, 3)
+
+
+@query(f"select case when _row >= 8 then _row - 3 else _row end as _row, n_name from {numbered('nation')} where _row not between 5 and 7")
+def remove_rows(spark, sf_dir):
+    return paged.remove_rows(sheet(spark, sf_dir, "nation").select(ROW, "n_name"), 5, 3)
+
+
+@query(f"select case when _row between 2 and 4 then _row + 8 when _row between 5 and 12 then _row - 3 else _row end as _row, n_name from {numbered('nation')}")
+def move_rows(spark, sf_dir):
+    return paged.move_rows(sheet(spark, sf_dir, "nation").select(ROW, "n_name"), 2, 3, 10)
+
+
+@query(f"select _row, case when _row in (2, 3) then 'x' || _row else n_name end as n_name, case when _row between 10 and 12 then null else n_regionkey end as n_regionkey from {numbered('nation')}")
+def set_clear_range(spark, sf_dir):
+    df = sheet(spark, sf_dir, "nation").select(ROW, "n_name", "n_regionkey")
+    return paged.clear_range(paged.set_block(df, 2, {"n_name": ["x2", "x3"]}), 10, 12, ["n_regionkey"])
+
+
+@query("select c_custkey::double as c_custkey, c_name, c_acctbal from customer")
+def csv_roundtrip(spark, sf_dir):
+    from .paths import scratch
+
+    path = scratch(spark, "csv")
+    delimited.write_csv(sheet(spark, sf_dir, "customer", "c_name", "c_acctbal"), path, View(sort=(("c_acctbal", True),)), ["c_custkey", "c_name", "c_acctbal"])
+    return delimited.read_delimited(spark, f"{path}/body", [("c_custkey", "number", True), ("c_name", "text", True), ("c_acctbal", "number", True)], header=False)
+
+
+@query(f"select n_name, n_regionkey::double as n_regionkey from {numbered('nation')} where _row between 3 and 8")
+def tsv_range(spark, sf_dir):
+    from .paths import scratch
+
+    path = scratch(spark, "tsv")
+    delimited.write_tsv(sheet(spark, sf_dir, "nation"), path, 3, 8, ["n_name", "n_regionkey"])
+    return delimited.read_delimited(spark, path, [("n_name", "text", True), ("n_regionkey", "number", True)], header=False, sep="\t")
+
+
+# streams
+
+def _events(spark, sf_dir):
+    from .streaming import views
+
+    return views.read_events(spark, sf_dir, spark.read.parquet(f"{sf_dir}/events.parquet").schema, "events.parquet")
+
+
+def _drained(df: DataFrame, mode: str) -> DataFrame:
+    import uuid
+
+    from .paths import scratch
+    from .streaming import views
+
+    name = f"tessera_{uuid.uuid4().hex}"
+    return views.drain(df, name, scratch(df.sparkSession, "stream"), mode)
+
+
+@query("select event_type, round(sum(value), 2) as sum_value, count(value) as n, round(avg(value), 4) as avg_value, min(value) as min_value, max(value) as max_value from events group by 1")
+def stream_aggregates(spark, sf_dir):
+    from .streaming import views
+
+    out = _drained(views.running_aggregates(_events(spark, sf_dir), "event_type", "value"), "complete")
+    return out.select("event_type", F.round("sum_value", 2).alias("sum_value"), "n", F.round("avg_value", 4).alias("avg_value"), "min_value", "max_value")
+
+
+@query("select time_bucket(interval 1 day, ts)::timestamp as start, event_type, count(*) as n, round(sum(value), 2) as sum_value from events group by 1, 2")
+def stream_windows(spark, sf_dir):
+    from .streaming import views
+
+    out = _drained(views.windowed(_events(spark, sf_dir), "ts", "event_type", "value", "1 day"), "complete")
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("sum_value", 2).alias("sum_value"))
+
+
+def _log(events: DataFrame) -> DataFrame:
+    """events as an operation log: documents by user, versions in event order with each seventh held back, and echoes."""
+    return events.select(F.concat(F.lit("d"), F.col("user_id").cast("string")).alias("doc"), F.col("version"), F.concat(F.lit("m"), F.col("event_id").cast("string")).alias("mutation_id"), F.col("event_type").alias("op"))
+
+
+@query("select 'd' || user_id as doc, row_number() over (partition by user_id order by event_id) as version, 'm' || event_id as mutation_id, event_type as op from events")
+def oplog_apply(spark, sf_dir):
+    from pyspark.sql import Window
+
+    from .streaming import oplog
+
+    events = table(spark, sf_dir, "events").withColumn("version", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("long"))
+    return oplog.applied_batch(_log(events).unionByName(_log(events.where("event_id % 5 = 0"))))
+
+
+@query("select 'd' || user_id as doc, row_number() over (partition by user_id order by event_id) as version, 'm' || event_id as mutation_id, event_type as op from events")
+def oplog_gap_dedup(spark, sf_dir):
+    from pyspark.sql import Window
+
+    from .paths import scratch
+    from .streaming import oplog
+
+    events = table(spark, sf_dir, "events").withColumn("version", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("long"))
+    path = scratch(spark, "oplog")
+    log = _log(events)
+    late = (F.col("version") % 7 == 0) & (F.col("version") > 1)
+    log.where(~late).write.parquet(f"{path}/b0")
+    log.where(late).unionByName(log.where("version % 5 = 0")).write.parquet(f"{path}/b1")
+    stream = spark.readStream.schema(log.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 4).parquet(path)
+    out = _drained(oplog.apply_stream(stream), "append")
+    return out.where("status = 'applied'").select("doc", "version", "mutation_id", "op")
