@@ -34,7 +34,7 @@ def escape_role(c: Column) -> Column:
 
 
 def unescape_role(c: Column) -> Column:
-    halves = F.split(c, r"\\\\\\\\", -1)
+    halves = F.split(c, r"\\\\", -1)
     plain = F.transform(halves, lambda x: F.replace(F.replace(x, F.lit("\\n"), F.lit("\n")), F.lit("\\|"), F.lit("|")))
     return F.array_join(plain, "\\")
 
