@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -27,20 +28,38 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/tessera-{label}-{uuid.uuid4().hex}"
 
 
+_WATCHED: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def watched():
+    """Collects the paths that `materialise` writes inside the block, for `drop_paths` once nothing reads them."""
+    _WATCHED.append([])
+    try:
+        yield _WATCHED[-1]
+    finally:
+        _WATCHED.pop()
+
+
+def drop_paths(spark: SparkSession, paths: list[str]) -> None:
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    paths.clear()
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again: cuts the lineage and outlives any executor."""
     path = scratch_path(df.sparkSession, label)
+    for paths in _WATCHED:
+        paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def discard(df: DataFrame) -> None:
     """Delete the files of a materialised DataFrame that nothing will read again."""
-    spark = df.sparkSession
-    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+    drop_paths(df.sparkSession, list({f.rsplit("/", 1)[0] for f in df.inputFiles()}))
 
 
 def text_or_empty(col: str) -> Column:

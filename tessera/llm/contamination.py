@@ -244,6 +244,10 @@ def n_hit(spans: Column) -> Column:
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = 8, least_items: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    found = search(build_index(docs, id_col, text_col), items, window)
+    return judged(search(build_index(docs, id_col, text_col), items, window), least_items)
+
+
+def judged(found: DataFrame, least_items: int = 2) -> DataFrame:
+    """The figures of searched documents."""
     listed = F.concat_ws(",", F.array_sort(F.transform("items", lambda i: i.cast("string"))))
     return found.select("doc_id", "n_words", n_hit(F.col("spans")).alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(listed, 256).alias("items_sha256"), (F.size("items") >= least_items).alias("contaminated"))

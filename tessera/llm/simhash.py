@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ready_for_python
-from .common import materialise
+from .common import discard, drop_paths, materialise, watched
 from .components import components
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -205,8 +205,8 @@ def _probes(distinct: DataFrame, parts: list[list[int]], balls: list, total: int
 
 def links(distinct: DataFrame, distance: int = 2, parts: int = 3, hot: int = 128) -> DataFrame:
     """Edges (a, b) that connect exactly the fingerprints within the distance, without all pairs of hot buckets."""
-    if not 0 <= distance <= 2 or not 1 <= parts <= distance + 2:
-        raise ValueError("distance must be 0 to 2, and parts at most distance + 2")
+    if not 0 <= distance <= 2 or not 2 <= parts <= distance + 2:
+        raise ValueError("distance must be 0 to 2, and parts 2 to distance + 2")
     grouped = group_bits(distinct, parts)
     balls, total = _ball_counts(distinct, grouped)
     probes = materialise(_probes(distinct, grouped, balls, total, distance), "sim-probes")
@@ -234,8 +234,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2, parts:
     """One row per document: doc_id, fingerprint, component_id."""
     fps = materialise(fingerprints(docs, shingle, id_col, text_col), "sim-fps")
     distinct = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "sim-distinct")
-    roots = materialise(components(links(distinct.select("fp"), distance, parts, hot)), "sim-roots")
+    with watched() as used:
+        found = components(links(distinct.select("fp"), distance, parts, hot))
+    roots = materialise(found, "sim-roots")
+    drop_paths(docs.sparkSession, used)
     named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     classes = materialise(named.join(least, "root").select("fp", "component_id"), "sim-classes")
+    discard(distinct)
+    discard(roots)
     return fps.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
