@@ -1,0 +1,329 @@
+"""The training-data operators against brute force, and their edge cases."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tessera.llm import chat, contamination, exact, htmltext, langid, mixing, secretscan, shards, simhash, tokenfile
+from tessera.llm.components import components
+
+SF = "/root/testdata/sf0.001"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, h string, fp long, shard int"
+LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def text_of(r, n):
+    return " ".join("".join(r.choice(["an", "the", "on", "er", "é", "ti"]) for _ in range(r.randint(1, 4))) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    """Nulls in every column, empty and long texts, ties, repeated rows, names that clash with the operators' own."""
+    r = random.Random(4)
+    texts = [text_of(r, r.randint(1, 60)) for _ in range(40)]
+    rows = [(i, texts[i % 40] if i < 60 else text_of(r, 30), r.choice(["en", "fr"]), r.choice(["a", "a", "a", "b", None]), 1, "x", 5, 3) for i in range(90)]
+    near = text_of(r, 120)
+    rows += [(100 + i, near + " end" * i, "en", "a", None, None, None, None) for i in range(6)]
+    rows += [(200, None, None, None, None, None, None, None), (201, "", "en", "b", 0, "", 0, 0), (202, " \t\n ", "en", "b", 0, "", 0, 0), (203, "1234 5678", "en", "b", 0, "", 0, 0), (None, "an the null id", "en", "b", 0, "", 0, 0)]
+    rows += [(204, "one two", "en", "a", 0, "", 0, 0)] * 2
+    rows += [(205, text_of(r, 40_000), "fr", "b", 0, "", 0, 0)]
+    return spark.createDataFrame(rows, SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def plain(docs):
+    return [(r.doc_id, r.text) for r in docs.collect()]
+
+
+def test_chat_round_trip(spark):
+    rows = [(1, 0, "user", "a"), (1, 1, "user", "b\\|<|x"), (1, 2, "assistant", None), (1, 3, "assistant", "<|im_end|><|im_start|>assistant ok\\"), (1, None, "sys\ntem\\n", "z<"), (2, 0, None, ""), (2, 0, None, ""), (None, 5, "assistant", "q" * 5000)]
+    df = spark.createDataFrame([(*r, "clash", 9) for r in rows], "conv_id long, turn long, role string, text string, turns string, n_turns int")
+    made = chat.format_chats(df)
+    out = {r.conv_id: r for r in made.select("*", chat.parse(F.col("formatted")).alias("back"), chat.loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss")).collect()}
+    for conv in (1, 2, None):
+        turns = sorted([((r[1] is not None, r[1] or 0), r[2] or "", r[3] or "") for r in rows if r[0] == conv])
+        assert [(t.role, t.text) for t in out[conv].back] == [(b, c) for _, b, c in turns]
+        assert out[conv].loss == "".join(c for _, b, c in turns if b == "assistant")
+    assert out[1].formatted.count("<|im_start|>") == 3
+    d = {r.conv_id: r for r in chat.digest(made).collect()}
+    assert d[2].n_turns == 2 and d[2].turns_sha256 == hashlib.sha256(b"\n\n\n\n").hexdigest()
+    assert chat.digest(chat.format_chats(df.limit(0))).count() == 0
+
+
+def test_exact_groups(docs, empty):
+    got = exact.exact_groups(docs).collect()
+    norm = lambda t: re.sub(r"[\x20\x09-\x0D]", "", t or "")
+    groups: dict = {}
+    for i, t in plain(docs):
+        groups.setdefault(norm(t), []).append((-len(t or ""), i is None, i or 0, i))
+    assert len(got) == docs.count()
+    for r in got:
+        members = next(g for k, g in groups.items() if hashlib.sha256(k.encode()).hexdigest() == r.text_sha256)
+        assert (r.keep_id, r.group_size) == (min(members)[3], len(members))
+    assert sum(r.kept for r in got) == len(groups)
+    assert exact.exact_groups(empty).count() == 0
+
+
+def test_exact_groups_survive_hash_collisions(docs):
+    forced = exact.exact_groups(docs, content_hash=lambda c: F.substring(F.md5(c), 1, 2))
+    key = lambda r: (str(r.doc_id), r.keep_id or -1, r.kept, r.text_sha256)
+    assert sorted(map(key, forced.collect())) == sorted(map(key, exact.exact_groups(docs).collect()))
+
+
+def test_decontamination_matches_brute_force(spark, docs, empty):
+    texts = [t for _, t in plain(docs) if t]
+    items = [(1, " ".join(texts[0].split()[:9])), (2, texts[1].upper()), (3, "one, TWO!"), (4, ""), (5, None), (6, "never seen words at all in any of these documents"), (1, texts[3]), (8, texts[3]), (None, texts[2]), (7, " ".join(texts[-1].split()[100:108]))]
+    bench = spark.createDataFrame([(*i, 1) for i in items], "item_id long, text string, n_words int")
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOW))
+    windows = {}
+    for i, t in items:
+        w = words(t)
+        if i is not None and w:
+            for a in range(max(1, len(w) - 7)):
+                windows.setdefault(tuple(w[a : a + 8]), set()).add(i)
+
+    def judge(t):
+        w, hit, found = words(t), set(), set()
+        for n in {len(x) for x in windows}:
+            for a in range(len(w) - n + 1):
+                own = windows.get(tuple(w[a : a + n]))
+                if own:
+                    hit.update(range(a, a + n))
+                    found |= own
+        return len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest(), len(found) >= 2
+
+    want = sorted((str(i), *judge(t)) for i, t in plain(docs))
+    got = sorted((str(r.doc_id), r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in contamination.contamination(docs, bench).collect())
+    assert got == want and any(w[5] for w in want)
+    small = contamination.BLOCK_BYTES
+    try:
+        contamination.BLOCK_BYTES = 200  # several blocks of items
+        assert sorted((str(r.doc_id), r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in contamination.contamination(docs, bench).collect()) == want
+    finally:
+        contamination.BLOCK_BYTES = small
+    assert contamination.contamination(empty, bench).count() == 0
+    assert not any(r.n_items for r in contamination.contamination(docs, bench.limit(0)).collect())
+
+
+def test_proximity_matches(spark):
+    d = spark.createDataFrame([(1, "aa bb cc dd ee"), (2, "aa xx bb cc"), (3, "cc bb aa"), (4, "aa bb xx yy zz cc")], "doc_id long, text string")
+    b = spark.createDataFrame([(9, "aa bb cc")], "item_id long, text string")
+    near = lambda slop: {r.doc_id for r in contamination.search(contamination.build_index(d), b, 3, slop).collect() if r["items"]}
+    assert near(0) == {1} and near(1) == {1, 2} and near(3) == {1, 2, 3, 4}
+
+
+def brute_fingerprint(t):
+    import xxhash
+
+    w = [x for x in re.split(r"[\x20\x09-\x0D]+", (t or "").translate(LOW)) if x]
+    if not w:
+        return 0
+    s = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or [" ".join(w)]
+    h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in s]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def classes_of(ids, fps, distance):
+    root = list(range(len(fps)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(fps)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= distance:
+                root[find(i)] = find(j)
+    out = []
+    for i in range(len(fps)):
+        own = [ids[j] for j in range(len(fps)) if find(j) == find(i) and ids[j] is not None]
+        out.append(min(own) if own else None)
+    return out
+
+
+@pytest.mark.parametrize(("distance", "parts", "hot"), [(2, 3, 128), (2, 2, 2), (1, 2, 1), (0, 2, 128)])
+def test_simhash_matches_brute_force(docs, distance, parts, hot):
+    pairs = plain(docs)
+    fps = [brute_fingerprint(t) for _, t in pairs]
+    want = sorted((str(i), f"{f:016x}", str(c)) for (i, _), f, c in zip(pairs, fps, classes_of([i for i, _ in pairs], fps, distance)))
+    got = sorted((str(r.doc_id), r.fingerprint, str(r.component_id)) for r in simhash.near_duplicates(docs, distance=distance, parts=parts, hot=hot).collect())
+    assert got == want
+
+
+def test_links_of_dense_fingerprints(spark):
+    r = random.Random(1)
+    centre = r.getrandbits(64)
+    fps = sorted({centre ^ (1 << r.randrange(64)) ^ (1 << r.randrange(64)) for _ in range(150)} | {r.getrandbits(64) for _ in range(150)})
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    df = spark.createDataFrame([(s,) for s in signed], "fp long")
+    for hot in (4, 1000):
+        got = {x.node: x.root for x in components(simhash.links(df, 2, 3, hot)).collect()}
+        want = classes_of(signed, fps, 2)
+        assert [got.get(s, s) for s in signed] == want
+
+
+def test_simhash_of_an_empty_table(empty):
+    assert simhash.near_duplicates(empty).count() == 0
+
+
+def test_long_texts_are_taken_in_pieces():
+    t = text_of(random.Random(2), 4000)
+    small = simhash.PIECE
+    try:
+        simhash.PIECE = 97
+        assert simhash.fingerprint(t, 3) == brute_fingerprint(t)
+        assert simhash.fingerprint("a" * 500, 3) == brute_fingerprint("a" * 500)
+    finally:
+        simhash.PIECE = small
+
+
+def test_shards(docs, empty):
+    got = shards.kd_shards(docs).collect()
+    assert len(got) == docs.count()
+    by = {}
+    for r in got:
+        by.setdefault(r.shard, []).append(r)
+    assert all(sorted(r.slot for r in v) == list(range(len(v))) for v in by.values())
+    assert {(str(r.doc_id), r["size"], r.text_crc32) for r in got} == {(str(i), len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in plain(docs)}
+    assert shards.kd_shards(empty).count() == 0
+
+
+def test_shards_are_near_equal_with_one_hot_text(spark):
+    df = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit("same text")).otherwise(F.repeat(F.lit("x "), (F.col("id") % 97).cast("int"))).alias("text"))
+    sizes = [r.b for r in shards.kd_shards(df).groupBy("shard").agg(F.sum("size").alias("b")).collect()]
+    assert len(sizes) == 16 and max(sizes) - min(sizes) <= 4 * 195
+
+
+def test_mixing_solves_and_realises(docs, empty):
+    tokens = [1000, 100, 10]
+    a = mixing.solve(tokens, max_repeats=3.0)
+    w = mixing.tempered(tokens, a)
+    reps = [x / t for x, t in zip(w, tokens)]
+    assert abs(max(reps) / min(reps) - 3) < 1e-6
+    e = mixing.solve(tokens, target_entropy=0.9)
+    assert abs(mixing.entropy(mixing.tempered(tokens, e)) - 0.9) < 1e-6
+    plan = mixing.plan(docs, max_repeats=2.0, block_tokens=50)
+    rows = mixing.mixed(docs, plan).collect()
+    n = {str(i): len((t or "").split()) for i, t in plain(docs)}
+    for p in plan.collect():
+        mine = [r for r in rows if (r.source if r.source is not None else "\x00") == p["_source"]]
+        total, most = sum(n[str(r.doc_id)] for r in mine), max([n[str(r.doc_id)] for r in mine], default=0)
+        assert p.target_tokens - most <= total <= p.target_tokens or p.tokens == 0
+    assert {str(r.doc_id) for r in rows} == set(n)
+    assert mixing.mixed(empty, mixing.plan(empty, max_repeats=2.0)).count() == 0
+    assert mixing.mixed(docs, mixing.plan(docs, max_repeats=2.0, budget=500)).count() < docs.count()
+
+
+def test_language_id(spark, docs, empty):
+    real = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.train(real, usable=langid.learnable())
+    got = langid.identify(real, model).join(real.select("doc_id", "lang"), "doc_id").collect()
+    held = [r for r in got if r.held_out]
+    assert {r.doc_id for r in held} == {r.doc_id for r in got if zlib.crc32(str(r.doc_id).encode()) % 4 == 2}
+    assert np.mean([r.lang == r.lang_pred for r in held]) >= 0.95
+    assert all(0 <= r.score <= 1 for r in got)
+    odd = {r.doc_id: r for r in langid.identify(docs, model).collect()}
+    assert all(odd[i].lang_pred == "und" and odd[i].score == 0 for i in (200, 201, 202, 203))
+    assert langid.train(empty) is None
+    assert {r.lang_pred for r in langid.identify(docs, None).collect()} == {"und"}
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def test_token_files_round_trip(docs, empty, tokenizer, tmp_path):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer)
+    files = tokenfile.write_token_files(docs, tokenizer, 1)
+    got = sorted(tokenfile.read_token_files(files).collect(), key=lambda r: r.start)
+    assert [r.start for r in got] == list(np.cumsum([0] + [r.n_tokens for r in got[:-1]]))
+    assert [r.doc_id or -1 for r in got] == sorted(i if i is not None else -1 for i, _ in plain(docs)) or got[0].doc_id is None
+    ids = {i: np.array(t.encode(x or "", add_special_tokens=False).ids + [1], dtype="<u4") for i, x in plain(docs)}
+    assert all((r.n_tokens, r.ids_crc32) == (len(ids[r.doc_id]), zlib.crc32(ids[r.doc_id].tobytes())) for r in got)
+    tokenfile.export(files, str(tmp_path))
+    assert sum(len(tokenfile.read_image(p.read_bytes())[2]) for p in tmp_path.iterdir()) == sum(r.n_tokens for r in got)
+    assert tokenfile.read_token_files(tokenfile.write_token_files(empty, tokenizer, 1)).count() == 0
+
+
+def test_encoder_agrees_with_the_library(tokenizer):
+    coder = tokenfile.Encoder(tokenizer, held=50)
+    odd = ["", "it's O'NEIL's", "<|endoftext|> x<|startoftext|>", "áë Éİ Å", "x\x1cy\x85z w", "don't!!!... #$% a,b", "日本語 テスト12３", "ǅ ß ﬁ Σας", "e=mc^2 (a)[b]{c}<d>", "'s 't'll", "naïve-café's", "İI"]
+    for t in odd * 2:
+        assert np.frombuffer(coder.encode([t])[0], "<u4").tolist() == coder.tokenizer.encode(t, add_special_tokens=False).ids, t
+
+
+def test_simple8b():
+    r = np.random.default_rng(0)
+    for n in (0, 1, 59, 60, 61, 1000):
+        for top in (1, 2, 300, 49_408, 1 << 40):
+            x = np.where(r.random(n) < 0.5, r.integers(0, top + 1, n), 0).astype(np.uint64)
+            assert (tokenfile.unpack(tokenfile.pack(x), n) == x).all()
+    with pytest.raises(ValueError):
+        tokenfile.pack(np.array([1 << 60], dtype=np.uint64))
+
+
+def test_html_extraction(spark):
+    real = spark.read.parquet(f"{SF}/pages.parquet")
+    wrong = 0
+    for r, got in zip(rows := real.orderBy("page_id").collect(), htmltext.extract(real).orderBy("page_id").collect()):
+        article = re.search(r"<article>(.*?)(?:</article>|$)", r.html, re.S)[1]
+        wrong += " ".join(b[1] for b in htmltext.leaf_blocks(article)) != got.text
+        assert got.n_chars == len(got.text)
+    assert wrong <= len(rows) // 50
+    kinds = [(1, "u", None), (2, "u", ""), (3, None, "<nav><ul><li><a href='/a'>Menu</a></li></ul></nav>"), (3, None, "no tags"), (4, "u", "<div class='ad'>buy</div><article><h1>A &amp;amp; b</h1><p>one<b>two</b>\n three<script>x<p></script></article><section class='comments'><p>me too</p></section>")]
+    out = htmltext.extract(spark.createDataFrame([(*k, "t") for k in kinds], "page_id long, url string, html string, text string")).collect()
+    assert sorted(r.page_id for r in out) == [1, 2, 3, 3, 4]
+    assert {r.page_id: r.text for r in out}[4] == "A &amp; b onetwo three"
+    assert all(r.text == "" for r in out if r.page_id in (1, 2))
+
+
+def test_long_pages_carry_state_across_chunks():
+    model = htmltext.trained()
+    page = "<nav><a href='/'>x</a></nav><article>" + "<p>some words of text here, and more.</p>" * 60 + "</article><footer>end</footer>"
+    blocks = htmltext.leaf_blocks(page)
+    x, mask, _ = htmltext.padded([(htmltext.block_vectors(blocks, 0, len(blocks), {}), np.zeros(len(blocks)))])
+    small = htmltext.CHUNK
+    try:
+        htmltext.CHUNK = 7
+        assert np.allclose(model.long_scores(blocks, {}), model.scores(x, mask)[0], atol=1e-5)
+    finally:
+        htmltext.CHUNK = small
+
+
+def test_secret_scan(spark, docs, empty):
+    forest = secretscan.trained()
+    x, y = secretscan.labelled_findings(500, seed=77)
+    assert np.mean((forest.predict(x) >= 0.5) == y) >= 0.95
+    key, sha = "9b0b3c6a43eb78aa99cbd7049c572391524f37a8", "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+    rows = [(1, f'é token = "{key}" end', "src"), (2, f"see commit {sha} for it", "docs"), (3, "password = changeme123", None), (4, None, None), (5, "", "x"), (1, f'é token = "{key}" end', "src")]
+    out = secretscan.scan(spark.createDataFrame([(*r, "k") for r in rows], "doc_id long, text string, source string, kind string"), forest).collect()
+    assert sorted((r.doc_id, r.is_secret) for r in out) == [(1, True), (1, True), (2, False), (3, False)]
+    assert next(r for r in out if r.doc_id == 1).start == 11
+    assert secretscan.redact(rows[0][1], [(11, 51)]) == 'é token = "[secret]" end'
+    assert secretscan.scan(empty, forest).count() == 0
+    secretscan.scan(docs, forest).count()
+
+
+def test_components_of_chains_and_stars(spark):
+    r = random.Random(3)
+    edges = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 140)] + [(7, 7)]
+    r.shuffle(edges)
+    got = {x.node: x.root for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(61)}, **{i: 100 for i in range(100, 140)}}
+    assert components(spark.createDataFrame([], T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))).count() == 0
