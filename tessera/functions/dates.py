@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .registry import number_function, raw_function
-from .values import NUM, NUMERIC, VALUE, Val, constant, first_error, num, settled, text, to_num, to_text, when
+from .values import NUM, NUMERIC, VALUE, Val, bind, constant, first_error, num, settled, text, to_num, to_text, when
 
 LAST = 2_958_465
 FIRST = -693_960
@@ -38,8 +38,8 @@ def parts(serial: Column) -> tuple[Column, Column, Column]:
 
 def _month_start(months: Column) -> Column:
     """Serial of the first day of a month counted from year 0."""
-    y, m = F.floor(months / 12), F.pmod(months, F.lit(12)) + 1
-    return _whole_serial(F.make_date(y.cast("int"), m.cast("int"), F.lit(1)))
+    first = bind(months, lambda k: F.make_date(F.floor(k / 12).cast("int"), (F.pmod(k, F.lit(12)) + 1).cast("int"), F.lit(1)))
+    return bind(first, _whole_serial)
 
 
 def _whole_serial(day: Column) -> Column:
@@ -48,28 +48,30 @@ def _whole_serial(day: Column) -> Column:
 
 def parsed_date(t: Column) -> Column:
     """Serial of ISO (y-m-d) or slash (m/d/y, or d/m/y when the first exceeds 12) text; null if it is no date."""
-    head = F.substring_index(F.substring_index(F.trim(t), "T", 1), " ", 1)
     iso, slash = r"^(\d{1,4})-(\d{1,2})-(\d{1,2})$", r"^(\d{1,2})/(\d{1,2})/(\d{1,4})$"
-    is_iso, is_slash = head.rlike(iso), head.rlike(slash)
-    g = lambda p, i: F.regexp_extract(head, p, i).try_cast("int")
-    a, b = g(slash, 1), g(slash, 2)
-    swap = (a > 12) & (b <= 12)
-    y = F.when(is_iso, g(iso, 1)).when(is_slash, g(slash, 3))
-    m = F.when(is_iso, g(iso, 2)).when(is_slash, F.when(swap, b).otherwise(a))
-    d = F.when(is_iso, g(iso, 3)).when(is_slash, F.when(swap, a).otherwise(b))
-    y = F.when(y < 1900, y + 1900).otherwise(y)
-    good = m.between(1, 12) & d.between(1, 31)
-    first = _month_start(F.when(good, y * 12 + m - 1))
-    after = _month_start(F.when(good, y * 12 + m))
-    return F.when(first + d - 1 < after, (first + d - 1).cast("double"))
+
+    def three(head: Column) -> Column:
+        g = lambda p, i: F.regexp_extract(head, p, i).try_cast("int")
+        a, b = g(slash, 1), g(slash, 2)
+        swap = (a > 12) & (b <= 12)
+        is_iso = head.rlike(iso)
+        y = F.when(is_iso, g(iso, 1)).otherwise(g(slash, 3))
+        return F.struct(y.alias("y"), F.when(is_iso, g(iso, 2)).when(swap, b).otherwise(a).alias("m"), F.when(is_iso, g(iso, 3)).when(swap, a).otherwise(b).alias("d"))
+
+    def serial(p: Column) -> Column:
+        good = p["m"].between(1, 12) & p["d"].between(1, 31)
+        year = F.when(p["y"] < 1900, p["y"] + 1900).otherwise(p["y"])
+        months = F.when(good, year * 12 + p["m"] - 1)
+        ends = F.struct(_month_start(months).alias("first"), _month_start(months + 1).alias("after"), p["d"].alias("d"))
+        return bind(ends, lambda e: F.when(e["first"] + e["d"] - 1 < e["after"], (e["first"] + e["d"] - 1).cast("double")))
+
+    return bind(bind(F.substring_index(F.substring_index(F.trim(t), "T", 1), " ", 1), three), serial)
 
 
 def date_arg(v: Val) -> Val:
     """A whole serial from a number, date text or numeric text."""
     if v.kind == "text":
-        t = F.trim(v.col)
-        plain = F.when(t.rlike(NUMERIC), F.when(t.rlike(NUMERIC), t).try_cast("double"))
-        raw = F.coalesce(parsed_date(v.col), plain)
+        raw = bind(F.trim(v.col), lambda t: F.coalesce(parsed_date(t), F.when(t.rlike(NUMERIC), t.try_cast("double"))))
         n = num(raw, v.err, when(raw.isNull(), VALUE))
     else:
         n = to_num(v)
@@ -87,10 +89,9 @@ def _date(y: Val, m: Val, d: Val) -> Val:
     a, b, c = _int(y), _int(m), _int(d)
     year = F.when(a.col.between(0, 1899), a.col + 1900).otherwise(a.col)
     months = year * 12 + b.col - 1
-    far = (months < 0) | (months >= 120_000)
-    serial = _month_start(F.when(~far, months)) + c.col - 1
-    bad = far | (serial < 0) | (serial > LAST)
-    return settled(num(serial.cast("double"), a.err, b.err, c.err, when(bad, NUM)))
+    serial = bind(months, lambda k: _month_start(F.when((k >= 0) & (k < 120_000), k))) + c.col - 1
+    out = bind(serial, lambda x: F.when(x.between(0, LAST), x.cast("double")))
+    return settled(num(out, a.err, b.err, c.err, when(out.isNull(), NUM)))
 
 
 def _part(i: int):
@@ -117,13 +118,17 @@ def _datevalue(v: Val) -> Val:
 def parsed_time(t: Column) -> Column:
     """Fraction of a day of h:m[:s] text with an optional date before and AM or PM after; null if it is no time."""
     shape = r"(?i)^(?:(\S+)[T ]\s*)?(\d{1,2}):(\d{1,2})(?::(\d{1,2}(?:\.\d*)?))?\s*(am|pm)?$"
-    s = F.trim(t)
-    g = lambda i: F.regexp_extract(s, shape, i)
-    h, m, sec = g(2).try_cast("int"), g(3).try_cast("int"), F.coalesce(g(4).try_cast("double"), F.lit(0.0))
-    half = F.lower(g(5))
-    hour = F.when(half == "", F.when(h < 24, h)).when(h.between(1, 12), h % 12 + F.when(half == "pm", 12).otherwise(0))
-    dated = (g(1) == "") | parsed_date(g(1)).isNotNull()
-    return F.when(s.rlike(shape) & dated & (m < 60) & (sec < 60), (hour * 3600 + m * 60 + sec) / 86400)
+
+    def pieces(s: Column) -> Column:
+        g = lambda i: F.regexp_extract(s, shape, i)
+        return F.struct(s.rlike(shape).alias("ok"), g(1).alias("date"), g(2).try_cast("int").alias("h"), g(3).try_cast("int").alias("m"), F.coalesce(g(4).try_cast("double"), F.lit(0.0)).alias("s"), F.lower(g(5)).alias("half"))
+
+    def fraction(p: Column) -> Column:
+        hour = F.when(p["half"] == "", F.when(p["h"] < 24, p["h"])).when(p["h"].between(1, 12), p["h"] % 12 + F.when(p["half"] == "pm", 12).otherwise(0))
+        dated = (p["date"] == "") | parsed_date(p["date"]).isNotNull()
+        return F.when(p["ok"] & dated & (p["m"] < 60) & (p["s"] < 60), (hour * 3600 + p["m"] * 60 + p["s"]) / 86400)
+
+    return bind(bind(F.trim(t), pieces), fraction)
 
 
 @raw_function("TIMEVALUE", 1)
@@ -144,14 +149,11 @@ def _time(h: Val, m: Val, s: Val) -> Val:
 def _clock(how):
     def build(v: Val) -> Val:
         if v.kind == "text":
-            t = F.trim(v.col)
-            plain = F.when(t.rlike(NUMERIC), F.when(t.rlike(NUMERIC), t).try_cast("double"))
-            raw = F.coalesce(parsed_time(v.col), plain, parsed_date(v.col))
+            raw = bind(F.trim(v.col), lambda t: F.coalesce(parsed_time(t), F.when(t.rlike(NUMERIC), t.try_cast("double")), parsed_date(t)))
             n = num(raw, v.err, when(raw.isNull(), VALUE))
         else:
             n = to_num(v)
-        seconds = F.floor((n.col - F.floor(n.col)) * 86400 + 1e-9)
-        return settled(num(how(seconds).cast("double"), n.err))
+        return settled(num(bind(n.col, lambda x: how(F.floor((x - F.floor(x)) * 86400 + 1e-9)).cast("double")), n.err))
 
     return build
 
@@ -169,13 +171,15 @@ def _days(end: Val, start: Val) -> Val:
 
 def _shifted(v: Val, months: Val, to_end: bool) -> Val:
     s, k = date_arg(v), _int(months)
+    def moved(p: Column) -> Column:
+        total = F.when((p["t"] >= 0) & (p["t"] < 119_999), p["t"])
+        last = _month_start(total + 1) - 1
+        return last if to_end else F.least(_month_start(total) + p["d"] - 1, last)
+
     y, m, d = parts(s.col)
-    total = y * 12 + m - 1 + k.col
-    far = (total < 0) | (total >= 119_999)
-    first, after = _month_start(F.when(~far, total)), _month_start(F.when(~far, total + 1))
-    last = after - 1
-    out = last if to_end else F.least(first + d - 1, last)
-    return settled(num(out.cast("double"), s.err, k.err, when(far | (out < 0) | (out > LAST), NUM)))
+    out = bind(F.struct((y * 12 + m - 1 + k.col).alias("t"), d.alias("d")), moved)
+    out = bind(out, lambda x: F.when(x.between(0, LAST), x.cast("double")))
+    return settled(num(out, s.err, k.err, when(s.col.isNotNull() & out.isNull(), NUM)))
 
 
 raw_function("EDATE", 2)(lambda v, m: _shifted(v, m, False))
@@ -199,10 +203,9 @@ def _weekday(v: Val, kind: Val | None = None) -> Val:
 @raw_function("WEEKNUM", 1, 2)
 def _weeknum(v: Val, kind: Val | None = None) -> Val:
     s, k = date_arg(v), _int(kind, 1)
-    y, _, _ = parts(s.col)
-    start = _month_start(y.cast("long") * 12)
     first = F.when(k.col.isin(1, 17), 0).when(k.col.isin(2, 11), 1).when(k.col.between(12, 16), k.col - 10)
-    plain = F.floor((s.col - start + F.pmod(weekday0(start) - first, F.lit(7))) / 7) + 1
+    year = bind(s.col, lambda x: _month_start(F.year(date_of(x)).cast("long") * 12))
+    plain = bind(F.struct(year.alias("start"), s.col.alias("s"), first.alias("first")), lambda p: F.floor((p["s"] - p["start"] + F.pmod(weekday0(p["start"]) - p["first"], F.lit(7))) / 7) + 1)
     out = F.when(k.col == 21, F.weekofyear(F.when(s.col == 60, F.date_add(date_of(s.col), 1)).otherwise(date_of(s.col)))).otherwise(plain)
     return settled(num(out.cast("double"), s.err, k.err, when(out.isNull() & s.col.isNotNull(), NUM)))
 
@@ -245,16 +248,24 @@ def _workday(start: Val, days: Val, holidays: Val | None = None) -> Val:
     return settled(num(out, s.err, k.err, *[h.err for h in free], when(out.isNull() | (out < 0) | (out > LAST), NUM)))
 
 
-def _days360(lo: Column, hi: Column, european) -> Column:
+def _split(lo: Column, hi: Column) -> Column:
     (y1, m1, d1), (y2, m2, d2) = parts(lo), parts(hi)
-    feb = lambda y, m, d: (m == 2) & (d == F.when(y == 1900, 29).otherwise(F.dayofmonth(F.last_day(F.make_date(y, F.lit(2), F.lit(1))))))
-    f1, f2 = feb(y1, m1, d1), feb(y2, m2, d2)
-    s_us = F.when(f1, 30).otherwise(d1)
-    e_us = F.when(f1 & f2, 30).otherwise(d2)
-    e_us = F.when((e_us == 31) & (s_us >= 30), 30).otherwise(e_us)
-    s = F.when(european, F.least(d1, F.lit(30))).otherwise(F.least(s_us, F.lit(30)))
-    e = F.when(european, F.least(d2, F.lit(30))).otherwise(e_us)
-    return (y2 - y1) * 360 + (m2 - m1) * 30 + e - s
+    return F.struct(*[c.alias(n) for c, n in zip((y1, m1, d1, y2, m2, d2), ("y1", "m1", "d1", "y2", "m2", "d2"))])
+
+
+def _days360(lo: Column, hi: Column, european: Column) -> Column:
+    last = lambda y: F.when(_leap(y), 29).otherwise(28)
+
+    def ends(p: Column) -> Column:
+        f1, f2 = (p["m1"] == 2) & (p["d1"] == last(p["y1"])), (p["m2"] == 2) & (p["d2"] == last(p["y2"]))
+        return F.struct(F.when(f1, 30).otherwise(p["d1"]).alias("s"), F.when(f1 & f2, 30).otherwise(p["d2"]).alias("e"))
+
+    def count(p: Column) -> Column:
+        us = bind(ends(p), lambda q: F.when((q["e"] == 31) & (q["s"] >= 30), 30).otherwise(q["e"]) - F.least(q["s"], F.lit(30)))
+        eu = F.least(p["d2"], F.lit(30)) - F.least(p["d1"], F.lit(30))
+        return (p["y2"] - p["y1"]) * 360 + (p["m2"] - p["m1"]) * 30 + F.when(european, eu).otherwise(us)
+
+    return bind(_split(lo, hi), count)
 
 
 @raw_function("DAYS360", 2, 3)
@@ -273,13 +284,16 @@ def _leap(y: Column) -> Column:
 def _yearfrac(start: Val, end: Val, basis: Val | None = None) -> Val:
     a, b, k = date_arg(start), date_arg(end), _int(basis, 0)
     lo, hi = F.least(a.col, b.col), F.greatest(a.col, b.col)
-    (y1, m1, d1), (y2, m2, d2) = parts(lo), parts(hi)
     days = hi - lo
-    short = (y1 == y2) | ((y2 == y1 + 1) & ((m2 * 100 + d2) <= (m1 * 100 + d1)))
+    year0 = lambda y: _month_start(y.cast("long") * 12)
     feb29 = lambda y: F.when(_leap(y), _month_start(y.cast("long") * 12 + 1) + 28)
-    holds = F.coalesce(feb29(y1).between(lo, hi - 1), F.lit(False)) | F.coalesce(feb29(y2).between(lo, hi - 1), F.lit(False))
-    mean = (_month_start((y2 + 1).cast("long") * 12) - _month_start(y1.cast("long") * 12)) / (y2 - y1 + 1)
-    actual = F.when(days == 0, 0.0).when(short, days / F.when(holds, 366.0).otherwise(365.0)).otherwise(days / mean)
+
+    def divisor(p: Column) -> Column:
+        short = (p["y1"] == p["y2"]) | ((p["y2"] == p["y1"] + 1) & ((p["m2"] * 100 + p["d2"]) <= (p["m1"] * 100 + p["d1"])))
+        holds = F.coalesce(feb29(p["y1"]).between(lo, hi - 1), F.lit(False)) | F.coalesce(feb29(p["y2"]).between(lo, hi - 1), F.lit(False))
+        return F.when(short, F.when(holds, 366.0).otherwise(365.0)).otherwise((year0(p["y2"] + 1) - year0(p["y1"])) / (p["y2"] - p["y1"] + 1))
+
+    actual = F.when(days == 0, 0.0).otherwise(days / bind(_split(lo, hi), divisor))
     out = F.when(k.col == 0, _days360(lo, hi, F.lit(False)) / 360.0).when(k.col == 1, actual).when(k.col == 2, days / 360.0).when(k.col == 3, days / 365.0).when(k.col == 4, _days360(lo, hi, F.lit(True)) / 360.0)
     return settled(num(F.when(a.col <= b.col, out).otherwise(-out), a.err, b.err, k.err, when(~k.col.between(0, 4), NUM)))
 

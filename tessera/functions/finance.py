@@ -11,19 +11,25 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .registry import MOST, number_function, raw_function
-from .values import DIV0, NUM, Val, constant, error, finite, first_error, num, settled, to_num, when
+from .values import DIV0, NUM, Val, bind, constant, error, finite, first_error, num, settled, to_num, when
 
 
-def _terms(rate: Column, n: Column) -> tuple[Column, Column, Column]:
-    """(growth, annuity, bad): (1 + rate) ** n and the sum of its lower powers."""
-    base = 1 + rate
-    log = F.when(base > 0, n * F.log1p(rate))
-    negative = F.when(n == F.floor(n), F.pow(F.abs(base), n) * F.when(F.pmod(n, F.lit(2.0)) == 0, 1.0).otherwise(-1.0))
-    at_zero = F.when(n > 0, 0.0).when(n == 0, 1.0)
-    growth = F.when(rate == 0, 1.0).when(base > 0, F.exp(log)).when(base == 0, at_zero).otherwise(negative)
-    safe = F.when(rate != 0, rate)
-    annuity = F.when(rate == 0, n).when(base > 0, F.expm1(log) / safe).otherwise((growth - 1) / safe)
-    return growth, annuity, growth.isNull() | F.isnan(growth) | (growth == float("inf"))
+def _terms(rate: Column, n: Column) -> Column:
+    """(g, a): growth (1 + rate) ** n and the sum of its lower powers; null growth where there is none."""
+    def growth(p: Column) -> Column:
+        base = 1 + p["r"]
+        negative = F.when(p["n"] == F.floor(p["n"]), F.pow(F.abs(base), p["n"]) * F.when(F.pmod(p["n"], F.lit(2.0)) == 0, 1.0).otherwise(-1.0))
+        at_zero = F.when(p["n"] > 0, 0.0).when(p["n"] == 0, 1.0)
+        log = F.when(base > 0, p["n"] * F.log1p(p["r"]))
+        g = F.when(p["r"] == 0, 1.0).when(base > 0, F.exp(log)).when(base == 0, at_zero).otherwise(negative)
+        return F.struct(p["r"].alias("r"), p["n"].alias("n"), log.alias("log"), g.alias("g"))
+
+    def both(p: Column) -> Column:
+        safe = F.when(p["r"] != 0, p["r"])
+        annuity = F.when(p["r"] == 0, p["n"]).when(p["r"] > -1, F.expm1(p["log"]) / safe).otherwise((p["g"] - 1) / safe)
+        return F.struct(F.when(~F.isnan(p["g"]) & (p["g"] != float("inf")), p["g"]).alias("g"), annuity.alias("a"))
+
+    return bind(bind(F.struct(rate.alias("r"), n.alias("n")), growth), both)
 
 
 def _due(rate: Column, kind: Column) -> Column:
@@ -34,55 +40,61 @@ def _zero(c: Column | None) -> Column:
     return F.lit(0.0) if c is None else c
 
 
+def _judged(terms: Column, value: Callable[[Column], Column], zero: Callable[[Column], Column] | None = None) -> Val:
+    """A value of the terms; no growth is #NUM!, and a vanishing `zero` #DIV/0!."""
+    def pair(t: Column) -> Column:
+        err = F.when(t["g"].isNull(), F.lit(NUM))
+        err = err if zero is None else err.when(zero(t) == 0, F.lit(DIV0))
+        return F.struct(value(t).alias("v"), err.alias("e"))
+
+    both = bind(terms, pair)
+    return finite(both["v"], both["e"])
+
+
 @number_function("PV", 3, 5)
 def _pv(rate, n, pmt, fv=None, kind=None) -> Val:
-    growth, annuity, bad = _terms(rate, n)
-    ok = F.when(growth != 0, growth)
-    return finite(-(_zero(fv) + pmt * _due(rate, _zero(kind)) * annuity) / ok, when(bad, NUM), when(growth == 0, DIV0))
+    return _judged(_terms(rate, n), lambda t: -(_zero(fv) + pmt * _due(rate, _zero(kind)) * t["a"]) / F.when(t["g"] != 0, t["g"]), lambda t: t["g"])
 
 
-def fv_column(rate, n, pmt, pv, kind) -> tuple[Column, Column]:
-    growth, annuity, bad = _terms(rate, n)
-    return -(pv * growth + pmt * _due(rate, kind) * annuity), bad
+def _fv_of(t: Column, rate, pmt, pv, kind) -> Column:
+    return -(pv * t["g"] + pmt * _due(rate, kind) * t["a"])
 
 
-@number_function("FV", 3, 5)
-def _fv(rate, n, pmt, pv=None, kind=None) -> Val:
-    out, bad = fv_column(rate, n, pmt, _zero(pv), _zero(kind))
-    return finite(out, when(bad, NUM))
+def _pmt_of(t: Column, rate, pv, fv, kind) -> Column:
+    below = _due(rate, kind) * t["a"]
+    return -(fv + pv * t["g"]) / F.when(below != 0, below)
 
 
-def pmt_column(rate, n, pv, fv, kind) -> tuple[Column, Column, Column]:
-    growth, annuity, bad = _terms(rate, n)
-    below = _due(rate, kind) * annuity
-    return -(fv + pv * growth) / F.when(below != 0, below), bad, below == 0
+@number_function("FV", 3, 5)
+def _fv(rate, n, pmt, pv=None, kind=None) -> Val:
+    return _judged(_terms(rate, n), lambda t: _fv_of(t, rate, pmt, _zero(pv), _zero(kind)))
 
 
 @number_function("PMT", 3, 5)
 def _pmt(rate, n, pv, fv=None, kind=None) -> Val:
-    out, bad, zero = pmt_column(rate, n, pv, _zero(fv), _zero(kind))
-    return finite(out, when(bad, NUM), when(zero, DIV0))
+    return _judged(_terms(rate, n), lambda t: _pmt_of(t, rate, pv, _zero(fv), _zero(kind)), lambda t: t["a"])
 
 
-def _interest(rate, per, n, pv, fv, kind) -> tuple[Column, Column, Column]:
-    pay, bad, zero = pmt_column(rate, n, pv, fv, kind)
-    owed, _ = fv_column(rate, per - 1, pay, pv, kind)
+def _share(rate, per, n, pv, fv, kind, principal: bool) -> Val:
+    """Interest of one period, or what the payment leaves for the principal."""
+    fv, kind = _zero(fv), _zero(kind)
     due = kind != 0
-    out = F.when(due & (per == 1), 0.0).otherwise(owed * rate / F.when(due, F.when(rate != -1, 1 + rate)).otherwise(1.0))
-    return out, bad | (per < 1) | (per > n) | (n < 1), zero
+    outside = (per < 1) | (per > n) | (n < 1)
+
+    def value(t: Column) -> Column:
+        def interest(pay: Column) -> Column:
+            owed = bind(_terms(rate, per - 1), lambda u: _fv_of(u, rate, pay, pv, kind))
+            part = F.when(due & (per == 1), 0.0).otherwise(owed * rate / F.when(due, F.when(rate != -1, 1 + rate)).otherwise(1.0))
+            return pay - part if principal else part
 
+        return bind(_pmt_of(t, rate, pv, fv, kind), interest)
 
-@number_function("IPMT", 4, 6)
-def _ipmt(rate, per, n, pv, fv=None, kind=None) -> Val:
-    out, bad, zero = _interest(rate, per, n, pv, _zero(fv), _zero(kind))
-    return finite(out, when(bad, NUM), when(zero, DIV0))
+    out = _judged(_terms(rate, n), value, lambda t: t["a"])
+    return num(out.col, when(outside, NUM), out.err)
 
 
-@number_function("PPMT", 4, 6)
-def _ppmt(rate, per, n, pv, fv=None, kind=None) -> Val:
-    out, bad, zero = _interest(rate, per, n, pv, _zero(fv), _zero(kind))
-    pay, _, _ = pmt_column(rate, n, pv, _zero(fv), _zero(kind))
-    return finite(pay - out, when(bad, NUM), when(zero, DIV0))
+number_function("IPMT", 4, 6)(lambda rate, per, n, pv, fv=None, kind=None: _share(rate, per, n, pv, fv, kind, False))
+number_function("PPMT", 4, 6)(lambda rate, per, n, pv, fv=None, kind=None: _share(rate, per, n, pv, fv, kind, True))
 
 
 def solve(f: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], guess: np.ndarray) -> np.ndarray:
@@ -122,21 +134,32 @@ def solve(f: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], guess: np.nd
 
 def irr_of(flows: list, guess: float = 0.1) -> float:
     """Internal rate of return of one list of flows; NaN without both signs or without a root."""
-    cf = np.array([x for x in flows if x is not None and not np.isnan(x)], dtype=np.float64)
-    if not (cf > 0).any() or not (cf < 0).any():
-        return float("nan")
+    return float(irr_rows([flows], np.array([guess]))[0])
 
-    def f(x):
-        d = np.exp(-x)[:, None] ** np.arange(len(cf))
-        return (cf * d).sum(axis=1), (np.abs(cf) * d).sum(axis=1)
 
-    with np.errstate(all="ignore"):
-        return float(solve(f, np.array([guess]))[0])
+def irr_rows(rows: list, guess: np.ndarray) -> np.ndarray:
+    """IRR of many lists at once; the shorter end in zeros, which change nothing."""
+    lists = [[x for x in r if x is not None and x == x] if r is not None else [] for r in rows]
+    cf = np.zeros((len(lists), max([1, *map(len, lists)])))
+    for i, r in enumerate(lists):
+        cf[i, : len(r)] = r
+    held = (cf > 0).any(axis=1) & (cf < 0).any(axis=1)
+    out = np.full(len(lists), np.nan)
+    if held.any():
+        some = cf[held]
+
+        def f(x):
+            d = np.exp(-x[:, None] * np.arange(some.shape[1]))
+            return (some * d).sum(axis=1), (np.abs(some) * d).sum(axis=1)
+
+        with np.errstate(all="ignore"):
+            out[held] = solve(f, guess[held])
+    return out
 
 
 @F.pandas_udf(T.DoubleType())
 def irr_udf(flows: pd.Series, guess: pd.Series) -> pd.Series:
-    return pd.Series([irr_of(list(x), g) if x is not None else None for x, g in zip(flows, guess)], dtype="float64")
+    return pd.Series(irr_rows([None if x is None else list(x) for x in flows], guess.to_numpy(np.float64)))
 
 
 @F.pandas_udf(T.DoubleType())

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from .dates import date_text
 from .math import towards_zero
 from .registry import MOST, number_function, raw_function, text_function
-from .values import NUM, NUMERIC, VALUE, Val, boolean, constant, error, finite, first_error, num, settled, text, to_bool, to_num, to_text, when
+from .values import NUM, NUMERIC, VALUE, Val, bind, boolean, constant, error, finite, first_error, num, settled, text, to_bool, to_num, to_text, when
 
 text_function("LEN", 1)(lambda t: num(F.char_length(t).cast("double")))
 text_function("UPPER", 1)(lambda t: text(F.upper(t)))
@@ -122,14 +122,19 @@ def _search(needle: Val, hay: Val, start: Val | None = None) -> Val:
 
 
 def _parsed(t: Column, decimal: Column, group: Column) -> Val:
-    s = F.trim(t)
-    marks = F.length(F.regexp_extract(s, r"([%\s]*)$", 1)) - F.length(F.regexp_replace(F.regexp_extract(s, r"([%\s]*)$", 1), "%", ""))
-    body = F.trim(F.regexp_replace(s, r"[%\s]*$", ""))
-    tail = F.when(F.instr(body, decimal) > 0, F.substring(body, F.call_function("locate", decimal, body) + 1, F.length(body))).otherwise(F.lit(""))
-    late_group = (group != "") & (F.call_function("locate", group, tail) > 0)
-    plain = F.regexp_replace(F.replace(F.when(group == "", body).otherwise(F.replace(body, group, F.lit(""))), decimal, F.lit(".")), r"\s", "")
-    good = plain.rlike(NUMERIC) & ~late_group & (decimal != group) & (F.length(decimal) == 1) & (F.length(group) <= 1)
-    return finite(F.when(good, F.when(good, plain).try_cast("double")) * F.pow(F.lit(0.01), marks), when(~good, VALUE))
+    def pieces(s: Column) -> Column:
+        tail = F.regexp_extract(s, r"([%\s]*)$", 1)
+        return F.struct(F.trim(F.regexp_replace(s, r"[%\s]*$", "")).alias("body"), (F.length(tail) - F.length(F.regexp_replace(tail, "%", ""))).alias("marks"))
+
+    def number(p: Column) -> Column:
+        at = F.call_function("locate", decimal, p["body"])
+        late_group = (group != "") & (at > 0) & (F.call_function("locate", group, F.substring(p["body"], at + 1, F.length(p["body"]))) > 0)
+        sound = ~late_group & (decimal != group) & (F.length(decimal) == 1) & (F.length(group) <= 1)
+        bare = F.regexp_replace(F.replace(F.when(group == "", p["body"]).otherwise(F.replace(p["body"], group, F.lit(""))), decimal, F.lit(".")), r"\s", "")
+        return bind(bare, lambda b: F.when(sound & b.rlike(NUMERIC), b.try_cast("double"))) * F.pow(F.lit(0.01), p["marks"])
+
+    out = bind(bind(F.trim(t), pieces), number)
+    return finite(out, when(out.isNull(), VALUE))
 
 
 @raw_function("NUMBERVALUE", 1, 3)
@@ -210,9 +215,8 @@ def _text(v: Val, fmt: Val) -> Val:
 
 
 def fixed(c: Column, digits: int) -> Column:
-    """Decimal places of the exact binary value, halves to even."""
-    whole = F.bround(c.cast(f"decimal(38,{min(18, digits + 6)})"), digits)
-    return F.format_string(f"%.{digits}f", whole)
+    """So many decimal places, halves of the decimal form to even."""
+    return F.bround(c.cast(f"decimal(38,{min(18, digits + 6)})"), digits).cast(f"decimal(38,{digits})").cast("string")
 
 
 __all__ = ["NUM"]

@@ -70,9 +70,14 @@ def when(cond: Column, code: str) -> Column:
     return F.when(cond, F.lit(code))
 
 
+def bind(col: Column, f: Callable[[Column], Column]) -> Column:
+    """f(col) with col evaluated once however often f uses it: expressions are trees, so plain reuse multiplies them."""
+    return F.get(F.transform(F.array(col), f), F.lit(0))
+
+
 def finite(col: Column, *errs: Column | None) -> Val:
     """A number whose infinities and NaN become #NUM!."""
-    bad = col.isNotNull() & (F.isnan(col) | (F.abs(col) == float("inf")))
+    bad = F.isnan(col) | (F.abs(col) == float("inf"))
     return Val("num", F.when(~bad, col), first_error(*errs, when(bad, NUM)))
 
 
@@ -88,10 +93,8 @@ def to_num(v: Val) -> Val:
         return Val("num", F.coalesce(v.col.cast("double"), F.lit(0.0)), v.err)
     if v.kind == "blank":
         return Val("num", F.lit(0.0), v.err, 0.0)
-    t = F.trim(F.coalesce(v.col, F.lit("")))
-    good = t.rlike(NUMERIC)
-    value = F.when(t == "", F.lit(0.0)).when(good, F.when(good, t).try_cast("double"))
-    return finite(value, v.err, when(~good & (t != ""), VALUE))
+    value = bind(F.trim(F.coalesce(v.col, F.lit(""))), lambda t: F.when(t == "", F.lit(0.0)).when(t.rlike(NUMERIC), t.try_cast("double")))
+    return finite(value, v.err, when(value.isNull(), VALUE))
 
 
 def to_bool(v: Val) -> Val:
@@ -107,18 +110,19 @@ def to_bool(v: Val) -> Val:
 
 def number_text(c: Column) -> Column:
     """The shortest decimal that reads back as the number, never with an exponent, integers without a point."""
-    s = F.abs(c).cast("string")
-    has_e = F.instr(s, "E") > 0
-    mantissa = F.substring_index(s, "E", 1)
-    exp = F.when(has_e, F.substring_index(s, "E", -1).try_cast("int")).otherwise(F.lit(0))
-    whole, frac = F.substring_index(mantissa, ".", 1), F.substring_index(mantissa, ".", -1)
-    frac = F.when(frac == "0", F.lit("")).otherwise(frac)
-    width = F.greatest(exp, F.length(frac))
-    grown = F.rpad(frac, width, "0")
-    large = F.concat(whole, F.substring(grown, F.lit(1), exp), F.when(F.length(grown) > exp, F.concat(F.lit("."), F.substring(grown, exp + 1, F.length(grown)))).otherwise(F.lit("")))
-    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), F.greatest(F.lit(0), -exp - 1)), whole, frac)
-    plain = F.when(exp < 0, small).otherwise(large)
-    return F.concat(F.when(c < 0, F.lit("-")).otherwise(F.lit("")), plain)
+    def parts(s: Column) -> Column:
+        mantissa = F.substring_index(s, "E", 1)
+        frac = F.substring_index(mantissa, ".", -1)
+        exp = F.when(F.instr(s, "E") > 0, F.substring_index(s, "E", -1).try_cast("int")).otherwise(F.lit(0))
+        return F.struct(F.substring_index(mantissa, ".", 1).alias("whole"), F.when(frac == "0", F.lit("")).otherwise(frac).alias("frac"), exp.alias("exp"))
+
+    def joined(p: Column) -> Column:
+        grown = F.rpad(p["frac"], F.greatest(p["exp"], F.length(p["frac"])), "0")
+        large = F.concat(p["whole"], F.substring(grown, F.lit(1), p["exp"]), F.when(F.length(grown) > p["exp"], F.concat(F.lit("."), F.substring(grown, p["exp"] + 1, F.length(grown)))).otherwise(F.lit("")))
+        small = F.concat(F.lit("0."), F.repeat(F.lit("0"), F.greatest(F.lit(0), -p["exp"] - 1)), p["whole"], p["frac"])
+        return F.when(p["exp"] < 0, small).otherwise(large)
+
+    return F.concat(F.when(c < 0, F.lit("-")).otherwise(F.lit("")), bind(bind(F.abs(c).cast("string"), parts), joined))
 
 
 def to_text(v: Val) -> Val:

@@ -52,7 +52,7 @@ def nearest(probe: DataFrame, key: str, table: DataFrame, table_key: str, result
     sign = -1.0 if larger else 1.0
     pick = F.min_by if first else F.max_by
     t = table.where(F.col(f"`{table_key}`").isNotNull()).groupBy((F.col(f"`{table_key}`").cast("double") * sign).alias("_k")).agg(*[pick(F.col(f"`{c}`"), F.col(ROW)).alias(n) for n, c in results.items()])
-    carried = F.struct(F.col("_k").alias("at"), *[F.col(n) for n in results])
+    carried = F.struct(F.col("_k").alias("_at"), *[F.col(n) for n in results])
     p = probe.withColumn("_k", F.col(f"`{key}`").cast("double") * sign)
     cuts = t.agg(F.percentile_approx("_k", F.array(*[F.lit(i / buckets) for i in range(1, buckets)]), 1000).alias("_c"))
     # the cut points are one row of at most `buckets` numbers

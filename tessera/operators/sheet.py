@@ -129,7 +129,7 @@ class Compiler:
         self.scalars: dict[str, list[tuple[str, Val]]] = {}
         self.windows: list[tuple[int, int, dict]] = []
         self.sums: dict[str, Column] = {}
-        self.joins: list = []
+        self.steps: list = []
         self.n = 0
 
     def alias(self) -> str:
@@ -213,7 +213,7 @@ class Compiler:
         """A cell of the same or a shifted row of another sheet: a join on the position."""
         v, name = self.read(s.sheet, s.columns[0]), self.alias()
         other = self.book.sheets[s.sheet].df.select((F.col(ROW) - s.low).alias(ROW), v.col.alias(name))
-        self.joins.append(lambda df: df.join(other, ROW, "left"))
+        self.steps.append(lambda df: df.join(other, ROW, "left"))
         return Val(v.kind, F.col(name))
 
     # trees
@@ -226,10 +226,10 @@ class Compiler:
         if isinstance(node, (tree.Cell, tree.Area, tree.Columns, tree.Name)):
             return self.ref(node)
         if isinstance(node, tree.Unary):
-            v = to_num(self.val(node.arg))
+            v = to_num(self.part(node.arg))
             return v if node.op == "+" else Val("num", -v.col if node.op == "-" else v.col / 100, v.err)
         if isinstance(node, tree.Binary):
-            a, b = self.val(node.left), self.val(node.right)
+            a, b = self.part(node.left), self.part(node.right)
             return concat(a, b) if node.op == "&" else arithmetic(node.op, a, b) if node.op in "+-*/^" else compare(node.op, a, b)
         return self.call(node)
 
@@ -246,7 +246,17 @@ class Compiler:
             return self.direct(name, args)
         if name not in registry.FUNCTIONS:
             return error(NAME)
-        return registry.call(name, [self.val(a) for a in args])
+        return registry.call(name, [self.part(a) for a in args])
+
+    def part(self, node) -> Val:
+        """A value that an operation may use several times: anything but a leaf becomes a column of its own first."""
+        v = self.val(node)
+        if not isinstance(node, (tree.Call, tree.Binary)) or v.src is not None or v.kind == "blank":
+            return v
+        name = self.alias()
+        made = {name: v.col} if v.err is None else {name: v.col, name + "e": v.err}
+        self.steps.append(lambda df: df.withColumns(made))
+        return Val(v.kind, F.col(name), None if v.err is None else F.col(name + "e"))
 
     def is_range(self, node) -> bool:
         s = self.span(node)
@@ -397,7 +407,7 @@ class Compiler:
         top = counts.orderBy(F.col("v").desc() if descending else F.col("v").asc()).limit(max(1, n))
         run = F.aggregate(F.array_sort(F.collect_list(F.struct((-F.col("v") if descending else F.col("v")).alias("o"), "v", "c"))), F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("double").alias("r")), lambda a, y: F.struct((a["n"] + y["c"]).alias("n"), F.when(a["r"].isNull() & (a["n"] + y["c"] >= n), y["v"]).otherwise(a["r"]).alias("r")))
         one = top.agg(run["r"].alias(name)) if n >= 1 else counts.agg(F.max(F.lit(None).cast("double")).alias(name))
-        self.joins.append(lambda df: df.join(F.broadcast(one), how="cross"))
+        self.steps.append(lambda df: df.join(F.broadcast(one), how="cross"))
         return values.num(F.col(name), values.when(F.col(name).isNull(), values.NUM))
 
     def fn_large(self, node, k) -> Val:
@@ -411,7 +421,7 @@ class Compiler:
         name = self.alias()
         counts = self.book.sheets[sheet].df.select(agg.numbers(v).alias("v")).where("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("c"))
         one = counts.where("c > 1").agg(F.max(F.struct(F.col("c"), (-F.col("v")).alias("m"))).alias("b")).select((-F.col("b.m")).alias(name))
-        self.joins.append(lambda df: df.join(F.broadcast(one), how="cross"))
+        self.steps.append(lambda df: df.join(F.broadcast(one), how="cross"))
         return values.num(F.col(name), values.when(F.col(name).isNull(), NA))
 
     def fn_rank_eq(self, key, node, order=None) -> Val:
@@ -423,8 +433,8 @@ class Compiler:
         name, k = self.alias(), self.alias()
         counts = self.book.sheets[sheet].df.select(agg.numbers(v).alias(k)).where(F.col(k).isNotNull()).groupBy(k).agg(F.count(F.lit(1)).alias("_c"))
         ranks = running(number_rows(counts, F.col(k).asc() if up else F.col(k).desc()), {"_upto": F.col("_c")}).select(k, (F.col("_upto") - F.col("_c") + 1).cast("double").alias(name))
-        probe = to_num(self.val(key))
-        self.joins.append(lambda df: df.withColumn(k, probe.col).join(ranks, k, "left").drop(k))
+        probe = to_num(self.part(key))
+        self.steps.append(lambda df: df.withColumn(k, probe.col).join(ranks, k, "left").drop(k))
         del Window
         return values.num(F.col(name), probe.err, values.when(F.col(name).isNull(), NA))
 
@@ -476,7 +486,7 @@ class Compiler:
         res = self.folded(kind, value, None)
         grouped = picked.groupBy(*[norm(v).alias(n) for (v, _), n in zip(keys, names)]).agg(res.col.alias(out), *([res.err.alias(out + "e")] if res.err is not None else []))
         probes = {n: norm(k) for (_, k), n in zip(keys, names)}
-        self.joins.append(lambda df: df.withColumns(probes).join(grouped, names, "left").drop(*names))
+        self.steps.append(lambda df: df.withColumns(probes).join(grouped, names, "left").drop(*names))
         miss = F.col(out).isNull() & (F.col(out + "e").isNull() if res.err is not None else F.lit(True))
         err = values.when(miss, values.DIV0) if kind == "AVERAGE" else None
         return Val("num", F.col(out) if kind == "AVERAGE" else F.coalesce(F.col(out), F.lit(0.0)), first_error(*[k.err for _, k in keys], F.col(out + "e") if res.err is not None else None, err))
@@ -487,15 +497,15 @@ class Compiler:
         return agg.aggregate(kind, value, where)
 
     def lookup(self, key, table_sheet: str, key_col: str, result_cols: dict, mode: int, last: bool, validate: bool) -> Val | None:
-        k, found = self.val(key), self.alias()
+        k, found = self.part(key), self.alias()
         table, probe = self.book.sheets[table_sheet].df, self.alias()
         if mode == 2:
             one = lookups.wildcard_first(table, key_col, key.value, result_cols, last)
-            self.joins.append(lambda df: df.join(F.broadcast(one), how="cross").withColumn(found, F.col(next(iter(result_cols))).isNotNull()))
+            self.steps.append(lambda df: df.join(F.broadcast(one), how="cross").withColumn(found, F.col(next(iter(result_cols))).isNotNull()))
         elif mode == 0:
-            self.joins.append(lambda df: lookups.exact(df.withColumn(probe, k.col), probe, table, key_col, result_cols, last, found).drop(probe))
+            self.steps.append(lambda df: lookups.exact(df.withColumn(probe, k.col), probe, table, key_col, result_cols, last, found).drop(probe))
         else:
-            self.joins.append(lambda df: lookups.nearest(df.withColumn(probe, k.col), probe, table, key_col, result_cols, larger=mode == 1, validate=validate, found=found).drop(probe))
+            self.steps.append(lambda df: lookups.nearest(df.withColumn(probe, k.col), probe, table, key_col, result_cols, larger=mode == 1, validate=validate, found=found).drop(probe))
         return Val("bool", F.col(found), k.err)
 
     def result(self, found: Val, sheet: str, col: str, name: str, spare: Val | None = None) -> Val:
@@ -541,9 +551,9 @@ class Compiler:
         c = 0 if col is None else int(self.number(col)) - 1
         if c < 0 or c >= len(s.columns):
             return error(VALUE if c < 0 else REF)
-        at, src = to_num(self.val(row)), self.book.sheets[s.sheet].df
+        at, src = to_num(self.part(row)), self.book.sheets[s.sheet].df
         probe = self.alias()
-        self.joins.append(lambda df: lookups.index_rows(src, df.withColumn(probe, at.col), probe, s.columns[c], name).drop(probe))
+        self.steps.append(lambda df: lookups.index_rows(src, df.withColumn(probe, at.col), probe, s.columns[c], name).drop(probe))
         v = cell_val(src, s.columns[c])
         return Val(v.kind, F.col(name).cast("double") if v.kind == "num" else F.col(name), first_error(at.err, F.col(f"{name}_err")))
 
@@ -558,8 +568,8 @@ class Compiler:
         for sheet, scalars in self.scalars.items():
             cols = [c for name, x in scalars for c in ([x.col.alias(name)] + ([x.err.alias(name + "e")] if x.err is not None else []))]
             df = df.join(F.broadcast(self.book.sheets[sheet].df.agg(*cols)), how="cross")
-        for join in self.joins:
-            df = join(df)
+        for step in self.steps:
+            df = step(df)
         v = values.settled(v)
         made = df.withColumn(out, v.col) if v.err is None else df.withColumn(out, v.col).withColumn(f"{out}_err", v.err)
         keep = [ROW, *self.here.df.columns, out, f"{out}_err"]
