@@ -728,3 +728,36 @@ def oplog_gap_dedup(spark, sf_dir):
     stream = spark.readStream.schema(log.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 4).parquet(path)
     out = _drained(oplog.apply_stream(stream), "append")
     return out.where("status = 'applied'").select("doc", "version", "mutation_id", "op")
+
+
+@query("select event_id, event_type from events")
+def stream_dedup(spark, sf_dir):
+    from .streaming import views
+
+    events = _events(spark, sf_dir)
+    return _drained(views.deduplicated(events.unionByName(events), "ts", "event_id", "400 days").select("event_id", "event_type"), "append")
+
+
+@query(f"select _row, n_name, n_regionkey from {numbered('nation')}")
+def snapshot_roundtrip(spark, sf_dir):
+    from .paths import scratch
+    from .sources import snapshot
+
+    path = scratch(spark, "snapshot")
+    snapshot.save_snapshot(spark, Workbook({"N": Sheet(sheet(spark, sf_dir, "nation").select(ROW, "n_name", "n_regionkey"))}, {"FIRST": "N!$A$1"}), path)
+    return snapshot.load_snapshot(spark, path).sheets["N"].df
+
+
+@query("select n_nationkey from nation where n_regionkey <> 2")
+def versioned_commit(spark, sf_dir):
+    from .paths import scratch
+    from .sources.snapshot import VersionedStore
+
+    store, df = VersionedStore(spark, scratch(spark, "store")), table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
+    steps = [store.commit(df, -1, "m0"), store.commit(df.where("n_regionkey <> 2"), 0, "m1"), store.commit(df.limit(1), 0, "m2"), store.commit(df.limit(2), 1, "m1")]
+    if steps != ["applied", "applied", "conflict", "duplicate"]:
+        raise ValueError(f"commits went {steps}")
+    return store.load().select("n_nationkey")
+
+
+book_query("xmatch", _OC, "O", {"first": "=XMATCH([@o_custkey],C[c_custkey])", "last": "=XMATCH([@o_custkey],C[c_custkey],0,-1)"}, f"select o_orderkey, (c._row + 1)::double as first, (c._row + 1)::double as last from orders left join {numbered('customer')} c on c_custkey = o_custkey", ("o_orderkey", "first", "last"))
