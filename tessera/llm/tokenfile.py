@@ -36,7 +36,7 @@ MAGIC, BLOCK, IDS_PER_IMAGE = b"TSB8", 8192, 1 << 20
 SELECTORS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
 COUNTS = np.array([c for c, _ in SELECTORS])
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-PUNCTUATION = b"!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
+PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: The byte-level alphabet by its rule: printable bytes stand for themselves, the others follow from U+0100 on.
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_LEVEL = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(_PRINTED))}
@@ -50,6 +50,14 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def _ends_token(stem: bytes) -> bool:
+    """Whether the pre-tokenizer always cuts between this stem and punctuation behind it."""
+    if stem[-1] < 128:
+        return stem[-1:].isalnum()
+    last = stem[-2:].decode(errors="ignore")[-1:]
+    return last.isalpha() and last <= "\u024f" and len(last.lower()) == 1
+
+
 def _widths(ids: np.ndarray) -> np.ndarray:
     if len(ids) and int(ids.max()) >> 60:
         raise ValueError("an id needs more than 60 bits")
@@ -140,8 +148,9 @@ class Encoder:
     """Whole texts to ids with the tokenizers library, which sees each distinct word once.
 
     This vocabulary's pre-tokenizer drops white space, so a text's ids are those of its words in order; a word is
-    lower-cased (A-Z) and, where it ends in ASCII punctuation, encoded as stem and tail, between which the
-    pre-tokenizer splits too. Texts with special-token strings or combining marks go through the library whole.
+    lower-cased (A-Z) and, where it ends in ASCII punctuation behind a Latin letter or a digit, encoded as stem and
+    tail, between which the pre-tokenizer splits too. Texts with special-token strings or combining marks go through
+    the library whole.
     """
 
     def __init__(self, path: str, held: int = 600_000):
@@ -169,7 +178,7 @@ class Encoder:
         seen, rest, pairs = self.seen, [], []
         for w in words:
             stem = w.rstrip(PUNCTUATION)
-            if stem and len(stem) < len(w):
+            if stem and len(stem) < len(w) and _ends_token(stem):
                 pairs.append((w, stem, w[len(stem) :]))
                 parts = pairs[-1][1:]
             else:

@@ -246,6 +246,18 @@ def tokenizer():
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def test_words_encode_as_whole_texts_do(tokenizer):
+    """Pieces of scripts, punctuation and marks in random order: the word-wise ids equal the library's."""
+    from tokenizers import Tokenizer
+
+    pools = ["abcXYZ 019.,!?'\"-_()<>|[]{}&#@\n\t", "\u00e9\u00fc\u00df\u0130\u0131\u017f\u03a3\u03c2 ab'.", "\u65e5\u672c \ud55c\u1100\uac00 ", "\u0323\u0301\u1ab0\u05b8\u200d\ufeff a.", "\U0001f600\U0001f3fd a.", "\u00a0\u2028\x85\x1c\x0b a.b", "\ufb01\u00bd\u00b2\u01c5 a1.", "'s't're I'm they'll ", "\u2019\u2018\u201c\u201d\u2013\u2026 ab'."]
+    rng = random.Random(7)
+    texts = ["".join(rng.choice(rng.choice(pools)) for _ in range(rng.randint(1, 24))) for _ in range(6000)] + ["\u2019, 'quoted'. a3\u2026. 6\u2019& \u0130."]
+    library, coder = Tokenizer.from_file(tokenizer), tokenfile.Encoder(tokenizer)
+    want = [np.array(e.ids, dtype="<u4").tobytes() for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert [b for a in range(0, len(texts), 50) for b in coder.encode(texts[a : a + 50])] == want
+
+
 def test_token_files_round_trip(docs, empty, tokenizer, tmp_path):
     from tokenizers import Tokenizer
 
