@@ -144,8 +144,8 @@ def read_image(image: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     return [None if z else int(k) for k, z in zip(keys, nulls)], lengths.astype(np.int64), np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint64)
 
 
-class Encoder:
-    """Whole texts to ids with the tokenizers library, which sees each distinct word once.
+class Encoder(dict):
+    """Whole texts to ids with the tokenizers library, which sees each distinct word once; maps words to packed ids.
 
     This vocabulary's pre-tokenizer drops white space, so a text's ids are those of its words in order; a word is
     lower-cased (A-Z) and, where it ends in ASCII punctuation behind a Latin letter or a digit, encoded as stem and
@@ -156,68 +156,44 @@ class Encoder:
     def __init__(self, path: str, held: int = 600_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.held, self.seen = Tokenizer.from_file(path), held, {}
-        self.model = self.tokenizer.model
+        super().__init__()
+        self.tokenizer, self.held = Tokenizer.from_file(path), held
+        self.pieces = self.tokenizer.model.tokenize
+        every = np.arange(self.tokenizer.get_vocab_size(), dtype="<u4").tobytes()
+        self.packed = [every[a : a + 4] for a in range(0, len(every), 4)]
 
     def _direct(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _letters(self, part: bytes) -> bytes | None:
-        """Ids of a part of Latin letters only: one pre-token, which goes straight to the library's BPE model."""
-        if part.isalpha():
-            token = part.decode()
+    def __missing__(self, word: bytes) -> bytes:
+        """Ids of a word not seen yet. One of Latin letters only is one pre-token and goes straight to the BPE model."""
+        if word.isalpha():
+            token = word.decode()
         else:
-            word = part.decode()
-            low = word.lower()
-            if not word.isalpha() or max(word) > "\u024f" or len(low) != len(word):
-                return None
+            stem = word.rstrip(PUNCTUATION)
+            if stem and len(stem) < len(word) and _ends_token(stem):
+                ids = self[word] = self[stem] + self[word[len(stem) :]]
+                return ids
+            text = word.decode()
+            low = text.lower()
+            if not text.isalpha() or max(text) > "\u024f" or len(low) != len(text):
+                ids = self[word] = self._direct(text)
+                return ids
             token = low.encode().decode("latin-1").translate(BYTE_LEVEL)
-        return np.array([t.id for t in self.model.tokenize(token)], dtype="<u4").tobytes()
-
-    def _learn(self, words: set[bytes]) -> None:
-        seen, rest, pairs = self.seen, [], []
-        for w in words:
-            stem = w.rstrip(PUNCTUATION)
-            if stem and len(stem) < len(w) and _ends_token(stem):
-                pairs.append((w, stem, w[len(stem) :]))
-                parts = pairs[-1][1:]
-            else:
-                parts = (w,)
-            for p in parts:
-                if p not in seen:
-                    seen[p] = self._letters(p)
-                    if seen[p] is None:
-                        rest.append(p)
-        for a in range(0, len(rest), 4096):
-            some = [p.decode() for p in rest[a : a + 4096]]
-            starts = np.cumsum([0] + [len(p) + 1 for p in some])
-            got = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            ids = np.array(got.ids, dtype="<u4")
-            owner = np.searchsorted(starts, np.array([o[0] for o in got.offsets], dtype=np.int64), "right") - 1 if len(ids) else np.zeros(0, dtype=np.int64)
-            cuts = np.searchsorted(owner, np.arange(len(some) + 1)).tolist()
-            flat = ids.tobytes()
-            for p, x, y in zip(rest[a : a + 4096], cuts, cuts[1:]):
-                seen[p] = flat[4 * x : 4 * y]
-        for w, stem, tail in pairs:
-            seen[w] = seen[stem] + seen[tail]
+        packed = self.packed
+        ids = self[word] = b"".join([packed[t.id] for t in self.pieces(token)])
+        return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian u32 ids of each text."""
-        if len(self.seen) > self.held:
-            self.seen.clear()
-        words: list = []
-        for t in texts:
-            raw = t.encode()
-            words.append(None if b"<|" in raw or b"\xcc" in raw or b"\xcd" in raw else raw.translate(LOWER).split())
-        new = set()
-        for w in words:
-            if w:
-                new.update(w)
-        new.difference_update(self.seen)
-        if new:
-            self._learn(new)
-        look = self.seen.__getitem__
-        return [self._direct(t) if w is None else b"".join(map(look, w)) for t, w in zip(texts, words)]
+        look, out = self.__getitem__, []
+        for text in texts:
+            if len(self) > self.held:
+                self.clear()
+            raw = text.encode()
+            whole = b"<|" in raw or b"\xcc" in raw or b"\xcd" in raw
+            out.append(self._direct(text) if whole else b"".join(map(look, raw.translate(LOWER).split())))
+        return out
 
 
 def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
