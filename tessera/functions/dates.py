@@ -306,6 +306,11 @@ def date_text(serial: Column, fmt: str) -> Column | None:
     pattern = DATE_FORMATS.get(fmt.lower())
     if pattern is None:
         return None
+    return rendered(serial, pattern)
+
+
+def rendered(serial: Column, pattern: str) -> Column:
+    """A serial in a pattern of Spark's date_format."""
     seconds = F.pmod(F.round((serial - F.floor(serial)) * 86400).cast("long"), F.lit(86400))
     return F.date_format(F.timestamp_seconds(F.unix_date(date_of(serial)).cast("long") * 86400 + seconds), pattern)
 

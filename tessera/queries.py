@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.dates import serial_of
+from .functions.display import format_number
 from .operators import aggregates, arrays, lookups, view
 from .operators.sheet import Sheet, Workbook, cell_val
 from .operators.view import Compare, Contains, Empty, FormatRule, NonEmpty, Values, View
@@ -48,6 +50,23 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[(F.round(F.col(c), digits) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
+# display
+
+
+@query("select c_custkey, format('{:,.2f}', c_acctbal) as grouped, case when c_acctbal < 0 then '(' || format('{:,.2f}', -c_acctbal) || ')' when c_acctbal > 0 then format('{:,.2f}', c_acctbal) else 'none' end as accounting, format('{:.2f}', c_acctbal) || ' USD' as suffixed, format('{:.7E}', c_acctbal) as scientific, (c_custkey * 100)::varchar || '%' as percent from customer")
+def number_format(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    codes = {"grouped": "#,##0.00", "accounting": '#,##0.00;(#,##0.00);"none"', "suffixed": '0.00" USD"', "scientific": "0.0000000E+00"}
+    return c.select("c_custkey", *[format_number(F.col("c_acctbal"), code).alias(n) for n, code in codes.items()], format_number(F.col("c_custkey"), "0%").alias("percent"))
+
+
+@query("select o_orderkey, strftime(o_orderdate, '%A, %-d %B %Y') as long, strftime(o_orderdate, '%d.%m.%y') as short, strftime(o_orderdate, 'on %a at 12:00 AM') as clock from orders")
+def date_format_codes(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", serial_of(F.col("o_orderdate")).alias("day"))
+    codes = {"long": "dddd, d mmmm yyyy", "short": "dd.mm.yy", "clock": '"on "ddd" at "h:mm AM/PM'}
+    return o.select("o_orderkey", *[format_number(F.col("day"), code).alias(n) for n, code in codes.items()])
+
+
 # views
 
 FILTERS = {

@@ -10,7 +10,7 @@ import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SOME = ["view_filter_sort_take", "filter_multi_and", "sort_multi", "distinct_values", "data_edge", "math_basic", "text_edit", "logic_if", "fin_annuity", "fn_median", "sumif_per_key", "vlookup_exact", "xlookup_next_larger", "arr_unique", "fill_sliding_sum", "overlay_edits", "csv_roundtrip", "oplog_gap_dedup", "stream_windows"]
+SOME = ["number_format", "date_format_codes", "view_filter_sort_take", "filter_multi_and", "sort_multi", "distinct_values", "data_edge", "math_basic", "text_edit", "logic_if", "fin_annuity", "fn_median", "sumif_per_key", "vlookup_exact", "xlookup_next_larger", "arr_unique", "fill_sliding_sum", "overlay_edits", "csv_roundtrip", "oplog_gap_dedup", "stream_windows"]
 
 
 def plain(v):
