@@ -153,7 +153,7 @@ class Encoder(dict):
     the library whole.
     """
 
-    def __init__(self, path: str, held: int = 600_000):
+    def __init__(self, path: str, held: int = 300_000):
         from tokenizers import Tokenizer
 
         super().__init__()
