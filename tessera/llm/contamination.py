@@ -90,14 +90,14 @@ def decode_gaps(data: bytes) -> np.ndarray:
     return np.add.reduceat((raw & 127).astype(np.int64) << shift, starts)
 
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The written index: one row per shard."""
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key_bytes: int = 0) -> DataFrame:
+    """The written index: one row per shard. With key_bytes the ids are ASCII strings of that length, never null."""
     ready_for_python(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, seq = TaskContext.get().partitionId(), 0
         for batch in batches:
-            texts, keys = batch.text.tolist(), batch.doc_id.astype("Int64")
+            texts, keys = batch.text.tolist(), batch.doc_id if key_bytes else batch.doc_id.astype("Int64")
             for a, b in bounded_batches(texts, SHARD_CHARS):
                 per_text, term, counts, terms = word_table(texts[a:b])
                 order = np.argsort(term, kind="stable")
@@ -105,10 +105,11 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 first = np.cumsum(counts) - counts
                 gaps[first] = order[first]
                 own = keys.iloc[a:b]
-                yield pd.DataFrame({"shard": [part << 32 | seq], "doc_ids": [own.fillna(0).to_numpy(np.int64).tobytes()], "nulls": [own.isna().to_numpy().tobytes()], "n_words": [per_text.astype("<u4").tobytes()], "terms": [b" ".join(terms)], "counts": [encode_gaps(counts)], "postings": [encode_gaps(gaps)]})
+                held = "".join(own).encode() if key_bytes else own.fillna(0).to_numpy(np.int64).tobytes()
+                yield pd.DataFrame({"shard": [part << 32 | seq], "doc_ids": [held], "nulls": [own.isna().to_numpy().tobytes()], "n_words": [per_text.astype("<u4").tobytes()], "terms": [b" ".join(terms)], "counts": [encode_gaps(counts)], "postings": [encode_gaps(gaps)]})
                 seq += 1
 
-    read = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    read = docs.select(F.col(f"`{id_col}`").cast("string" if key_bytes else "long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     return materialise(read.mapInPandas(run, "shard long, doc_ids binary, nulls binary, n_words binary, terms binary, counts binary, postings binary"), "index")
 
 
@@ -180,24 +181,24 @@ def occurrences(block: dict, terms: list[bytes], counts: np.ndarray, postings: n
     return alive[win], start
 
 
-def search(index: DataFrame, items: DataFrame, window: int = 8, slop: int = 0, item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def search(index: DataFrame, items: DataFrame, window: int = 8, slop: int = 0, item_id: str = "item_id", item_text: str = "text", key_bytes: int = 0) -> DataFrame:
     """One row per document: doc_id, n_words, spans (word ranges inside matches, [start, end)), items (ascending, distinct)."""
     spark = index.sparkSession
     ready_for_python(spark)
     plain = items.select(F.col(f"`{item_id}`").cast("long").alias("item_id"), text_or_empty(item_text).alias("text")).where("item_id is not null")
     blocks = max(1, -(-(plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES))
-    out = None
+    out, kind = None, "string" if key_bytes else "long"
     for b in range(blocks):
         some = [(r[0], r[1]) for r in plain.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect()]
         shared = spark.sparkContext.broadcast(windows_of(some, window))
-        found = index.mapInPandas(lambda batches, s=shared: _search_shards(batches, s.value, slop), "shard long, row int, doc_id long, n_words long, spans array<struct<s:int,e:int>>, items array<bigint>")
+        found = index.mapInPandas(lambda batches, s=shared: _search_shards(batches, s.value, slop, key_bytes), f"shard long, row int, doc_id {kind}, n_words long, spans array<struct<s:int,e:int>>, items array<bigint>")
         out = found if out is None else out.unionByName(found)
     if blocks > 1:
         out = out.groupBy("shard", "row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
     return out.select("doc_id", "n_words", F.array_sort("spans").alias("spans"), F.array_sort(F.array_distinct("items")).alias("items"))
 
 
-def _search_shards(batches: Iterator[pd.DataFrame], block: dict, slop: int) -> Iterator[pd.DataFrame]:
+def _search_shards(batches: Iterator[pd.DataFrame], block: dict, slop: int, key_bytes: int = 0) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for s in batch.itertuples():
             n_words = np.frombuffer(s.n_words, "<u4").astype(np.int64)
@@ -230,8 +231,11 @@ def _search_shards(batches: Iterator[pd.DataFrame], block: dict, slop: int) -> I
                 at = np.repeat(block["owner_ends"][win] - many, many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
                 for d, item in np.unique(np.stack([np.repeat(doc, many), block["owners"][at]]), axis=1).T.tolist():
                     items[d].append(item)
-            ids = pd.array(np.frombuffer(s.doc_ids, np.int64), dtype="Int64")
-            ids[np.frombuffer(s.nulls, bool)] = pd.NA
+            if key_bytes:
+                ids = np.frombuffer(s.doc_ids, f"S{key_bytes}").astype(str)
+            else:
+                ids = pd.array(np.frombuffer(s.doc_ids, np.int64), dtype="Int64")
+                ids[np.frombuffer(s.nulls, bool)] = pd.NA
             yield pd.DataFrame({"shard": s.shard, "row": np.arange(docs), "doc_id": ids, "n_words": n_words, "spans": spans, "items": items})
 
 

@@ -67,3 +67,20 @@ def test_odd_documents_pass_through(spark):
         assert f(spark, docs, SF).count() >= 1
     for _, f in corpus_pipeline.STAGES:
         assert f(spark, docs.limit(0), SF).count() == 0
+
+
+def test_null_and_repeated_ids_are_decided_per_row(spark):
+    from tessera.llm import contamination
+
+    other = [" ".join(f"{c}{i}" for i in range(40)) for c in "abcdefgh"]
+    rows = [(None, t) for t in other[:4]] + [(7, t) for t in other[4:7]] + [(None, other[0]), (7, other[4]), (8, other[5])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = corpus_pipeline.keep_one_of_near_copies(spark, docs, SF)
+    assert sorted(kept.collect(), key=str) == sorted(spark.createDataFrame(rows[:7], docs.schema).collect(), key=str)
+
+    items = spark.read.parquet(f"{SF}/benchmark.parquet").limit(2).collect()
+    bad = " ".join(i.text for i in items)
+    mixed = spark.createDataFrame([(None, bad), (7, bad), *rows[:7]], docs.schema)
+    assert contamination.contamination(mixed, spark.read.parquet(f"{SF}/benchmark.parquet")).where("contaminated").count() == 2
+    kept = corpus_pipeline.drop_contaminated(spark, mixed, SF)
+    assert sorted(kept.collect(), key=str) == sorted(spark.createDataFrame(rows[:7], docs.schema).collect(), key=str)
