@@ -84,3 +84,52 @@ def test_null_and_repeated_ids_are_decided_per_row(spark):
     assert contamination.contamination(mixed, spark.read.parquet(f"{SF}/benchmark.parquet")).where("contaminated").count() == 2
     kept = corpus_pipeline.drop_contaminated(spark, mixed, SF)
     assert sorted(kept.collect(), key=str) == sorted(spark.createDataFrame(rows[:7], docs.schema).collect(), key=str)
+
+
+def brute_groups(texts, more=()):
+    """Groups of indices linked by five-word Jaccard >= 0.8, or by the pairs given."""
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    group = list(range(len(texts)))
+    close = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    for i, j in [*close, *more]:
+        a, b = group[i], group[j]
+        group = [min(a, b) if g in (a, b) else g for g in group]
+    return group
+
+
+@pytest.mark.parametrize("hot", [2, 8, 128])
+def test_similar_shingle_sets_link_as_by_brute_force(spark, hot):
+    import random
+
+    from tessera.llm import jaccard
+    from tessera.llm.components import components
+
+    rnd, texts = random.Random(hot), ["", None, "one two", "one two", "one  TWO", "one"]
+    line = " ".join(f"c{i}" for i in range(30))
+    for size in (6, 20, 60, 200):
+        base = [f"w{rnd.randrange(400)}" for _ in range(size)]
+        for _ in range(14):
+            w = list(base)
+            for _ in range(rnd.randrange(1 + size // 25)):
+                w[rnd.randrange(size)] = f"x{rnd.randrange(9)}"
+            texts.append(" ".join(w[rnd.randrange(1 + size // 20) :]) + (" " + line if rnd.random() < 0.3 else ""))
+    docs = spark.createDataFrame([(f"{i:04d}", t) for i, t in enumerate(texts)], "key string, text string")
+    sets = spark.createDataFrame(jaccard.node_sets(docs, 5).collect(), "key string, node long, n int, prefix array<bigint>")
+    root = {r.node: r.root for r in components(jaccard.links(docs, sets, 5, hot)).collect()}
+    got = {r.key: root.get(r.node, r.node) for r in sets.collect()}
+    want = brute_groups(texts, [(0, 1)])
+    assert 10 < len(set(want)) < len(texts) - 10
+    assert len({(got[f"{i:04d}"], g) for i, g in enumerate(want)}) == len(set(got.values())) == len(set(want))
+
+
+def test_near_copies_by_five_words_go(spark, stages):
+    from tessera.llm import simhash
+
+    before, after = stages["simhash_near_dedup"]
+    rows = sorted(before.select("doc_id", "text").collect())
+    at = {r.doc_id: i for i, r in enumerate(rows)}
+    more = [(at[r.doc_id], at[r.component_id]) for r in simhash.near_duplicates(before).collect()]
+    assert ids(after) == [rows[i].doc_id for i in sorted(set(brute_groups([r.text for r in rows], more)))]
