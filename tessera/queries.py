@@ -746,7 +746,7 @@ def oplog_gap_dedup(spark, sf_dir):
     log.where(late).unionByName(log.where("version % 5 = 0")).write.parquet(f"{path}/b1")
     stream = spark.readStream.schema(log.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 4).parquet(path)
     out = _drained(oplog.apply_stream(stream), "append")
-    return out.where("status = 'applied'").select("doc", "version", "mutation_id", "op")
+    return oplog.completed(out, spark.read.schema(log.schema).option("recursiveFileLookup", "true").parquet(path))
 
 
 @query("select event_id, event_type from events")

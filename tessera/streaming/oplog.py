@@ -75,6 +75,17 @@ def applied_batch(ops: DataFrame) -> DataFrame:
     return first.where("version >= 1").withColumn("n", n).where("n = version").select("doc", "version", "m.mutation_id", "m.op")
 
 
+def completed(out: DataFrame, ops: DataFrame) -> DataFrame:
+    """The applied rows of a drained `apply_stream`, and for documents with a reload what the log at rest adds.
+
+    out: (doc, version, mutation_id, op, status); ops: the same log at rest. Rows that the stream applied stay as they are.
+    """
+    applied = out.where("status = 'applied'").select("doc", "version", "mutation_id", "op")
+    behind = out.where("status = 'reload'").select("doc").distinct()
+    anew = applied_batch(ops.join(behind, "doc", "left_semi")).join(applied.select("doc", "version"), ["doc", "version"], "left_anti")
+    return applied.unionByName(anew.select("doc", "version", "mutation_id", "op"))
+
+
 def rebase_index(index: int, edits: list[tuple[str, int, int]]) -> int | None:
     """Where a row lies after other writers' edits (insert or remove, position, count); None if it was removed."""
     for kind, at, count in edits:

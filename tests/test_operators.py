@@ -158,3 +158,12 @@ def test_operation_log():
     assert [o[3] for o in out] == ["reload", "reload"] and len(pending) == MOST_PENDING
     assert rebase_index(5, [("insert", 2, 3), ("remove", 0, 1)]) == 7
     assert rebase_index(5, [("remove", 4, 2)]) is None
+
+
+def test_documents_beyond_the_gap_buffer_are_completed(spark, tmp_path):
+    from tessera.queries import QUERIES
+
+    spark.range(3_000).selectExpr("id as event_id", "if(id < 2900, 1, 2) as user_id", "'click' as event_type").write.parquet(str(tmp_path / "events.parquet"))
+    got = QUERIES["oplog_gap_dedup"](spark, str(tmp_path)).collect()
+    want = [("d1", i + 1, f"m{i}", "click") for i in range(2900)] + [("d2", i + 1, f"m{i + 2900}", "click") for i in range(100)]
+    assert sorted(tuple(r) for r in got) == sorted(want)
