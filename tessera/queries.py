@@ -349,6 +349,12 @@ def fin_npv_column(spark, sf_dir):
     return df.agg(F.round(v.col, 4).alias("npv"))
 
 
+@query("select round(sum(value / pow(1.0005::double, n)), 4) as npv from (select value, row_number() over (order by event_id) as n from events)")
+def fin_npv_whole_column(spark, sf_dir):
+    v = aggregates.npv(cell_val(df := sheet(spark, sf_dir, "events", "value"), "value"), 0.0005, F.col(ROW) + 1)
+    return df.agg(F.round(v.col, 4).alias("npv"))
+
+
 # aggregates of ranges
 
 AGGREGATES = {
@@ -535,6 +541,13 @@ def hlookup(spark, sf_dir):
     return lookups.horizontal(head.unionByName(one.withColumn(ROW, F.lit(1).cast("long"))), 0, 20, 1)
 
 
+@query(f"select n_regionkey::double as result, _row::int as col from {numbered('nation')} where n_nationkey = 7")
+def hlookup_all_nations(spark, sf_dir):
+    # a column for each nation: row 0 holds the keys, row 1 the regions
+    df = sheet(spark, sf_dir, "nation").select(ROW, "n_nationkey", "n_regionkey")
+    return lookups.horizontal(arrays.transpose(df, df.count()), 0, 7, 1)
+
+
 # dynamic arrays
 
 @query("select p_partkey, p_size from part where p_size > 40")
@@ -572,6 +585,15 @@ def arr_transpose(spark, sf_dir):
     return arrays.transpose(sheet(spark, sf_dir, "nation").select(ROW, "n_nationkey", "n_regionkey"), 3)
 
 
+_CELLS = [", ".join(f"max(case when _row = {r} then {c} end)::double as r{r}" for r in range(25)) for c in ("n_nationkey", "n_regionkey")]
+
+
+@query(" union all ".join(f"select {i}::int as _row, {cells} from {numbered('nation')}" for i, cells in enumerate(_CELLS)))
+def arr_transpose_all_rows(spark, sf_dir):
+    df = sheet(spark, sf_dir, "nation").select(ROW, "n_nationkey", "n_regionkey")
+    return arrays.transpose(df, df.count())
+
+
 @query("select i as _row, 5.0 + 0.5 * (i * 2)::double as c0, 5.0 + 0.5 * (i * 2 + 1)::double as c1 from range(1000) t(i)")
 def arr_sequence(spark, sf_dir):
     return arrays.sequence(spark, 1000, 2, 5, 0.5)
