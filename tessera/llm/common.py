@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import itertools
 import tempfile
 import uuid
 
@@ -10,15 +11,33 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SPACES = " \t\n\x0b\f\r"
+#: Byte table that lower-cases A-Z, and the bytes of a long text that are cut into words at once.
+LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+PIECE = 1 << 20
+
+
+def lean() -> None:
+    """Hand a Python worker's unused memory back; called at the end of a task, as workers live on between tasks."""
+    import ctypes
+    import gc
+
+    import pyarrow
+
+    gc.collect()
+    pyarrow.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = held.get() if held.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
         found = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     return found.rstrip("/")
@@ -62,6 +81,18 @@ def discard(df: DataFrame) -> None:
     drop_paths(df.sparkSession, list({f.rsplit("/", 1)[0] for f in df.inputFiles()}))
 
 
+def unused(name: str, docs: DataFrame) -> str:
+    """A column name that docs doesn't have."""
+    held = {c.lower() for c in docs.columns}
+    return next(n for n in (f"_{name}{i}" for i in itertools.count()) if n not in held)
+
+
+def numbered(docs: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
+    """docs with columns c0, c1, ... in place of its own names, and what the given ones are called there."""
+    low = [c.lower() for c in docs.columns]
+    return docs.toDF(*[f"c{i}" for i in range(len(low))]), [f"c{low.index(n.lower())}" for n in names]
+
+
 def text_or_empty(col: str) -> Column:
     return F.coalesce(F.col(f"`{col}`").cast("string"), F.lit(""))
 

@@ -7,9 +7,10 @@ word are spread over all shards and nothing is shuffled. The index is written to
 Searching: test items become windows of `window` consecutive words (a shorter item is one window). For each shard the
 windows whose words all occur in it start from the postings of their rarest word; each further word, from rare to
 common, keeps the starts that its offset-adjusted postings contain. With slop > 0 a word may lie up to that many
-places off its offset: a proximity match. Words compare by their bytes, through the dictionaries.
+places off its offset: a proximity match. Words compare by their bytes, in the shard's dictionary and in the block's.
 
-Test items come in blocks of bounded size (BLOCK_BYTES of text), each collected, broadcast and run over the index.
+Test items come in blocks of bounded size (about BLOCK_BYTES of text, by a hash of id and text), each collected,
+broadcast and run over the index; an item may be spread over blocks.
 
 Defined results: a null or empty text has no words; an item without words or with a null item_id is ignored; rows
 that repeat an item_id add to that item; repeated documents each get their row; an empty table on either side gives
@@ -27,9 +28,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ready_for_python
-from .common import bounded_batches, materialise, text_or_empty
+from .common import bounded_batches, lean, materialise, text_or_empty
 
-SHARD_CHARS, BLOCK_BYTES = 1 << 21, 8 << 20
+SHARD_CHARS, PIECE, BLOCK_BYTES = 1 << 21, 1 << 22, 8 << 20
 LOWER = np.frombuffer(bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256)), dtype=np.uint8)
 IS_WORD = np.array([48 <= b <= 57 or 97 <= b <= 122 or b >= 128 for b in range(256)])
 _FACTOR = 0x9E3779B97F4A7C15 | 1
@@ -48,22 +49,57 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
-def word_table(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-    """Of texts in a row: words per text, term number per word, occurrences per term, the terms."""
-    raw = [t.encode() for t in texts]
-    low = LOWER[np.frombuffer(b" ".join(raw) + b" ", dtype=np.uint8)]
+def _terms_of(low: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Of lower-cased bytes: where each word starts, its term number, the distinct terms.
+
+    Words are grouped by a hash and each is then compared with its group's first by its bytes; where two differ, the
+    words are numbered by a dictionary of their bytes instead.
+    """
     word = IS_WORD[low]
     edge = np.flatnonzero(np.diff(np.concatenate([[False], word, [False]]).astype(np.int8)))
     starts, ends = edge[::2], edge[1::2]
-    ends_of_texts = np.cumsum([len(r) + 1 for r in raw]) if raw else np.zeros(0, dtype=np.int64)
-    upto = np.searchsorted(starts, ends_of_texts)
-    per_text = np.diff(np.concatenate([[0], upto]))
     power, inverse = _powers(len(low) + 1)
     total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(_SPREAD[low] * power[: len(low)], dtype=np.uint64)])
     key = (total[ends] - total[starts]) * inverse[starts]
-    _, first, term, counts = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-    flat = low.tobytes()
-    return per_text, term.ravel(), counts, [flat[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
+    del total
+    _, first, term = np.unique(key, return_index=True, return_inverse=True)
+    term, flat = term.ravel(), low.tobytes()
+    size = ends - starts
+    origin = starts[first][term]
+    same = bool((size == size[first][term]).all())
+    if same and len(starts):
+        shift = np.repeat(origin - starts, size)
+        same = bool((low[word] == low[np.flatnonzero(word) + shift]).all())
+    if same:
+        return starts, term, [flat[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
+    known: dict[bytes, int] = {}
+    term = np.array([known.setdefault(flat[a:b], len(known)) for a, b in zip(starts.tolist(), ends.tolist())], dtype=np.int64)
+    return starts, term, list(known)
+
+
+def word_table(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """Of texts in a row: words per text, term number per word, occurrences per term, the terms.
+
+    A long text is cut between words into pieces of about PIECE bytes, which bounds the memory that it takes.
+    """
+    raw = [t.encode() for t in texts]
+    low = LOWER[np.frombuffer(b" ".join(raw) + b" ", dtype=np.uint8)]
+    ends_of_texts = np.cumsum([len(r) + 1 for r in raw]) if raw else np.zeros(0, dtype=np.int64)
+    at, found, known = 0, [], {}
+    while at < len(low):
+        end = min(len(low), at + PIECE)
+        while end < len(low) and IS_WORD[low[end]]:
+            end += 1
+        starts, term, terms = _terms_of(low[at:end])
+        if at or end < len(low):
+            own = np.array([known.setdefault(t, len(known)) for t in terms], dtype=np.int64)
+            terms, term = known, own[term] if len(term) else term
+        found.append((starts + at, term))
+        at = end
+    starts, term = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+    upto = np.searchsorted(starts, ends_of_texts)
+    per_text = np.diff(np.concatenate([[0], upto]))
+    return per_text, term, np.bincount(term, minlength=len(terms)), list(terms)
 
 
 def encode_gaps(values: np.ndarray) -> bytes:
@@ -108,6 +144,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 held = "".join(own).encode() if key_bytes else own.fillna(0).to_numpy(np.int64).tobytes()
                 yield pd.DataFrame({"shard": [part << 32 | seq], "doc_ids": [held], "nulls": [own.isna().to_numpy().tobytes()], "n_words": [per_text.astype("<u4").tobytes()], "terms": [b" ".join(terms)], "counts": [encode_gaps(counts)], "postings": [encode_gaps(gaps)]})
                 seq += 1
+        lean()
 
     read = docs.select(F.col(f"`{id_col}`").cast("string" if key_bytes else "long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     return materialise(read.mapInPandas(run, "shard long, doc_ids binary, nulls binary, n_words binary, terms binary, counts binary, postings binary"), "index")
@@ -185,11 +222,11 @@ def search(index: DataFrame, items: DataFrame, window: int = 8, slop: int = 0, i
     """One row per document: doc_id, n_words, spans (word ranges inside matches, [start, end)), items (ascending, distinct)."""
     spark = index.sparkSession
     ready_for_python(spark)
-    plain = items.select(F.col(f"`{item_id}`").cast("long").alias("item_id"), text_or_empty(item_text).alias("text")).where("item_id is not null")
+    plain = items.select(F.col(f"`{item_id}`").cast("long").alias("item_id"), text_or_empty(item_text).alias("text")).where("item_id is not null").distinct()
     blocks = max(1, -(-(plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES))
     out, kind = None, "string" if key_bytes else "long"
     for b in range(blocks):
-        some = [(r[0], r[1]) for r in plain.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect()]
+        some = [(r[0], r[1]) for r in plain.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()]
         shared = spark.sparkContext.broadcast(windows_of(some, window))
         found = index.mapInPandas(lambda batches, s=shared: _search_shards(batches, s.value, slop, key_bytes), f"shard long, row int, doc_id {kind}, n_words long, spans array<struct<s:int,e:int>>, items array<bigint>")
         out = found if out is None else out.unionByName(found)
@@ -237,6 +274,7 @@ def _search_shards(batches: Iterator[pd.DataFrame], block: dict, slop: int, key_
                 ids = pd.array(np.frombuffer(s.doc_ids, np.int64), dtype="Int64")
                 ids[np.frombuffer(s.nulls, bool)] = pd.NA
             yield pd.DataFrame({"shard": s.shard, "row": np.arange(docs), "doc_id": ids, "n_words": n_words, "spans": spans, "items": items})
+    lean()
 
 
 def n_hit(spans: Column) -> Column:

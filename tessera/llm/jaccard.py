@@ -1,12 +1,14 @@
 """Exact self-join of texts by the Jaccard similarity of their word shingles, for thresholds of four fifths.
 
 Texts are cut as in `simhash`; a text of fewer words than a shingle makes one shingle, and one without words has the
-empty set, which joins nothing here. Equal sets are one node.
+empty set, which joins nothing here. Equal sets are one node (a 64-bit hash of the set).
 
 1. the shingles of a sample of the rows give a list of frequent ones; shingles are ordered by frequency in that list,
    then by hash. Any fixed order keeps the join exact, this one keeps common lines out of the prefixes;
 2. of two sets with similarity 0.8 or more the first n // 5 + 1 shingles (n the set's size) share one; pairs that meet
-   there are filtered by size and position and verified on the whole sets;
+   there are filtered by size and position, then by their parity sketches: one bit per hash bucket says whether the
+   set holds an odd number of shingles there. Bits that differ bound the symmetric difference from below, so a pair
+   that fails this cannot be similar, and almost only similar pairs are left to verify on the whole sets;
 3. buckets of more than `hot` nodes are compared with one pivot each. Members similar to it are linked through it;
    the others meet a member only where the distances to the pivot differ by 0.2 at most (the triangle inequality),
    and go on to the next round. Buckets that no longer shrink by half are paired off in full.
@@ -18,41 +20,64 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ready_for_python
-from .common import discard, materialise
-from .simhash import LOWER
+from .common import LOWER, PIECE, discard, lean, materialise
 
-SAMPLE_ROWS, MOST_FREQUENT, YIELD_ROWS = 20_000, 200_000, 500
+SAMPLE_ROWS, MOST_FREQUENT, YIELD_ROWS = 20_000, 200_000, 128
+#: Rows of a broadcast that narrows the second pass over the texts: a proven bound, whatever the corpus.
+SLOTS = 1 << 18
 _SPREAD = np.random.default_rng(5).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 
 
 def shingle_set(text: str | None, shingle: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's shingles, as signed longs."""
+    """Sorted distinct 64-bit hashes of a text's shingles, as signed longs. Words of a long text are hashed in pieces."""
     from xxhash import xxh64_intdigest
 
-    words = (text or "").encode().translate(LOWER).split()
-    if not words:
+    raw, at, parts = (text or "").encode().translate(LOWER), 0, []
+    while at < len(raw):
+        end = at + PIECE
+        while end < len(raw) and raw[end] not in b" \t\n\x0b\f\r":
+            end += 1
+        words = raw[at:end].split()
+        parts.append(np.fromiter(map(xxh64_intdigest, words), dtype=np.uint64, count=len(words)))
+        at = end
+    hashed = np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint64)
+    if not len(hashed):
         return np.zeros(0, dtype=np.int64)
-    hashed = np.fromiter(map(xxh64_intdigest, words), dtype=np.uint64, count=len(words))
-    width = min(shingle, len(words))
-    n = len(words) - width + 1
+    width = min(shingle, len(hashed))
+    n = len(hashed) - width + 1
     total = np.full(n, width, dtype=np.uint64)
     for k in range(width):
         total += hashed[k : k + n] * _SPREAD[k]
     return np.unique(total.view(np.int64))
 
 
-def _node(s: np.ndarray) -> int:
+def node_of(s: np.ndarray) -> int:
     from xxhash import xxh64_intdigest
 
     return int(np.uint64(xxh64_intdigest(s.tobytes(), 7)).astype(np.int64))
 
 
-def _frequent(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes (sorted) and counts of the shingles that recur in a sample of bounded size."""
+def sketch_of(s: np.ndarray) -> np.ndarray:
+    """Parities of a power of two of buckets, at least one per shingle and 64 in all, as longs."""
+    buckets = 1 << max(6, (len(s) - 1).bit_length())
+    odd = np.bincount(s & (buckets - 1), minlength=buckets) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def prefix_of(s: np.ndarray, known: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The set's first n // 5 + 1 shingles in the common order."""
+    place = np.searchsorted(known, s)
+    place[place == len(known)] = 0
+    often = np.where(known[place] == s, counts[place], 0) if len(known) else np.zeros(len(s), dtype=np.int64)
+    return s[np.argsort(often, kind="stable")[: len(s) // 5 + 1]]
+
+
+def frequent(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (sorted) and counts of the shingles that recur in a sample of bounded size. texts: (key, text)."""
     rows = texts.count()
     share = max(1, -(-rows // SAMPLE_ROWS))
 
@@ -60,7 +85,9 @@ def _frequent(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
         for b in batches:
             for at in range(0, len(b), YIELD_ROWS):
                 yield pd.DataFrame({"s": np.concatenate([shingle_set(t, shingle) for t in b.text[at : at + YIELD_ROWS]])})
+        lean()
 
+    ready_for_python(texts.sparkSession)
     some = texts.where(F.pmod(F.xxhash64("key"), F.lit(share)) == 0).select("text").mapInPandas(run, "s long")
     got = some.groupBy("s").agg(F.count(F.lit(1)).alias("k")).where("k > 2").orderBy(F.desc("k"), "s").limit(MOST_FREQUENT).toPandas().sort_values("s")
     return got.s.to_numpy(np.int64), got.k.to_numpy(np.int64)
@@ -68,8 +95,7 @@ def _frequent(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
 
 def node_sets(texts: DataFrame, shingle: int) -> DataFrame:
     """(key, node, n, prefix): each row's node, its set's size and its first n // 5 + 1 shingles."""
-    ready_for_python(texts.sparkSession)
-    shared = texts.sparkSession.sparkContext.broadcast(_frequent(texts, shingle))
+    shared = texts.sparkSession.sparkContext.broadcast(frequent(texts, shingle))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, counts = shared.value
@@ -77,27 +103,34 @@ def node_sets(texts: DataFrame, shingle: int) -> DataFrame:
             for at in range(0, len(b), YIELD_ROWS):
                 part = b.iloc[at : at + YIELD_ROWS]
                 sets = [shingle_set(t, shingle) for t in part.text]
-                prefixes = []
-                for s in sets:
-                    place = np.searchsorted(known, s)
-                    place[place == len(known)] = 0
-                    often = np.where(known[place] == s, counts[place], 0) if len(known) else np.zeros(len(s), dtype=np.int64)
-                    prefixes.append(s[np.argsort(often, kind="stable")[: len(s) // 5 + 1]])
-                yield pd.DataFrame({"key": part.key.to_numpy(), "node": [_node(s) for s in sets], "n": [len(s) for s in sets], "prefix": prefixes})
+                yield pd.DataFrame({"key": part.key.to_numpy(), **set_columns(sets, known, counts)})
+        lean()
+
+    ready_for_python(texts.sparkSession)
+    return texts.mapInPandas(run, f"key string, {SET_COLUMNS}").drop("sketch")
 
-    return texts.mapInPandas(run, "key string, node long, n int, prefix array<bigint>")
+
+SET_COLUMNS = "node long, n int, prefix array<bigint>, sketch array<bigint>"
+
+
+def set_columns(sets: list[np.ndarray], known: np.ndarray, counts: np.ndarray) -> dict:
+    return {"node": [node_of(s) for s in sets], "n": [len(s) for s in sets], "prefix": [prefix_of(s, known, counts) for s in sets], "sketch": [sketch_of(s) for s in sets]}
 
 
 def _whole_sets(texts: DataFrame, keys: DataFrame, shingle: int) -> DataFrame:
-    """(node, whole) of the rows with these keys."""
+    """(node, whole) of the rows with these keys; only rows whose slot is asked for are shuffled."""
+    slot = F.pmod(F.xxhash64("key"), F.lit(SLOTS))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for at in range(0, len(b), YIELD_ROWS):
                 sets = [shingle_set(t, shingle) for t in b.text[at : at + YIELD_ROWS]]
-                yield pd.DataFrame({"node": [_node(s) for s in sets], "whole": sets})
+                yield pd.DataFrame({"node": [node_of(s) for s in sets], "whole": sets})
+        lean()
 
-    return texts.join(keys, "key", "left_semi").mapInPandas(run, "node long, whole array<bigint>").dropDuplicates(["node"])
+    asked = F.broadcast(keys.select(slot.alias("slot")).distinct())
+    some = texts.withColumn("slot", slot).join(asked, "slot", "left_semi").select("key", "text")
+    return some.join(keys, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")).mapInPandas(run, "node long, whole array<bigint>").dropDuplicates(["node"])
 
 
 def _compared(pairs: DataFrame, whole: DataFrame) -> DataFrame:
@@ -107,6 +140,23 @@ def _compared(pairs: DataFrame, whole: DataFrame) -> DataFrame:
     return common.select("a", "b", "common", (F.col("sum") - F.col("common")).alias("total"))
 
 
+def _folded(wide: Column, narrow: Column) -> Column:
+    """The sketch at half its width where it is wider than the other: similar sets are at most one step apart."""
+    half = F.greatest(F.lit(1), F.shiftright(F.size(wide), 1))
+    return F.when(F.size(wide) > F.size(narrow), F.zip_with(F.slice(wide, F.lit(1), half), F.slice(wide, half + 1, half), lambda x, y: x.bitwiseXOR(y))).otherwise(wide)
+
+
+def _plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs whose parities leave a similarity of 0.8 possible: at most a ninth of both sizes may differ."""
+    if "sketch" not in nodes.columns:
+        return pairs
+    side = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    x, y = F.col("s_a"), F.col("s_b")
+    off = F.aggregate(F.zip_with(_folded(x, y), _folded(y, x), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, k: t + k)
+    return both.where(9 * off <= F.col("n_a") + F.col("n_b")).select("a", "b")
+
+
 def _met(left: DataFrame, right: DataFrame) -> DataFrame:
     """Joined entries x, y of one bucket that size and position allow: no more can follow a pair's first match."""
     x = left.select("s", *[F.col(c).alias(f"x_{c}") for c in left.columns if c != "s"])
@@ -123,25 +173,26 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 def links(texts: DataFrame, sets: DataFrame, shingle: int, hot: int = 128) -> DataFrame:
     """Edges (a, b) of nodes with similarity 0.8 or more, with the same components as all such pairs.
 
-    texts: (key, text); sets: what `node_sets` gave of them, written.
+    texts: (key, text); sets: their keys and SET_COLUMNS, written. Without sketches every pair is verified in full.
     """
-    nodes = materialise(sets.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix")), "jac-nodes")
+    own = [c for c in ("n", "prefix", "sketch") if c in sets.columns]
+    nodes = materialise(sets.where("n > 0").groupBy("node").agg(*[F.first(c).alias(c) for c in own]), "jac-nodes")
     several = materialise(nodes.select(F.explode("prefix").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "jac-several")
     shared = materialise(nodes.select("node", "n", F.posexplode("prefix").alias("pos", "s")).join(several, "s"), "jac-shared")
-    discard(nodes)
     discard(several)
     cold = shared.where(F.col("k") <= hot).select("s", "node", "n", "pos")
-    pairs = materialise(_ordered(_met(cold, cold).where("x_node < y_node")).distinct(), "jac-cold")
+    met = materialise(_ordered(_met(cold, cold).where("x_node < y_node")).distinct(), "jac-cold")
+    pairs = materialise(_plausible(met, nodes), "jac-plausible")
     # only sets that will be compared are made whole again
     asked = shared.where(F.col("k") > hot).select("node").unionByName(pairs.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
-    keys = sets.join(asked, "node", "left_semi").groupBy("node").agg(F.min("key").alias("key")).select("key")
+    keys = materialise(sets.join(asked, "node", "left_semi").groupBy("node").agg(F.min("key").alias("key")).select("key"), "jac-keys")
     whole = materialise(_whole_sets(texts, keys, shingle), "jac-whole")
-    edges = None
+    edges, later = None, None
     alive, held = shared.where(F.col("k") > hot).select("s", "node", "n", "pos"), shared.where(F.col("k") > hot).count()
     while held:
         pivots = materialise(alive.groupBy("s").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("k")), "jac-pivots")
         few = alive.join(pivots.where(F.col("k") <= hot).select("s"), "s", "left_semi")
-        pairs = pairs.unionByName(_ordered(_met(few, few).where("x_node < y_node")))
+        some = _ordered(_met(few, few).where("x_node < y_node"))
         many = alive.join(pivots.where(F.col("k") > hot).select("s", "pivot"), "s").where("node <> pivot")
         judged = materialise(_compared(many.select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), whole), "jac-pivoted")
         found = judged.where("5 * common >= 4 * total").select("a", "b")
@@ -149,11 +200,14 @@ def links(texts: DataFrame, sets: DataFrame, shingle: int, hot: int = 128) -> Da
         far = judged.select(F.col("a").alias("node"), F.col("b").alias("pivot"), (1 - F.col("common") / F.col("total")).alias("d"), (F.col("common") * 5 >= F.col("total") * 4).alias("near"))
         placed = materialise(many.join(far, ["node", "pivot"]), "jac-placed")
         near, off = placed.where("near").drop("near", "pivot"), placed.where("not near").drop("near", "pivot")
-        pairs = pairs.unionByName(_ordered(_met(near, off).where(F.abs(F.col("x_d") - F.col("y_d")) <= 0.2 + 1e-9)))
+        some = some.unionByName(_ordered(_met(near, off).where(F.abs(F.col("x_d") - F.col("y_d")) <= 0.2 + 1e-9)))
         alive, before = off.select("s", "node", "n", "pos"), held
         held = alive.count()
         if 2 * held > before:
-            pairs = pairs.unionByName(_ordered(_met(alive, alive).where("x_node < y_node")))
-            break
+            some = some.unionByName(_ordered(_met(alive, alive).where("x_node < y_node")))
+            held = 0
+        later = some if later is None else later.unionByName(some)
+    if later is not None:
+        pairs = pairs.unionByName(_plausible(later.distinct(), nodes))
     verified = _compared(materialise(pairs.distinct(), "jac-pairs"), whole).where("5 * common >= 4 * total").select("a", "b")
     return verified if edges is None else verified.unionByName(edges)

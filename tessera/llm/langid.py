@@ -4,8 +4,8 @@ A text (lower-cased, UTF-8) is cut into windows of WINDOW bytes; every window of
 embedded, filters of several widths slide over them, each filter's maximum over the window feeds a softmax over the
 learned languages. A document's prediction combines its windows' log probabilities, weighted by their bytes.
 
-Training reads at most `per_language` documents of each language (a hash decides which) and at most SAMPLE_CHARS
-characters of each; prediction reads the text alone.
+Training reads at most `per_language` documents of each language (a hash decides which), CROPS windows of each from
+anywhere in its whole text (the hash decides where); prediction reads the text alone.
 
 Defined results: a null text and a text without any letter is `und` with score 0, and so is every text when nothing
 was learned; rows with a null label, text or id teach nothing; repeated rows are predicted alike; an empty table
@@ -18,10 +18,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from ..shipping import ready_for_python
 
-WINDOW, SAMPLE_CHARS, CHUNK = 256, 4000, 256
+WINDOW, CROPS, CHUNK = 256, 3, 256
 WIDTHS, FILTERS, DIMS = (2, 3, 4), 10, 5
 
 
@@ -114,12 +115,15 @@ def train(docs: DataFrame, per_language: int = 200, id_col: str = "doc_id", text
     for lang, n in counts.items():
         limit = F.lit(int(min(1.0, 2 * per_language / n) * (1 << 40)))
         bound = F.when(F.col("lang") == lang, limit) if bound is None else bound.when(F.col("lang") == lang, limit)
-    some = rows.where(F.col("h") <= bound).select("lang", "h", F.substring("text", 1, SAMPLE_CHARS).alias("text")).toPandas().sort_values(["lang", "h", "text"]).groupby("lang").head(per_language)
+    place = lambda k: F.pmod(F.xxhash64("h", F.md5("text"), F.lit(k)), F.greatest(F.lit(1), F.length("text") - WINDOW + 1)).cast("int") + 1
+    cropped = rows.where(F.col("h") <= bound).select("lang", "h", F.array(*[F.substring("text", place(k), F.lit(WINDOW)) for k in range(CROPS)]).alias("crops"))
+    first = Window.partitionBy("lang").orderBy("h", "crops")
+    some = cropped.withColumn("r", F.row_number().over(first)).where(F.col("r") <= per_language).toPandas().sort_values(["lang", "r"])
     languages, r = sorted(counts), np.random.default_rng(11)
     crops, labels = [], []
-    for lang, text in zip(some.lang, some.text):
-        raw = text.lower().encode()
-        for _ in range(3):
+    for lang, texts in zip(some.lang, some.crops):
+        for text in texts:
+            raw = text.lower().encode()
             size = int(r.integers(12, WINDOW)) if r.random() < 0.4 else WINDOW
             a = int(r.integers(0, max(1, len(raw) - size + 1)))
             crop = np.zeros(WINDOW, dtype=np.uint8)

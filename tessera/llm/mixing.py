@@ -9,8 +9,9 @@ cut into blocks of about `block_tokens`; the last epoch of a source ends inside
 pass its budget. Only per-source figures reach the driver; deciding documents is a narrow pass without a shuffle.
 
 Defined results: a null source is a source of its own; a null or empty text has no tokens, and a source without
-tokens is read once; repeated rows and ties share their fate; an empty table gives no rows; other columns pass
-through `mixed` unchanged (its own columns are named _epoch, _block and _order and must not clash).
+tokens is read once; repeated rows and ties share their fate; an empty table gives no rows; other columns, whatever
+their names, pass through `mixed` unchanged. Its own are named _epoch, _block and _order, each with as many further
+underscores in front as it takes to differ from the caller's (`added_names`).
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import materialise, text_or_empty
+from .common import materialise, numbered, text_or_empty
 
 MOST_SOURCES = 100_000
 KEY_BITS = 30
@@ -64,13 +65,15 @@ def _key(epoch: Column, seed: int) -> Column:
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """docs under numbered names, which clash with none of the columns here, with _source and _h."""
+    docs, (id_col, text_col, source_col) = numbered(docs, id_col, text_col, source_col)
     return docs.withColumn("_source", F.coalesce(F.col(f"`{source_col}`").cast("string"), F.lit("\x00"))).withColumn("_h", F.xxhash64(F.col(f"`{id_col}`"), F.crc32(text_or_empty(text_col))))
 
 
 def plan(docs: DataFrame, target_entropy: float | None = None, max_repeats: float | None = None, budget: int | None = None, block_tokens: int = 1 << 20, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row per source: weight, tokens, target_tokens, full epochs, blocks, and where its last epoch is cut."""
     spark = docs.sparkSession
-    words = F.regexp_count(text_or_empty(text_col), F.lit(r"\S+")).cast("long")
+    words = F.regexp_count(text_or_empty(numbered(docs, text_col)[1][0]), F.lit(r"\S+")).cast("long")
     rows = materialise(_keyed(docs, id_col, text_col, source_col).select("_source", "_h", words.alias("_n")), "mix-rows")
     stats = rows.groupBy("_source").agg(F.sum("_n").alias("t")).orderBy("_source").limit(MOST_SOURCES + 1).collect()
     if len(stats) > MOST_SOURCES:
@@ -93,12 +96,22 @@ def plan(docs: DataFrame, target_entropy: float | None = None, max_repeats: floa
     return materialise(base.join(ends, "_source", "left").select(*base.columns, "cut_block", F.col("e.k").alias("cut_key"), F.col("e._h").alias("cut_hash")), "mix-plan")
 
 
+def added_names(docs: DataFrame) -> list[str]:
+    """What `mixed` calls its own three columns beside those of docs."""
+    held, out = {c.lower() for c in docs.columns}, []
+    for name in ("_epoch", "_block", "_order"):
+        while name in held:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 def _block(key: Column, blocks: Column) -> Column:
     return F.shiftrightunsigned(key * blocks, KEY_BITS)
 
 
 def mixed(docs: DataFrame, plan_rows: DataFrame, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """docs once per epoch in which they are read, with _epoch, _block and _order (sort by _order, then _h order in block)."""
+    """docs once per epoch in which they are read, with _epoch, _block and _order (blocks in the order of _order)."""
     small = plan_rows.select("_source", F.col("epochs").alias("_full"), F.col("rest").alias("_rest"), F.col("blocks").alias("_blocks"), F.col("cut_block").alias("_cb"), F.col("cut_key").alias("_ck"), F.col("cut_hash").alias("_ch"))
     joined = _keyed(docs, id_col, text_col, source_col).join(F.broadcast(small), "_source")
     k = _key(F.col("_full"), seed)
@@ -109,4 +122,5 @@ def mixed(docs: DataFrame, plan_rows: DataFrame, seed: int = 17, id_col: str = "
     each = joined.withColumn("_times", times).where("_times > 0").withColumn("_epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_times") - 1)))
     each = each.withColumn("_block", _block(_key(F.col("_epoch"), seed), F.col("_blocks")))
     each = each.withColumn("_order", F.xxhash64(F.lit(seed + 1), "_source", "_epoch", "_block"))
-    return each.select(*[F.col(f"`{c}`") for c in docs.columns], "_epoch", "_block", "_order")
+    own = [F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)]
+    return each.select(*own, *[F.col(a).alias(b) for a, b in zip(("_epoch", "_block", "_order"), added_names(docs))])

@@ -12,6 +12,8 @@ votes on 64 bits. Distinct fingerprints then link at a Hamming distance of at mo
    if they share a value one bit or less away from both, so each member joins the least member of its 65 such values;
 5. links become components by star contraction. Copies meet in one fingerprint before any of this.
 
+Without a distance, texts also link by the similarity of their shingles (see `near_duplicates` and `jaccard`).
+
 Defined results: a null, empty or blank text has fingerprint zero and links like any other; fewer words than a
 shingle make one shingle; repeated rows share a component; a null doc_id is never a component id unless its whole
 component is null; an empty table gives no rows; other columns are ignored.
@@ -27,11 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ready_for_python
-from .common import discard, drop_paths, materialise, watched
+from . import jaccard
+from .common import LOWER, PIECE, drop_paths, lean, materialise, text_or_empty, watched
 from .components import components
 
-LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-PIECE = 1 << 20
 BITS = 64
 
 
@@ -71,6 +72,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
         for batch in batches:
             fps = np.array([fingerprint(t, shingle) for t in batch.text], dtype=np.uint64).view(np.int64)
             yield pd.DataFrame({"doc_id": batch.doc_id, "fp": fps})
+        lean()
 
     ready_for_python(docs.sparkSession)
     kind = docs.select(F.col(f"`{id_col}`").alias("doc_id")).schema[0].dataType.simpleString()
@@ -230,17 +232,61 @@ def _neighbour_links(crowd: DataFrame, distance: int) -> DataFrame:
     return values.join(least, "value").where("fp <> b").select(F.col("fp").alias("a"), "b")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2, parts: int = 3, hot: int = 128, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, fingerprint, component_id."""
-    fps = materialise(fingerprints(docs, shingle, id_col, text_col), "sim-fps")
+def _classes(fps: DataFrame, distance: int, parts: int, hot: int) -> DataFrame:
+    """(fp, component_id) by fingerprints alone."""
     distinct = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "sim-distinct")
-    with watched() as used:
-        found = components(links(distinct.select("fp"), distance, parts, hot))
-    roots = materialise(found, "sim-roots")
-    drop_paths(docs.sparkSession, used)
-    named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    found = components(links(distinct.select("fp"), distance, parts, hot))
+    named = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    classes = materialise(named.join(least, "root").select("fp", "component_id"), "sim-classes")
-    discard(distinct)
-    discard(roots)
-    return fps.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return named.join(least, "root").select("fp", "component_id")
+
+
+def _marked(docs: DataFrame, words: int, shingle: int, id_col: str, text_col: str) -> DataFrame:
+    """One row per document from one pass over the texts: doc_id, the text's MD5, fingerprint, and `jaccard.SET_COLUMNS`."""
+    ready_for_python(docs.sparkSession)
+    read = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text_or_empty(text_col).alias("text")).withColumn("key", F.md5("text"))
+    common = docs.sparkSession.sparkContext.broadcast(jaccard.frequent(read.select("key", "text"), shingle))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, counts = common.value
+        for batch in batches:
+            for at in range(0, len(batch), jaccard.YIELD_ROWS):
+                part = batch.iloc[at : at + jaccard.YIELD_ROWS]
+                fps = np.array([fingerprint(t, words) for t in part.text], dtype=np.uint64).view(np.int64)
+                sets = [jaccard.shingle_set(t, shingle) for t in part.text]
+                yield pd.DataFrame({"doc_id": part.doc_id.to_numpy(), "key": part.key.to_numpy(), "fp": fps, **jaccard.set_columns(sets, known, counts)})
+        lean()
+
+    kind = read.schema[0].dataType.simpleString()
+    return read.mapInPandas(run, f"doc_id {kind}, key string, fp long, {jaccard.SET_COLUMNS}")
+
+
+def near_duplicates(docs: DataFrame, shingle: int | None = None, distance: int | None = None, parts: int = 3, hot: int = 128, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, fingerprint, component_id.
+
+    With a distance, documents link where their fingerprints (of three words a shingle by default) differ in so many
+    bits at most. Without one they link where their fingerprints of three words differ in two bits at most, or where
+    the Jaccard similarity of their shingles (five words by default) is 0.8 or more, by the exact join of `jaccard`.
+    """
+    spark = docs.sparkSession
+    out = ("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    if distance is not None:
+        rows = materialise(fingerprints(docs, shingle or 3, id_col, text_col), "sim-fps")
+        with watched() as used:
+            classes = materialise(_classes(rows, distance, parts, hot), "sim-classes")
+        drop_paths(spark, used[:-1])
+        return rows.join(classes, "fp").select(*out)
+    marked = materialise(_marked(docs, 3, shingle or 5, id_col, text_col), "sim-marked")
+    texts = docs.select(text_or_empty(text_col).alias("text")).withColumn("key", F.md5("text"))
+    with watched() as used:
+        # a document ties its fingerprint (tagged, so that the two kinds of node stay apart) to its set of shingles
+        tag = lambda c: F.xxhash64(F.lit("fingerprint"), F.col(c)).alias(c)
+        same_print = links(marked.select("fp").distinct(), 2, parts, hot).select(tag("a"), tag("b"))
+        same_set = jaccard.links(texts, marked.select("key", "node", "n", "prefix", "sketch"), shingle or 5, hot)
+        ties = marked.select(F.xxhash64(F.lit("fingerprint"), F.col("fp")).alias("a"), F.col("node").alias("b")).distinct()
+        roots = components(ties.unionByName(same_print).unionByName(same_set))
+        least = marked.groupBy("node").agg(F.min("doc_id").alias("least"))
+        named = least.join(roots, "node").groupBy("root").agg(F.min("least").alias("component_id"))
+        classes = materialise(roots.join(named, "root").select("node", "component_id"), "sim-classes")
+    drop_paths(spark, used[:-1])
+    return marked.select("doc_id", "fp", "node").join(classes, "node").select(*out)

@@ -18,6 +18,7 @@ text's hash; repeated rows are all written; an empty table gives no files and no
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -29,13 +30,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..shipping import ready_for_python
-from .common import materialise
+from .common import LOWER, lean, materialise
 
 MAGIC, BLOCK, IDS_PER_IMAGE = b"TSB8", 8192, 1 << 20
 #: Fixed values of the format: (ids, bits) of a word by selector; the last is the escape.
 SELECTORS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
 COUNTS = np.array([c for c, _ in SELECTORS])
-LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+#: The longest word that is remembered, and about what an entry takes beside its bytes.
+LONGEST, ENTRY = 64, 170
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: The byte-level alphabet by its rule: printable bytes stand for themselves, the others follow from U+0100 on.
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -144,20 +146,46 @@ def read_image(image: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     return [None if z else int(k) for k, z in zip(keys, nulls)], lengths.astype(np.int64), np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint64)
 
 
+#: The tokenizer stages under which a text's ids are those of its words, one after the other.
+BY_WORDS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "truncation": None,
+    "padding": None,
+}
+
+
+def encodes_by_words(path: str) -> bool:
+    """Whether the file describes a BPE tokenizer with those stages, without dropout, and special tokens in <| and |>."""
+    with open(path, encoding="utf-8") as f:
+        said = json.load(f)
+    model = said["model"]
+    marked = all(t["content"].startswith("<|") and not t["normalized"] for t in said["added_tokens"])
+    return marked and model["type"] == "BPE" and not model.get("dropout") and all(said.get(k) == v for k, v in BY_WORDS.items())
+
+
 class Encoder(dict):
     """Whole texts to ids with the tokenizers library, which sees each distinct word once; maps words to packed ids.
 
-    This vocabulary's pre-tokenizer drops white space, so a text's ids are those of its words in order; a word is
+    A tokenizer that `encodes_by_words` drops white space, so a text's ids are those of its words in order; a word is
     lower-cased (A-Z) and, where it ends in ASCII punctuation behind a Latin letter or a digit, encoded as stem and
     tail, between which the pre-tokenizer splits too. Texts with special-token strings or combining marks go through
-    the library whole.
+    the library whole, and so do all texts of any other tokenizer. About `most_bytes` of words are remembered, and
+    none longer than LONGEST bytes.
     """
 
-    def __init__(self, path: str, held: int = 300_000):
+    def __init__(self, path: str, held: int = 300_000, most_bytes: int = 40 << 20):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.tokenizer, self.held = Tokenizer.from_file(path), held
+        self.tokenizer, self.held, self.most_bytes, self.bytes = Tokenizer.from_file(path), held, most_bytes, 0
+        self.by_words = encodes_by_words(path)
         self.pieces = self.tokenizer.model.tokenize
         every = np.arange(self.tokenizer.get_vocab_size(), dtype="<u4").tobytes()
         self.packed = [every[a : a + 4] for a in range(0, len(every), 4)]
@@ -166,32 +194,38 @@ class Encoder(dict):
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def __missing__(self, word: bytes) -> bytes:
-        """Ids of a word not seen yet. One of Latin letters only is one pre-token and goes straight to the BPE model."""
+        """Ids of a word not seen yet, remembered unless it is long."""
+        ids = self._ids(word)
+        if len(word) <= LONGEST:
+            self[word] = ids
+            self.bytes += len(word) + len(ids) + ENTRY
+        return ids
+
+    def _ids(self, word: bytes) -> bytes:
+        """One word of Latin letters only is one pre-token and goes straight to the BPE model."""
         if word.isalpha():
             token = word.decode()
         else:
             stem = word.rstrip(PUNCTUATION)
             if stem and len(stem) < len(word) and _ends_token(stem):
-                ids = self[word] = self[stem] + self[word[len(stem) :]]
-                return ids
+                return self[stem] + self[word[len(stem) :]]
             text = word.decode()
             low = text.lower()
             if not text.isalpha() or max(text) > "\u024f" or len(low) != len(text):
-                ids = self[word] = self._direct(text)
-                return ids
+                return self._direct(text)
             token = low.encode().decode("latin-1").translate(BYTE_LEVEL)
         packed = self.packed
-        ids = self[word] = b"".join([packed[t.id] for t in self.pieces(token)])
-        return ids
+        return b"".join([packed[t.id] for t in self.pieces(token)])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian u32 ids of each text."""
         look, out = self.__getitem__, []
         for text in texts:
-            if len(self) > self.held:
+            if len(self) > self.held or self.bytes > self.most_bytes:
                 self.clear()
+                self.bytes = 0
             raw = text.encode()
-            whole = b"<|" in raw or b"\xcc" in raw or b"\xcd" in raw
+            whole = not self.by_words or b"<|" in raw or b"\xcc" in raw or b"\xcd" in raw
             out.append(self._direct(text) if whole else b"".join(map(look, raw.translate(LOWER).split())))
         return out
 
@@ -228,6 +262,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, id_col:
                     ids, lengths, keys = [], [], []
         if keys:
             yield image()
+        lean()
 
     return materialise(ordered.mapInArrow(encode, "part int, seq int, n_ids long, image binary"), "token-files")
 
@@ -243,6 +278,7 @@ def read_token_files(files: DataFrame) -> DataFrame:
                 flat = ids.astype("<u4").tobytes()
                 crcs = [zlib.crc32(flat[4 * (e - k) : 4 * e]) for k, e in zip(lengths.tolist(), ends.tolist())]
                 yield pd.DataFrame({"part": part, "seq": seq, "doc_id": pd.array(keys, dtype="Int64"), "inside": ends - lengths, "n_tokens": lengths, "ids_crc32": crcs})
+        lean()
 
     ready_for_python(files.sparkSession)
     docs = files.select("part", "seq", "image").mapInPandas(decode, "part int, seq int, doc_id long, inside long, n_tokens long, ids_crc32 long")

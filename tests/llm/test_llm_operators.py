@@ -339,3 +339,56 @@ def test_components_of_chains_and_stars(spark):
     got = {x.node: x.root for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(61)}, **{i: 100 for i in range(100, 140)}}
     assert components(spark.createDataFrame([], T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))).count() == 0
+
+
+def test_words_of_one_hash_stay_apart(spark):
+    """Thue-Morse words: equal under any polynomial hash modulo a power of two, different in their bytes."""
+    s = "a"
+    for _ in range(11):
+        s = "".join({"a": "ab", "b": "ba"}[c] for c in s)
+    other = s.translate(str.maketrans("ab", "ba"))
+    d = spark.createDataFrame([(1, f"x {s} y"), (2, f"x {other} y"), (3, f"{other} {s}")], "doc_id long, text string")
+    b = spark.createDataFrame([(7, other)], "item_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items) for r in contamination.contamination(d, b).collect()}
+    assert got == {1: (3, 0, 0), 2: (3, 1, 1), 3: (2, 1, 1)}
+
+
+def test_word_tables_of_long_texts_in_pieces():
+    r = random.Random(6)
+    texts = ["".join(r.choice("abC 1,\u00e9\n\u65e5") for _ in range(r.randrange(60))) for _ in range(100)]
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.translate(LOW))
+    usual = contamination.PIECE
+    try:
+        for contamination.PIECE in (usual, 7, 50):
+            per_text, term, counts, terms = contamination.word_table(texts)
+            assert [terms[i].decode() for i in term] == [x for t in texts for x in words(t)]
+            assert per_text.tolist() == [len(words(t)) for t in texts] and counts.sum() == len(term)
+    finally:
+        contamination.PIECE = usual
+
+
+def test_other_tokenizers_encode_whole_texts():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    coder, library = tokenfile.Encoder(path), Tokenizer.from_file(path)
+    texts = ["Hello  World, it's \n\n new", "an the\ton ", "", "日本語 é!"]
+    assert not coder.by_words
+    assert [np.frombuffer(x, "<u4").tolist() for x in coder.encode(texts)] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_remembered_words_are_bounded_by_bytes(tokenizer):
+    coder = tokenfile.Encoder(tokenizer, most_bytes=20_000)
+    r = random.Random(9)
+    texts = ["".join(r.choice("abcdef") for _ in range(int(r.choice([5, 30, 5000])))) for _ in range(400)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in coder.encode(texts)] == [coder.tokenizer.encode(t).ids for t in texts]
+    assert coder.bytes < 20_000 + 10_000 and all(len(w) <= tokenfile.LONGEST for w in coder)
+
+
+def test_training_reads_windows_of_whole_texts(spark):
+    """A language that shows itself only behind 10,000 characters of another's is still learned."""
+    rows = [(i, "zz zz qq " * 1200 + ("vvv kkk jjj " if i % 2 else "ooo eee aaa ") * 2000, "xy"[i % 2]) for i in range(300)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    got = langid.predict_texts(model, ["vvv kkk jjj " * 30, "ooo eee aaa " * 30])
+    assert got[0] == ["y", "x"]

@@ -133,3 +133,54 @@ def test_near_copies_by_five_words_go(spark, stages):
     at = {r.doc_id: i for i, r in enumerate(rows)}
     more = [(at[r.doc_id], at[r.component_id]) for r in simhash.near_duplicates(before).collect()]
     assert ids(after) == [rows[i].doc_id for i in sorted(set(brute_groups([r.text for r in rows], more)))]
+
+
+@pytest.mark.parametrize("hot", [2, 128])
+def test_near_copies_link_by_either_rule_as_by_brute_force(spark, stages, hot):
+    """Operator 3 without a distance: three-word fingerprints within two bits, or five-word similarity of 0.8."""
+    from test_llm_operators import brute_fingerprint
+
+    from tessera.llm import simhash
+
+    rows = sorted(stages["simhash_near_dedup"][0].select("doc_id", "text").collect())
+    rows += [(1000, None), (1001, ""), (1002, " \t "), (1003, "one two"), (1004, "one  TWO")]
+    texts = [t for _, t in rows]
+    fps = [brute_fingerprint(t) for t in texts]
+    close = [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 2]
+    want = brute_groups(texts, close)
+    docs = spark.createDataFrame([(i, t, "clash", 5) for i, t in rows], "doc_id long, text string, key string, node int")
+    got = {r.doc_id: r for r in simhash.near_duplicates(docs, hot=hot).collect()}
+    assert [got[i].component_id for i, _ in rows] == [rows[g][0] for g in want]
+    assert [got[i].fingerprint for i, _ in rows] == [f"{f:016x}" for f in fps]
+    assert len(set(want)) < len(want) - 10
+
+
+def test_documents_with_a_passage_of_any_one_item_go(spark):
+    """Planted passages of eight words and more of single items, by brute force; nearly whole passages stay."""
+    import re
+
+    items = [i.text for i in spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").collect()]
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.translate({c: c + 32 for c in range(65, 91)}))
+    windows = {tuple(w[i : i + 8]) for t in items for w in [words(t)] for i in range(max(1, len(w) - 7))}
+    fill = lambda k: " ".join(f"fill{k}x{i}" for i in range(30))
+    texts = [f"{fill(k)} {' '.join(words(t)[: 7 + k % 4])} {fill(k)}" for k, t in enumerate(items)] + [fill(i) for i in range(90, 99)]
+    docs = spark.createDataFrame([(i if i % 5 else None, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    dirty = lambda t: any(tuple(w[i : i + n]) in windows for w in [words(t)] for n in {len(x) for x in windows} for i in range(len(w) - n + 1))
+    kept = sorted(r.text for r in corpus_pipeline.drop_contaminated(spark, docs, SF).collect())
+    assert kept == sorted(t for t in texts if not dirty(t)) and 9 < len(kept) < len(texts) - 9
+
+
+def test_no_column_name_clashes(spark):
+    """Every name that a stage or its operator uses inside, as a column of the caller's."""
+    inner = ["_found0", "_key", "_key0", "_copy", "_copy0", "_id", "key", "node", "n", "prefix", "sketch", "fp", "tie", "_source", "_h", "_n", "_times", "_full", "_rest", "_blocks", "_cb", "_ck", "_ch", "_epoch", "_block", "_order", "weight", "tokens", "epochs", "k", "b", "h", "crops", "lang_pred", "score"]
+    texts = [" ".join(f"{c}{i}" for i in range(40)) for c in "abcdefgh"]
+    rows = [(i % 6 or None, t, "en", "abc"[i % 3], 9, *[f"mine {i}"] * len(inner)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in inner))
+    for name, f in corpus_pipeline.STAGES[:4]:
+        out = f(spark, docs, SF)
+        assert out.columns == docs.columns
+        assert {tuple(r) for r in out.collect()} == set(rows), name
+    assert corpus_pipeline.STAGES[4][1](spark, docs, SF).count() == len(rows)
+    from tessera.llm import mixing
+
+    assert mixing.mixed(docs, mixing.plan(docs, max_repeats=2.0)).columns == [*docs.columns, "__epoch", "__block", "__order"]
