@@ -30,19 +30,81 @@ from ..shipping import ready_for_python
 #: Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr".split())
-SILENT = frozenset("script style template noscript svg iframe object canvas math textarea select".split())
+INLINE |= frozenset("svg math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mmultiscripts mprescripts mtable mtr mtd mspace mstyle mpadded mphantom menclose merror semantics".split())
+SILENT = frozenset("script style template noscript svg iframe object canvas annotation annotation-xml textarea select".split())
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*+)")
+STOP = re.compile(r"[>\"']")
 NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 WORDY = re.compile(r"[A-Za-z]+|\d+")
 SPACE = re.compile(r"\s+")
 
 PATH_DIMS, WORD_DIMS, FIGURES, HIDDEN, WORD_ROWS = 96, 16, 6, 20, 4096
 CHUNK = 4096
+#: An end tag closes no element further out than this; browsers bound their depth too.
+DEEPEST = 256
 _WORDS = np.random.default_rng(3).normal(0, 0.5, (WORD_ROWS, WORD_DIMS)).astype(np.float32)
 
 
+class _Tags:
+    """The tags of a page in order. Each character is looked at a bounded number of times, whatever is left open.
+
+    A quote that is never closed is an ordinary character; where quotes hide the end of a tag up to the end of the
+    page, they count for nothing from that tag on; a tag without any end is text.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.quotes, self.open = page, {"'": True, '"': True}, True
+
+    def _end(self, at: int) -> int:
+        i = at
+        while self.open:
+            m = STOP.search(self.page, i)
+            if m is None:
+                self.open = False
+                break
+            if m[0] == ">":
+                return m.start()
+            i = m.end()
+            if self.quotes[m[0]]:
+                shut = self.page.find(m[0], i)
+                if shut < 0:
+                    self.quotes[m[0]] = False
+                else:
+                    i = shut + 1
+        return self.page.find(">", at)
+
+    def after(self, at: int) -> tuple[int, int, str | None, bool, str]:
+        """The next tag from here on: its start, its end, its name (None for comments and such), whether it closes, its attributes."""
+        page = self.page
+        while (start := page.find("<", at)) >= 0:
+            if page.startswith("<!--", start):
+                end = page.find("-->", start + 4)
+                return start, end + 3 if end >= 0 else len(page), None, False, ""
+            m = NAME.match(page, start + 1)
+            if m or page[start + 1 : start + 2] in ("!", "?"):
+                end = self._end(m.end()) if m else page.find(">", start)
+                if end < 0:
+                    break
+                return start, end + 1, m[2].lower() if m else None, bool(m and m[1]), page[m.end() : end] if m else ""
+            at = start + 1
+        return len(page), len(page), None, False, ""
+
+
+def _past(page: str, tag: str, at: int) -> int:
+    """The end of a silent element that opened here; svg can hold others of its kind. Without an end tag: of the page."""
+    depth = 1
+    for m in re.compile(rf"<(/?){tag}\b([^>]*)>", re.I).finditer(page, at):
+        if m[1]:
+            depth -= 1
+        elif tag == "svg" and not m[2].endswith("/"):
+            depth += 1
+        if not depth:
+            return m.end()
+    return len(page)
+
+
 def leaf_blocks(page: str) -> list[tuple[tuple, str, float]]:
     """(path, text, share of link text) of every block in page order."""
     out: list = []
@@ -57,25 +119,21 @@ def leaf_blocks(page: str) -> list[tuple[tuple, str, float]]:
         raw = "".join(held)
         text = " ".join((html.unescape(raw) if "&" in raw else raw).split())
         if text:
-            out.append((tuple(n for _, names in stack for n in names), text, min(1.0, linked / len(text))))
+            out.append((tuple(n for _, names in stack[-DEEPEST:] for n in names), text, min(1.0, linked / len(text))))
         held.clear()
         linked = 0
 
-    at = 0
+    at, tags = 0, _Tags(page)
     while at < len(page):
-        m = TOKEN.search(page, at)
-        if m is None:
-            held.append(page[at:])
-            break
-        if m.start() > at:
-            held.append(page[at : m.start()])
+        start, end, tag, closes, attributes = tags.after(at)
+        if start > at:
+            held.append(page[at:start])
             if links:
-                linked += m.start() - at
-        at = m.end()
-        if m[2] is None:
+                linked += start - at
+        at = end
+        if tag is None:
             continue
-        tag = m[2].lower()
-        if m[1]:
+        if closes:
             if tag not in INLINE:
                 flush()
             for i in range(len(stack) - 1, -1, -1):
@@ -83,7 +141,7 @@ def leaf_blocks(page: str) -> list[tuple[tuple, str, float]]:
                     links -= sum(t == "a" for t, _ in stack[i:]) if links else 0
                     del stack[i:]
                     break
-                if tag in INLINE and stack[i][0] not in INLINE:
+                if tag in INLINE and stack[i][0] not in INLINE or len(stack) - i > DEEPEST:
                     break
             continue
         if tag == "br":
@@ -92,20 +150,20 @@ def leaf_blocks(page: str) -> list[tuple[tuple, str, float]]:
         if tag not in INLINE:
             flush()
         if tag in SILENT:
-            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            if not (tag == "svg" and attributes.endswith("/")):
+                at = _past(page, tag, at)
             continue
         if tag in CLOSES_P:
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1, max(-1, len(stack) - 1 - DEEPEST), -1):
                 if stack[i][0] == "p":
                     links -= sum(t == "a" for t, _ in stack[i:]) if links else 0
                     del stack[i:]
                     break
                 if stack[i][0] not in INLINE:
                     break
-        if tag in VOID or m[3].endswith("/"):
+        if tag in VOID or attributes.endswith("/"):
             continue
-        names = (tag, *("." + w for a in NAMES.findall(m[3]) for w in WORDY.findall("".join(a).lower())))
+        names = (tag, *("." + w for a in NAMES.findall(attributes) for w in WORDY.findall("".join(a).lower())))
         stack.append((tag, names))
         links += tag == "a"
     flush()
@@ -274,18 +332,20 @@ def padded(pages: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
 def make_page(r: np.random.Generator) -> tuple[str, list[str]]:
     """A laid-out page and the blocks of its article, for training."""
     pick = lambda *options: options[int(r.integers(len(options)))]
-    syllables = ["an", "the", "on", "er", "ti", "re", "lo", "mi", "sa", "ung", "ier", "que", "dos", "ch", "ly", "ea", "ver", "os", "a"]
-    word = lambda: "".join(pick(*syllables) for _ in range(int(r.integers(1, 5))))
+    word = lambda: "".join(pick(*"bcdfghklmnprstvwz", "", "st", "tr") + pick(*"aeiou", "\u00e9", "ou") + pick("", "", "n", "r", "s", "t") for _ in range(int(r.integers(1, 4))))
     mark: list[str] = []
 
     def text(low: int, high: int) -> str:
         ws = [word() for _ in range(int(r.integers(low, high)))]
-        if r.random() < 0.15:
-            ws = [w + pick("###", "***", "%%%", "$$$", "!!", "&amp;&amp;") for w in ws]
-        elif r.random() < 0.1:
+        odd = r.random()
+        if odd < 0.15:  # text that looks like junk is still text
+            sign = pick(*"#*%$!~^+=@", "&amp;") * int(r.integers(1, 4))
+            ws = [w + sign for w in ws]
+        elif odd < 0.25:
             ws = [w.upper() for w in ws]
-        elif r.random() < 0.1:
-            ws = [x for w in ws for x in (w, "|")]
+        elif odd < 0.33:
+            sign = pick("|", "/", "-", "&gt;", "&middot;")
+            ws = [x for w in ws for x in (w, sign)]
         stops = [w + ("." if r.random() < 0.1 else "," if r.random() < 0.08 else "") for w in ws]
         return " ".join(stops).capitalize() + pick(".", ".", "")
 
@@ -299,7 +359,7 @@ def make_page(r: np.random.Generator) -> tuple[str, list[str]]:
     def junk() -> str:
         kind = pick("nav", "ad", "aside", "notice", "form", "share", "related", "header", "footer", "comments")
         if kind == "nav":
-            return pick(f"<nav>{menu()}</nav>", wrap("div", ("menu", "main-menu", "navbar", "breadcrumbs", "navigation", "topnav"), menu()))
+            return pick(f"<nav>{menu()}</nav>", wrap("div", ("menu", "main-menu", "navbar", "breadcrumbs", "navigation", "topnav", "toc", "pagination"), menu()), wrap("ul", ("menu", "nav-list", "crumbs"), menu()[4:-5]), wrap("p", ("breadcrumb", "nav"), " &raquo; ".join(f"<a href='/{word()}'>{word()}</a>" for _ in range(3))))
         if kind == "ad":
             return wrap(pick("div", "aside", "section"), ("ad", "ads", "advert", "ad-box", "sponsored", "promo", "banner-ad", "advertisement"), pick(text(2, 30), f"<p>{text(2, 40)}</p>", f"<a href='/x'>{text(2, 10)}</a>"))
         if kind == "aside":
@@ -329,8 +389,8 @@ def make_page(r: np.random.Generator) -> tuple[str, list[str]]:
             form = r.random()
             if form < 0.6:
                 out.append(f"<p>{own(text(*long))}</p>")
-            elif form < 0.75:
-                out.append(f"<p><b>{own(text(*long))}<br>")
+            elif form < 0.75:  # end tags left out
+                out.append(f"<p>{pick('', '<b>', '<span>', '<em>')}{own(text(*long))}{pick('', '<br>', '<br/>')}")
             elif form < 0.8:
                 out.append(f"<h2>{own(text(1, 8))}</h2>")
             elif form < 0.86:
@@ -354,11 +414,14 @@ def make_page(r: np.random.Generator) -> tuple[str, list[str]]:
         lambda: wrap("div", ("content", "article", "post", "entry-content", "story", "article-body", "main-content", "post-content"), body()),
         lambda: f"<section class='article-text'>{body()}</section>",
         lambda: f"<div class='page'><div class='wrapper'><article class='post'>{body()}</article></div></div>",
+        lambda: f"<div id='{word()}'><div class='{word()}'>{body()}</div></div>",
+        lambda: f"<table><tr><td>{menu()}</td><td>{body()}</td></tr></table>",
+        lambda: f"<table class='layout'><tr><td{pick('', ' class=left', ' width=150')}>{pick(menu(), '<br>'.join(f'<a href=/{word()}>{word()}</a>' for _ in range(5)))}</td><td{pick('', ' class=main')}>{body()}</td>{pick('', f'<td>{junk()}</td>')}</tr></table>",
     )
     before = "".join(junk() for _ in range(int(r.integers(0, 4))))
     inside = main()
     after = "".join(junk() for _ in range(int(r.integers(0, 4))))
-    page = f"<!DOCTYPE html><html><head><title>{text(1, 12)}</title><script>var t='</p>';</script></head><body>{pick('', f'<nav>{menu()}</nav>')}{before}{inside}{after}{pick(foot(), foot(), '')}" + pick("</body></html>", "")
+    page = f"<!DOCTYPE html><html><head><title>{text(1, 12)}</title>{pick('', '<script>if (a < b) { c = "</div>"; }</script>', '<style>p { margin: 0 }</style>')}</head><body>{pick('', f'<nav>{menu()}</nav>')}{before}{inside}{after}{pick(foot(), foot(), '')}" + pick("</body></html>", "")
     return page, mark
 
 
