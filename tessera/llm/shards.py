@@ -1,13 +1,16 @@
 """K-d tree sharding with DataFrame operations only.
 
-Every level finds, for all of its nodes at once, the widest dimension (spread relative to the whole table) and the
-exact weighted median along it: histograms of a 63-bit key are refined until the cut lies between two keys. The key
-is the dimension's value, then part of the text's CRC (copies of a text stay together as far as a cut allows), then
-part of a hash of doc_id, so that even one group of copies that holds most rows can be cut. Only histograms
-(nodes x BINS rows) reach the driver. Leaves hold the target bytes within a few rows of each other.
-
-Defined results: a null text has size 1 and CRC 0; null dimensions sort lowest; ties of the key stay on one side;
-repeated rows are all placed; an empty table gives no rows; other columns are ignored.
+Every level finds, for all of its nodes at once, the widest metadata dimension (spread relative to the whole table)
+and the exact weighted median along it: histograms of a 63-bit key are refined until the cut lies between two keys.
+Dimensions are the text's size and CRC and the metadata columns in `dims`: numbers as they are, strings by their CRC.
+The key is the dimension's value, then part of the text's CRC, then part of a hash of doc_id: copies of a text stay
+together as far as a cut allows, if their metadata agree, and even one group of copies that holds most rows can be
+cut. Only histograms (nodes x BINS rows) reach the driver. Each split halves the bytes to within one key, and nodes
+are split until all are at the target bytes or below.
+
+Defined results: a null text has size 1 and CRC 0; null dimensions sort lowest, and columns of `dims` that the table
+lacks are left out; ties of the key stay on one side; repeated rows are all placed; an empty table gives no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -62,12 +65,23 @@ def _medians(placed: DataFrame, nodes: dict[int, str]) -> dict[int, int]:
     return {first + i: x for i, x in enumerate(low)}
 
 
-def kd_shards(docs: DataFrame, depth: int = 4, dims: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """2**depth leaves of near equal bytes: doc_id, size, text_crc32, law, shard, slot, grown_shard.
+def _dimension(docs: DataFrame, name: str) -> Column:
+    """A metadata column as a number of VALUE_BITS."""
+    c, top = F.col(f"`{name}`"), (1 << VALUE_BITS) - 1
+    if dict(docs.dtypes)[name] == "string":
+        return F.coalesce(F.shiftrightunsigned(F.crc32(c), 32 - VALUE_BITS), F.lit(0))
+    return F.greatest(F.lit(0), F.least(F.lit(top), F.coalesce(c.cast("long"), F.lit(0))))
 
-    dims: names of further numeric columns to split along besides size and the text's CRC.
+
+def kd_shards(docs: DataFrame, target_bytes: int | None = None, shards: int = 16, dims: tuple[str, ...] = ("lang", "n_chars"), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Leaves of near equal bytes: doc_id, size, text_crc32, law, shard, slot, grown_shard.
+
+    With target_bytes nodes are split until they hold no more; otherwise the target is a `shards`-th (a power of two)
+    of all bytes.
     """
-    own = {f"d{i}": F.greatest(F.lit(0), F.least(F.lit((1 << VALUE_BITS) - 1), F.coalesce(F.col(f"`{d}`").cast("long"), F.lit(0)))) for i, d in enumerate(dims)}
+    if shards < 1 or shards & (shards - 1):
+        raise ValueError("shards must be a power of two")
+    own = {f"d{i}": _dimension(docs, d) for i, d in enumerate(d for d in dims if d in docs.columns)}
     read = docs.select(
         F.col(f"`{id_col}`").alias("doc_id"),
         (F.octet_length(text_or_empty(text_col)) + 1).cast("long").alias("size"),
@@ -75,7 +89,9 @@ def kd_shards(docs: DataFrame, depth: int = 4, dims: tuple[str, ...] = (), id_co
         *[c.alias(k) for k, c in own.items()],
     ).withColumn("d_crc", F.shiftrightunsigned("text_crc32", 32 - VALUE_BITS))
     candidates = ["size", "d_crc", *own]
-    rows = materialise(read.select("*", *[_key(c).alias(f"k_{c}") for c in candidates]), "shard-rows")
+    rows = materialise(read.select("*", F.monotonically_increasing_id().alias("at"), *[_key(c).alias(f"k_{c}") for c in candidates]), "shard-rows")
+    whole = rows.agg(F.sum("size")).first()[0] or 0
+    depth = (shards - 1).bit_length() if target_bytes is None else max(0, -(-whole // max(1, target_bytes)) - 1).bit_length()
     cuts: dict[int, tuple[str, int]] = {}
     spread_all: dict[str, int] = {}
     for level in range(depth):
@@ -88,14 +104,13 @@ def kd_shards(docs: DataFrame, depth: int = 4, dims: tuple[str, ...] = (), id_co
         medians = _medians(placed, widest)
         cuts |= {n: (widest[n], medians[n]) for n in widest}
     placed = rows.withColumn("shard", (_node(cuts, depth) - (1 << depth)).cast("int"))
-    return _slots(placed, rows.count()).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return _slots(placed).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-def _slots(placed: DataFrame, n: int) -> DataFrame:
-    """Gapless slots per shard: row numbers inside bounded chunks plus the chunks' offsets."""
-    chunks = max(1, n // (16 * ROWS_PER_CHUNK))
-    chunked = placed.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(chunks)))
-    numbered = chunked.withColumn("r", F.row_number().over(Window.partitionBy("shard", "chunk").orderBy("doc_id", "text_crc32")))
+def _slots(placed: DataFrame) -> DataFrame:
+    """Gapless slots per shard: row numbers inside chunks of rows that were written side by side, plus the chunks' offsets."""
+    chunked = placed.withColumn("chunk", F.call_function("div", F.col("at"), F.lit(ROWS_PER_CHUNK).cast("long")))
+    numbered = chunked.withColumn("r", F.row_number().over(Window.partitionBy("shard", "chunk").orderBy("at")))
     sizes = chunked.groupBy("shard", "chunk").agg(F.count(F.lit(1)).alias("k"))
     before = Window.partitionBy("shard").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("shard", "chunk", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("skip"))

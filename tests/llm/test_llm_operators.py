@@ -392,3 +392,53 @@ def test_training_reads_windows_of_whole_texts(spark):
     model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     got = langid.predict_texts(model, ["vvv kkk jjj " * 30, "ooo eee aaa " * 30])
     assert got[0] == ["y", "x"]
+
+
+def test_long_conversations_take_linear_time(spark):
+    import time
+
+    n = 16_000
+    df = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 3 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("\u00e9<| text \\ "), F.repeat(F.lit("word "), 10), F.col("id")).alias("text"))
+    chat.digest(chat.format_chats(df.limit(10))).collect()
+    began = time.time()
+    got = chat.digest(chat.format_chats(df)).first()
+    assert time.time() - began < 10
+    loss = "".join(f"\u00e9<| text \\ {'word ' * 10}{i}" for i in range(n) if i % 3)
+    assert (got.n_turns, got.loss_chars, got.loss_sha256) == (n, len(loss), hashlib.sha256(loss.encode()).hexdigest())
+
+
+def brute_medians(rows, depth, dims):
+    """The k-d tree in plain Python: rows are (size, key by dimension, value by dimension); returns the leaf of each."""
+    spread = {d: max(1, max(r[2][d] for r in rows) - min(r[2][d] for r in rows)) for d in dims}
+    nodes = {1: list(range(len(rows)))}
+    for level in range(depth):
+        below = {}
+        for n, own in nodes.items():
+            width = {d: (max(rows[i][2][d] for i in own) - min(rows[i][2][d] for i in own)) if own else 0 for d in dims}
+            d = max(dims, key=lambda c: (width[c] / spread[c], c))
+            by, upto, cut = sorted(own, key=lambda i: rows[i][1][d]), 0, 0
+            total = sum(rows[i][0] for i in own)
+            for i in by:  # the least key with over half of the bytes at or below it
+                upto += rows[i][0]
+                if 2 * upto > total:
+                    cut = rows[i][1][d]
+                    break
+            below[2 * n] = [i for i in own if rows[i][1][d] < cut]
+            below[2 * n + 1] = [i for i in own if rows[i][1][d] >= cut]
+        nodes = below
+    return {i: n - (1 << depth) for n, own in nodes.items() for i in own}
+
+
+def test_shards_split_at_weighted_medians_of_the_widest_dimension(spark, docs):
+    real = spark.read.parquet(f"{SF}/documents.parquet")
+    key = real.select("doc_id", (F.octet_length(F.coalesce("text", F.lit(""))) + 1).cast("long").alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), *[shards._dimension(real, d).alias(f"d{i}") for i, d in enumerate(("lang", "n_chars"))])
+    key = key.withColumn("d_crc", F.shiftrightunsigned("text_crc32", 1))
+    dims = ["size", "d_crc", "d0", "d1"]
+    rows = key.select("doc_id", "size", F.struct(*[shards._key(d).alias(d) for d in dims]).alias("k"), F.struct(*dims).alias("v")).orderBy("doc_id").collect()
+    want = brute_medians([(r["size"], r.k, r.v) for r in rows], 4, dims)
+    got = {r.doc_id: r.shard for r in shards.kd_shards(real).collect()}
+    assert got == {r.doc_id: want[i] for i, r in enumerate(rows)}
+    whole = sum(r["size"] for r in rows)
+    for target in (whole, whole // 3, whole // 20):
+        sizes = [r.b for r in shards.kd_shards(real, target_bytes=target).groupBy("shard").agg(F.sum("size").alias("b")).collect()]
+        assert max(sizes) <= target + max(r["size"] for r in rows) and len(sizes) == 1 << max(0, -(-whole // target) - 1).bit_length()
