@@ -235,16 +235,37 @@ def _networkdays(start: Val, end: Val, holidays: Val | None = None) -> Val:
     return settled(num(out.cast("double"), a.err, b.err, *[h.err for h in free]))
 
 
+def _after_weekdays(s: Column, n: Column) -> Column:
+    """The serial n weekdays (n > 0) after s: whole weeks, then the rest of one, which may pass a weekend."""
+    # Saturday is 0, Sunday 1, Friday 6; a start on a weekend counts as the Friday before
+    place = F.pmod(F.floor(s), F.lit(7))
+    friday = F.floor(s) - F.when(place < 2, place + 1).otherwise(0)
+    day = F.when(place < 2, F.lit(4)).otherwise(place - 2)
+    return friday + F.floor((n + day) / 5) * 7 + F.pmod(n + day, F.lit(5)) - day
+
+
+def _before_weekdays(s: Column, n: Column) -> Column:
+    """The serial n weekdays before s."""
+    place = F.pmod(F.floor(s), F.lit(7))
+    monday = F.floor(s) + F.when(place < 2, 2 - place).otherwise(0)
+    left = F.when(place < 2, F.lit(4)).otherwise(6 - place)
+    return monday - F.floor((n + left) / 5) * 7 - F.pmod(n + left, F.lit(5)) + left
+
+
 @raw_function("WORKDAY", 2, 3)
 def _workday(start: Val, days: Val, holidays: Val | None = None) -> Val:
     s, k, free = date_arg(start), _int(days), _holidays(holidays)
-    way, n = F.signum(k.col.cast("double")).cast("long"), F.abs(k.col)
-    span = F.floor(n * 7 / 5) + 7 + 7 * len(free)
-    steps = F.sequence(F.lit(1).cast("long"), F.when(n <= 100_000, span))
-    off = F.array(*[h.col for h in free]) if free else None
-    day = lambda i: s.col.cast("long") + way * i
-    open_ = F.filter(steps, lambda i: ~weekday0(day(i)).isin(0, 6) & (F.lit(True) if off is None else ~F.array_contains(off, day(i).cast("double"))))
-    out = F.when(n == 0, s.col).otherwise(day(F.get(open_, (n - 1).cast("int"))).cast("double"))
+    ahead, n = k.col > 0, F.abs(k.col).cast("long")
+    step = lambda x, many: F.when(ahead, _after_weekdays(x, many)).otherwise(_before_weekdays(x, many))
+    out = F.when(n == 0, s.col).otherwise(bind(s.col, lambda x: step(x, n)))
+    if free:
+        # holidays on weekdays, nearest first: each one on or before the day found so far moves it on by a weekday
+        nth = F.array_sort(F.transform(F.array_distinct(F.array(*[F.floor(h.col) for h in free])), lambda h: F.when(ahead, h).otherwise(-h)))
+        counts = lambda h: ~weekday0(F.abs(h)).isin(0, 6) & F.when(ahead, h > F.floor(s.col)).otherwise(-h < F.floor(s.col))
+        move = lambda at, h: F.when(F.when(ahead, h <= at).otherwise(-h >= at), step(at, F.lit(1).cast("long"))).otherwise(at)
+        moved = F.aggregate(F.filter(nth, counts), out.cast("double"), lambda at, h: move(at, h).cast("double"))
+        out = F.when(n == 0, s.col).otherwise(moved)
+    out = out.cast("double")
     return settled(num(out, s.err, k.err, *[h.err for h in free], when(out.isNull() | (out < 0) | (out > LAST), NUM)))
 
 

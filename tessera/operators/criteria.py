@@ -71,8 +71,22 @@ def matches(v: Val, c: Criterion) -> Column:
     return F.coalesce(hit, F.lit(False))
 
 
-def matches_key(v: Val, key: Val) -> Column:
-    """Equality with a cell as the criterion (no prefix, no wildcard)."""
-    if v.kind != key.kind:
-        return F.lit(False)
-    return F.coalesce((F.lower(v.col) == F.lower(key.col)) if v.kind == "text" else v.col == key.col, F.lit(False))
+#: Text in a criterion cell that says more than "equal to this".
+SPECIAL = r"^(<|>|=)|[*?]|~[*?~]|^\s*$"
+
+
+def join_key(v: Val) -> Column:
+    """What plain criteria are joined on: text ignores case."""
+    return F.lower(v.col) if v.kind == "text" else v.col
+
+
+def criterion_key(v: Val, key: Val) -> Column:
+    """A plain criterion cell as a join key for a range: a number in text meets numbers, and never text."""
+    nothing = F.lit(None).cast({"text": "string", "num": "double", "bool": "boolean"}[v.kind])
+    if key.kind == "blank":
+        return nothing
+    if key.kind != "text":
+        return key.col if key.kind == v.kind else nothing
+    plain, number, flag = ~key.col.rlike(SPECIAL), F.trim(key.col).rlike(NUMERIC), F.upper(key.col).isin("TRUE", "FALSE")
+    made = {"text": F.when(~number & ~flag, F.lower(key.col)), "num": F.when(number, F.trim(key.col).try_cast("double")), "bool": F.when(flag, F.upper(key.col) == "TRUE")}
+    return F.when(plain, made[v.kind])

@@ -6,7 +6,8 @@ What a formula reads decides how it is lifted:
 * cells of another row at a fixed distance, and sliding ranges: windows over buckets of neighbouring rows;
 * ranges anchored at the top that grow with the row: running totals;
 * fixed cells and ranges: aggregates, all of one sheet in a single pass, joined as one row;
-* lookups and criteria on a cell of the row: one join against the grouped table.
+* lookups and criteria on a cell of the row: one join against the grouped table;
+* array functions: grids that spill over rows or feed an aggregate (`spill`).
 """
 
 from __future__ import annotations
@@ -22,8 +23,9 @@ from ..functions.values import NA, NAME, REF, VALUE, Val, arithmetic, blank, com
 from ..plans import formula as tree
 from ..plans.rows import ROW, neighbourhood, number_rows, running
 from . import aggregates as agg
-from . import lookups
-from .criteria import matches, parse_criterion
+from . import lookups, statistics
+from .criteria import SPECIAL, criterion_key, join_key, matches, parse_criterion
+from .spill import ArrayError, Arrays, is_array
 
 registry.load()
 _NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double")
@@ -128,7 +130,7 @@ class Compiler:
         self.here = book.sheets[sheet]
         self.scalars: dict[str, list[tuple[str, Val]]] = {}
         self.windows: list[tuple[int, int, dict]] = []
-        self.sums: dict[str, Column] = {}
+        self.runs: list[tuple[_Span, dict[str, Column], dict[str, str]]] = []
         self.steps: list = []
         self.n = 0
 
@@ -136,6 +138,27 @@ class Compiler:
         self.n += 1
         return f"_x{self.n}"
 
+    def constant_of(self, node):
+        """The value of an expression that reads no cell; an error is one too."""
+        if isinstance(node, tree.Literal):
+            return node.value
+        one = Sheet(self.here.df.sparkSession.range(1).select(F.col("id").alias(ROW), F.lit(0.0).alias("z")), ["z"])
+        made = Compiler(Workbook({"One": one}), "One", 0)
+        row = made.apply(made.val(node), "v").df.first()
+        if "v_err" in row and row["v_err"] is not None:
+            raise ArrayError(row["v_err"])
+        return row["v"]
+
+    def is_constant(self, node) -> bool:
+        """Whether the expression reads no cell and no place."""
+        if isinstance(node, tree.Literal):
+            return True
+        if isinstance(node, tree.Unary):
+            return self.is_constant(node.arg)
+        if isinstance(node, tree.Binary):
+            return self.is_constant(node.left) and self.is_constant(node.right)
+        return isinstance(node, tree.Call) and node.name in registry.FUNCTIONS and not hasattr(self, "fn_" + node.name.lower().replace(".", "_")) and all(self.is_constant(a) for a in node.args)
+
     # references
 
     def name_of(self, col: int, sheet: str) -> str | None:
@@ -238,8 +261,15 @@ class Compiler:
         if name in CONDITIONAL:
             return self.conditional(name, args)
         special = getattr(self, "fn_" + name.lower().replace(".", "_"), None)
-        if special is not None:
-            return special(*args)
+        try:
+            if special is not None:
+                return special(*args)
+            if name in RANGE_FUNCTIONS and any(is_array(a) for a in args):
+                return self.over_arrays(name, args)
+            if is_array(node):
+                return self.first_cell(node)
+        except ArrayError as e:
+            return error(str(e))
         if name in RANGE_FUNCTIONS and any(self.is_range(a) for a in args):
             return self.ranged(name, args)
         if name in agg.NUMERIC:
@@ -258,6 +288,47 @@ class Compiler:
         self.steps.append(lambda df: df.withColumns(made))
         return Val(v.kind, F.col(name), None if v.err is None else F.col(name + "e"))
 
+    def over_arrays(self, name: str, args: tuple) -> Val:
+        """An aggregate over array expressions: all their cells in one pass, joined as one row."""
+        cells, out = Arrays(self).stacked(args), self.alias()
+        e = F.first("e", ignorenulls=True)
+        if name in ("COUNTA", "COUNTBLANK"):
+            v = values.num(F.count_if(F.col("f") if name == "COUNTA" else ~F.col("f")).cast("double"))
+        elif name in ("GCD", "LCM", "MEDIAN"):
+            return self.one_row(self.far(name, cells, F.col("n")), out, cells.agg(e.alias("e")))
+        else:
+            v = agg.aggregate(name, Val("num", F.col("n"), F.col("e")))
+        one = cells.agg(v.col.alias(out), (F.lit(None).cast("string") if v.err is None else v.err).alias(out + "e"))
+        self.steps.append(lambda df: df.join(F.broadcast(one), how="cross"))
+        return Val(v.kind, F.col(out), F.col(out + "e"))
+
+    def first_cell(self, node) -> Val:
+        """An array inside an operation of single values stands for its first cell."""
+        g, name = Arrays(self).grid(node).renumbered(), self.alias()
+        kinds = dict(g.df.dtypes)
+        kind = {"string": "text", "boolean": "bool"}.get(kinds["c0"], "num")
+        err = F.col("c0_err") if "c0_err" in kinds else F.lit(None).cast("string")
+        c0 = F.col("c0").cast("double") if kind == "num" else F.col("c0")
+        one = g.df.where(F.col(ROW) == 0).agg(F.max(c0).alias(name), F.max(err).alias(name + "e"))
+        self.steps.append(lambda df: df.join(F.broadcast(one), how="cross"))
+        return Val(kind, F.col(name), F.col(name + "e"))
+
+    def far(self, name: str, df: DataFrame, x: Column) -> tuple[DataFrame, Column, Column | None]:
+        """One row, its value and its error, for aggregates that no bounded buffer can make."""
+        if name == "MEDIAN":
+            return statistics.quantiles(df, x, [0.5]), F.coalesce("q0", F.lit(0.0)), None
+        return statistics.divisor(df, x, name == "LCM"), F.when(~F.col("bad"), F.col("value")), values.when(F.col("bad"), values.NUM)
+
+    def one_row(self, made: tuple[DataFrame, Column, Column | None], out: str, errors: DataFrame | None = None) -> Val:
+        one, value, err = made
+        none = F.lit(None).cast("string")
+        if errors is not None:
+            one = one.join(F.broadcast(errors.withColumnRenamed(errors.columns[0], "_e")), how="cross")
+        err = first_error(F.col("_e") if errors is not None else None, err)
+        one = one.select(value.alias(out), (none if err is None else err).alias(out + "e"))
+        self.steps.append(lambda df: df.join(F.broadcast(one), how="cross"))
+        return Val("num", F.col(out), F.col(out + "e"))
+
     def is_range(self, node) -> bool:
         s = self.span(node)
         return s is not None and (s.kind != "row" or len(s.columns) >= 1)
@@ -319,14 +390,14 @@ class Compiler:
     def one_column(self, name: str, s: _Span) -> Val:
         v = self.read(s.sheet, s.columns[0])
         if s.kind in ("whole", "fixed"):
+            if name in ("MEDIAN", "GCD", "LCM"):
+                src = self.book.sheets[s.sheet].df
+                src = src if s.kind == "whole" else src.where(self.rows_of(s))
+                return self.one_row(self.far(name, src, agg.numbers(v)), self.alias(), None if v.err is None else src.agg(F.first(v.err, ignorenulls=True)))
             return self.scalar(s.sheet, agg.aggregate(name, v, self.rows_of(s)))
         x = agg.numbers(v)
         if s.kind == "running":
-            if s.high != 0 or s.low != 0 or name not in ("SUM", "COUNT", "AVERAGE"):
-                raise NotImplementedError("running ranges start in the first row, end in the row itself, and take SUM, COUNT or AVERAGE")
-            total, count = self.alias(), self.alias()
-            self.sums |= {total: x, count: F.when(x.isNotNull(), 1).otherwise(0)}
-            return values.finite({"SUM": F.col(total), "COUNT": F.col(count).cast("double"), "AVERAGE": F.try_divide(F.col(total), F.col(count))}[name], values.when(F.col(count) == 0, values.DIV0) if name == "AVERAGE" else None)
+            return self.running_column(name, s, v)
         total, count = self.alias(), self.alias()
         f = {"SUM": F.sum, "AVERAGE": F.avg, "MIN": F.min, "MAX": F.max, "COUNT": F.count, "PRODUCT": F.product, "STDEV.S": F.stddev_samp, "STDEV.P": F.stddev_pop, "VAR.S": F.var_samp, "VAR.P": F.var_pop}[name]
         self.windows.append((s.low, s.high, {total: lambda w: f(x).over(w), count: lambda w: F.count(x).over(w)}))
@@ -334,6 +405,45 @@ class Compiler:
         need = {"AVERAGE": 1, "STDEV.S": 2, "VAR.S": 2, "STDEV.P": 1, "VAR.P": 1}.get(name, 0)
         return values.finite(F.coalesce(F.col(total), F.lit(None if need else 0.0)).cast("double"), values.when(c < need, values.DIV0) if need else None)
 
+    def running_column(self, name: str, s: _Span, v: Val) -> Val:
+        """An aggregate from a fixed row to the formula's own (or one at a fixed distance from it), in either direction."""
+        x = agg.numbers(v)
+        if name == "COUNTA":
+            x = F.when(agg.non_blank(v), F.lit(1.0))
+        elif name == "COUNTBLANK":
+            x = F.when(v.col.isNull() | (v.col == "") if v.kind == "text" else v.col.isNull(), F.lit(1.0))
+        elif name not in ("SUM", "COUNT", "AVERAGE", "AVG", "MIN", "MAX"):
+            raise NotImplementedError(f"{name} over a running range")
+        total, count = self.alias(), self.alias()
+        how = {total: name.lower()} if name in ("MIN", "MAX") else {}
+        self.runs.append((s, {total: x, count: F.when(x.isNotNull(), 1).otherwise(0)}, how))
+        some = F.coalesce(F.col(count), F.lit(0))
+        if name in ("COUNT", "COUNTA", "COUNTBLANK"):
+            return values.num(some.cast("double"))
+        if name in ("AVERAGE", "AVG"):
+            return values.finite(F.try_divide(F.col(total), some), values.when(some == 0, values.DIV0))
+        return values.finite(F.coalesce(F.col(total), F.lit(0.0)))
+
+    def with_runs(self, df: DataFrame) -> DataFrame:
+        """The running columns of the formula. One pass over the rows for ranges of the same shape."""
+        shapes: dict[tuple, tuple[dict, dict]] = {}
+        for s, sums, how in self.runs:
+            kept = shapes.setdefault((s.sheet, s.low, s.high), ({}, {}))
+            kept[0].update(sums)
+            kept[1].update(how)
+        for (sheet, low, high), (sums, how) in shapes.items():
+            if low == high == 0 and sheet == self.sheet:
+                df = running(df, sums, how=how)
+                continue
+            src = self.book.sheets[sheet].df
+            # rows from the fixed one on, and those before it, whose range runs back up to themselves
+            down = running(src.where(F.col(ROW) >= low), sums, how=how).select(ROW, *sums)
+            up = running(src.where(F.col(ROW) <= low), sums, how=how, backwards=True).where(F.col(ROW) < low).select(ROW, *sums)
+            last = F.broadcast(src.agg(F.max(ROW).alias("_last")))
+            df = df.join(last, how="cross").withColumn("_at", F.least(F.col(ROW) + high, F.greatest(F.col("_last"), F.lit(low))))
+            df = df.join(down.unionByName(up).withColumnRenamed(ROW, "_at"), "_at", "left").drop("_at", "_last")
+        return df
+
     # functions that need more than their values
 
     def fn_row(self, node=None) -> Val:
@@ -348,12 +458,16 @@ class Compiler:
         return constant(float(len(cols) + 1)) if s is None else constant(float(self.book.sheets[s.sheet].columns.index(s.columns[0]) + 1))
 
     def fn_rows(self, node) -> Val:
+        if is_array(node):
+            return self.one_row((Arrays(self).grid(node).df.agg(F.count(F.lit(1)).cast("double").alias("n")), F.col("n"), None), self.alias())
         s = self.span(node)
         if s is None:
             return constant(1.0)
         return self.scalar(s.sheet, values.num(F.count(F.lit(1)).cast("double"))) if s.kind == "whole" else values.num(F.lit(float(s.high - s.low + 1)) if s.kind != "running" else (F.col(ROW) + s.high - s.low + 1).cast("double"))
 
     def fn_columns(self, node) -> Val:
+        if is_array(node):
+            return constant(float(Arrays(self).grid(node).width))
         s = self.span(node)
         return constant(float(len(s.columns) if s else 1))
 
@@ -378,15 +492,44 @@ class Compiler:
         v = self.read(s.sheet, s.columns[0])
         return s.sheet, v, self.rows_of(s)
 
-    def fn_percentile_inc(self, node, p) -> Val:
+    def picked(self, node) -> tuple[DataFrame, Column]:
+        """The rows and the numbers of a range."""
         sheet, v, where = self.whole(node)
-        v = v if where is None else Val(v.kind, F.when(where, v.col), v.err)
-        return self.scalar(sheet, agg.percentile(v, self.number(p)))
+        src = self.book.sheets[sheet].df
+        return (src if where is None else src.where(where)), agg.numbers(v)
+
+    def fn_percentile_inc(self, node, p) -> Val:
+        src, x = self.picked(node)
+        if not self.is_constant(p):
+            return self.percentile_by_row(src, x, to_num(self.part(p)))
+        share = self.constant_of(p)
+        if not isinstance(share, (int, float)) or not 0 <= share <= 1:
+            return error(values.NUM)
+        return self.one_row((statistics.quantiles(src, x, [share]), F.col("q0"), values.when(F.col("n") == 0, values.NUM)), self.alias())
+
+    def percentile_by_row(self, src: DataFrame, x: Column, p: Val) -> Val:
+        """A share per row: positions around it, found by two joins."""
+        low, high, n, at = (self.alias() for _ in range(4))
+        places = statistics.ranked(src, x)
+        total = src.agg(F.count(x).alias(n))
+
+        def step(df):
+            df = df.join(F.broadcast(total), how="cross").withColumn(at, F.when(p.col.between(0, 1), p.col * (F.col(n) - 1)))
+            df = df.withColumn("_at", F.floor(at)).join(places.withColumnRenamed("v", low), "_at", "left")
+            return df.withColumn("_at", F.ceil(at)).join(places.withColumnRenamed("v", high), "_at", "left").drop("_at")
+
+        self.steps.append(step)
+        share = F.col(at) - F.floor(at)
+        return values.num((1 - share) * F.col(low) + share * F.col(high), p.err, values.when(F.col(low).isNull(), values.NUM))
 
     def fn_quartile_inc(self, node, q) -> Val:
-        sheet, v, _ = self.whole(node)
-        k = int(self.number(q))
-        return self.scalar(sheet, agg.percentile(v, k * 0.25 if 0 <= k <= 4 else -1.0))
+        if not self.is_constant(q):
+            k = to_num(self.part(q))
+            src, x = self.picked(node)
+            return self.percentile_by_row(src, x, Val("num", F.when(k.col >= 0, F.floor(k.col)) / 4, k.err))
+        k = self.constant_of(q)
+        ok = isinstance(k, (int, float)) and 0 <= int(k) <= 4 and k >= 0
+        return self.fn_percentile_inc(node, tree.Literal(int(k) * 0.25)) if ok else error(values.NUM)
 
     def number(self, node) -> float:
         """The value of a constant argument."""
@@ -398,6 +541,9 @@ class Compiler:
         raise NotImplementedError("this argument has to be a number")
 
     def nth(self, node, k, descending: bool) -> Val:
+        if not self.is_constant(k):
+            return self.nth_by_row(node, to_num(self.part(k)), descending)
+        k = tree.Literal(float(self.constant_of(k)))
         sheet, v, where = self.whole(node)
         n, x = int(self.number(k)), agg.numbers(v)
         x = x if where is None else F.when(where, x)
@@ -410,6 +556,12 @@ class Compiler:
         self.steps.append(lambda df: df.join(F.broadcast(one), how="cross"))
         return values.num(F.col(name), values.when(F.col(name).isNull(), values.NUM))
 
+    def nth_by_row(self, node, k: Val, descending: bool) -> Val:
+        """A rank per row: one join on the numbers' positions."""
+        places, name = statistics.ranked(*self.picked(node), descending), self.alias()
+        self.steps.append(lambda df: df.withColumn("_at", F.floor(k.col) - 1).join(places.withColumnRenamed("v", name), "_at", "left").drop("_at"))
+        return values.num(F.col(name), k.err, values.when(F.col(name).isNull(), values.NUM))
+
     def fn_large(self, node, k) -> Val:
         return self.nth(node, k, True)
 
@@ -467,41 +619,117 @@ class Compiler:
         shapes = {(s.kind, s.high - s.low) for s in map(self.span, [p for p, _ in pairs] + ([target] if target is not None else []))}
         if len(shapes) > 1:
             return error(VALUE)
+        first = self.span(pairs[0][0])
+        if first.kind == "running":
+            return self.conditional_run(kind, target, pairs)
         sheet, _, where = self.whole(pairs[0][0])
         keys: list[tuple[Val, Val]] = []
         for node, crit in pairs:
             v = self.whole(node)[1]
-            if isinstance(crit, tree.Literal):
-                test = matches(v, parse_criterion(crit.value))
+            if self.is_constant(crit):
+                test = matches(v, parse_criterion(self.constant_of(crit)))
                 where = test if where is None else where & test
             else:
-                keys.append((v, self.val(crit)))
+                keys.append((v, self.part(crit)))
         value = None if target is None else self.whole(target)[1]
         if not keys:
             return self.scalar(sheet, self.folded(kind, value, where))
         src, names = self.book.sheets[sheet].df, [self.alias() for _ in keys]
         picked = src if where is None else src.where(where)
-        norm = lambda v: F.lower(v.col) if v.kind == "text" else v.col
         out = self.alias()
         res = self.folded(kind, value, None)
-        grouped = picked.groupBy(*[norm(v).alias(n) for (v, _), n in zip(keys, names)]).agg(res.col.alias(out), *([res.err.alias(out + "e")] if res.err is not None else []))
-        probes = {n: norm(k) for (_, k), n in zip(keys, names)}
-        self.steps.append(lambda df: df.withColumns(probes).join(grouped, names, "left").drop(*names))
-        miss = F.col(out).isNull() & (F.col(out + "e").isNull() if res.err is not None else F.lit(True))
+        made = [res.col.alias(out), (F.lit(None).cast("string") if res.err is None else res.err).alias(out + "e")]
+        grouped = picked.groupBy(*[join_key(v).alias(n) for (v, _), n in zip(keys, names)]).agg(*made)
+        self.steps.append(lambda df: self.met(df, keys, names, picked, grouped, made, out))
+        miss = F.col(out).isNull() & F.col(out + "e").isNull()
         err = values.when(miss, values.DIV0) if kind == "AVERAGE" else None
-        return Val("num", F.col(out) if kind == "AVERAGE" else F.coalesce(F.col(out), F.lit(0.0)), first_error(*[k.err for _, k in keys], F.col(out + "e") if res.err is not None else None, err))
+        return Val("num", F.col(out) if kind == "AVERAGE" else F.coalesce(F.col(out), F.lit(0.0)), first_error(*[k.err for _, k in keys], F.col(out + "e"), err))
+
+    def met(self, df: DataFrame, keys: list, names: list[str], picked: DataFrame, grouped: DataFrame, made: list, out: str, block: int = 256) -> DataFrame:
+        """Criterion cells of the row: plain ones are joined by equality; the distinct others run over the range in blocks."""
+        plain = df.withColumns({n: criterion_key(v, k) for (v, k), n in zip(keys, names)}).join(grouped, names, "left").drop(*names)
+        texts = [k.col for _, k in keys if k.kind == "text"]
+        if not texts:
+            return plain
+        odd = F.coalesce(F.greatest(*[F.coalesce(t.rlike(SPECIAL), F.lit(False)) for t in texts]) if len(texts) > 1 else texts[0].rlike(SPECIAL), F.lit(False))
+        asked = [tuple(r) for r in df.where(odd).select(*[k.col.alias(n) for (_, k), n in zip(keys, names)]).distinct().toLocalIterator()]
+        hits = None
+        for a in range(0, len(asked), block):
+            tests = []
+            for i, row in enumerate(asked[a : a + block]):
+                hit = F.lit(True)
+                for (v, _), x in zip(keys, row):
+                    hit = hit & (F.lit(False) if x is None else matches(v, parse_criterion(x)))
+                tests.append(F.when(hit, F.lit(a + i)))
+            one = picked.withColumn("_i", F.explode(F.array_compact(F.array(*tests)))).groupBy("_i").agg(*made)
+            hits = one if hits is None else hits.unionByName(one)
+        if hits is None:
+            return plain
+        kinds = {"text": "string", "num": "double", "bool": "boolean"}
+        schema = "_i int, " + ", ".join(f"{n} {kinds[k.kind]}" for (_, k), n in zip(keys, names))
+        rows = df.sparkSession.createDataFrame([(i, *row) for i, row in enumerate(asked)], schema)
+        named = rows.join(hits, "_i", "left").withColumnsRenamed({n: n + "r" for n in names} | {out: "_w", out + "e": "_we"})
+        cond = odd
+        for n in names:
+            cond = cond & F.col(n).eqNullSafe(F.col(n + "r"))
+        joined = plain.withColumns({n: F.when(odd, k.col) for (_, k), n in zip(keys, names)}).join(named, cond, "left")
+        chosen = {out: F.when(odd, F.col("_w")).otherwise(F.col(out)), out + "e": F.when(odd, F.col("_we")).otherwise(F.col(out + "e"))}
+        return joined.withColumns(chosen).drop("_i", "_w", "_we", *names, *[n + "r" for n in names])
+
+    def conditional_run(self, kind: str, target, pairs: list) -> Val:
+        """Criteria over ranges from the first row to the formula's own: running totals, within each value of criterion cells."""
+        spans = [self.span(p) for p, _ in pairs] + ([self.span(target)] if target is not None else [])
+        if any(s.low or s.high or s.sheet != self.sheet for s in spans):
+            raise NotImplementedError("running criteria start in the first row and end in the formula's own")
+        test, by, probes = None, {}, {}
+        for (node, crit), s in zip(pairs, spans):
+            v = self.read(s.sheet, s.columns[0])
+            if self.is_constant(crit):
+                hit = matches(v, parse_criterion(self.constant_of(crit)))
+                test = hit if test is None else test & hit
+            else:
+                n = self.alias()
+                by[n], probes[n] = join_key(v), criterion_key(v, self.part(crit))
+        value = None if target is None else agg.numbers(self.read(self.sheet, spans[-1].columns[0]))
+        x = F.lit(1.0) if value is None else value
+        x = x if test is None else F.when(test, x)
+        total, count = self.alias(), self.alias()
+        sums, how = {total: x, count: F.when(x.isNotNull(), 1).otherwise(0)}, {total: kind.lower()} if kind in ("MIN", "MAX") else {}
+        def step(df):
+            if not by:
+                return running(df, sums, how=how)
+            # cells of the range and the questions of the rows in one sequence: a question comes after its row's cells
+            cells = df.select((F.col(ROW) * 2).alias(ROW), *[c.alias(n) for n, c in by.items()], x.alias("_x"))
+            asks = df.select((F.col(ROW) * 2 + 1).alias(ROW), *[c.alias(n) for n, c in probes.items()], F.lit(None).cast("double").alias("_x"))
+            line = cells.unionByName(asks).dropna(subset=list(by))
+            run = running(line, {total: F.col("_x"), count: F.when(F.col("_x").isNotNull(), 1).otherwise(0)}, how=how, by=tuple(by))
+            answers = run.where(F.col(ROW) % 2 == 1).select(F.floor(F.col(ROW) / 2).alias(ROW), total, count)
+            return df.join(answers, ROW, "left")
+
+        self.steps.append(step)
+        some = F.coalesce(F.col(count), F.lit(0))
+        if kind == "COUNT*":
+            return values.num(some.cast("double"))
+        if kind == "AVERAGE":
+            return values.num(F.try_divide(F.col(total), some), values.when(some == 0, values.DIV0))
+        return values.num(F.coalesce(F.col(total), F.lit(0.0)))
 
     def folded(self, kind: str, value: Val | None, where: Column | None) -> Val:
         if kind == "COUNT*":
             return values.num(F.count(F.lit(1) if where is None else F.when(where, F.lit(1))).cast("double"))
         return agg.aggregate(kind, value, where)
 
-    def lookup(self, key, table_sheet: str, key_col: str, result_cols: dict, mode: int, last: bool, validate: bool) -> Val | None:
-        k, found = self.part(key), self.alias()
-        table, probe = self.book.sheets[table_sheet].df, self.alias()
-        if mode == 2:
-            one = lookups.wildcard_first(table, key_col, key.value, result_cols, last)
+    def lookup(self, key, s: _Span, result_cols: dict, mode: int, last: bool, validate: bool) -> Val | None:
+        k, found, key_col = self.part(key), self.alias(), s.columns[0]
+        table, probe = self.book.sheets[s.sheet].df, self.alias()
+        table = table.where(self.rows_of(s)) if s.kind == "fixed" else table
+        if mode == 2 and isinstance(key, tree.Literal):
+            one = lookups.wildcard_first(table, key_col, key.value, result_cols, last) if isinstance(key.value, str) else None
+            if one is None:
+                return self.lookup(key, s, result_cols, 0, last, validate)
             self.steps.append(lambda df: df.join(F.broadcast(one), how="cross").withColumn(found, F.col(next(iter(result_cols))).isNotNull()))
+        elif mode == 2:
+            self.steps.append(lambda df: lookups.wildcard(df.withColumn(probe, k.col), probe, table, key_col, result_cols, last, found).drop(probe))
         elif mode == 0:
             self.steps.append(lambda df: lookups.exact(df.withColumn(probe, k.col), probe, table, key_col, result_cols, last, found).drop(probe))
         else:
@@ -520,22 +748,40 @@ class Compiler:
             return error(VALUE if i < 1 else REF)
         near = approx is None or self.truth(approx)
         name = self.alias()
-        found = self.lookup(key, s.sheet, s.columns[0], {name: s.columns[i - 1]}, -1 if near else 0, False, near)
+        found = self.lookup(key, s, {name: s.columns[i - 1]}, -1 if near else 0, False, near)
         return self.result(found, s.sheet, s.columns[i - 1], name)
 
+    def fn_hlookup(self, key, node, row, approx=None) -> Val:
+        """The first row of a range is searched, and the row-th one of the column found is the result."""
+        s, i = self.span(node), int(self.constant_of(row))
+        low = 0 if s.kind == "whole" else s.low if s.kind in ("fixed", "running") else self.base + s.low
+        high = None if s.kind == "whole" else s.high if s.kind == "fixed" else self.base + s.high
+        if i < 1 or high is not None and i > high - low + 1:
+            return error(VALUE if i < 1 else REF)
+        src, k, probe, name, found = self.book.sheets[s.sheet].df, self.part(key), self.alias(), self.alias(), self.alias()
+        near = approx is None or self.truth(approx)
+        text = any(cell_val(src, c).kind == "text" for c in s.columns)
+        plain = src.select(ROW, *[cell_val(src, c).col.alias(c) for c in s.columns])
+        table = lookups.across(plain, s.columns, low, low + i - 1, k.kind == "text", text)
+        if near:
+            self.steps.append(lambda df: lookups.nearest(df.withColumn(probe, k.col), probe, table, "key", {name: "result"}, validate=True, found=found).drop(probe))
+        else:
+            self.steps.append(lambda df: lookups.exact(df.withColumn(probe, k.col), probe, table, "key", {name: "result"}, False, found).drop(probe))
+        return Val("text" if text else "num", F.col(name), first_error(k.err, values.when(~F.col(found), NA)))
+
     def truth(self, node) -> bool:
-        return bool(node.value) if isinstance(node, tree.Literal) else False
+        return bool(self.constant_of(node)) if self.is_constant(node) else False
 
     def fn_xlookup(self, key, where, results, spare=None, mode=None, search=None) -> Val:
         a, b, name = self.span(where), self.span(results), self.alias()
         m, way = (int(self.number(x)) if x is not None and not (isinstance(x, tree.Literal) and x.value is None) else d for x, d in ((mode, 0), (search, 1)))
-        found = self.lookup(key, a.sheet, a.columns[0], {name: b.columns[0]}, m, way < 0, abs(way) == 2)
+        found = self.lookup(key, a, {name: b.columns[0]}, m, way < 0, abs(way) == 2)
         none = spare is None or isinstance(spare, tree.Literal) and spare.value is None
         return self.result(found, b.sheet, b.columns[0], name, None if none else self.val(spare))
 
     def position(self, key, node, mode: int, last: bool, validate: bool) -> Val:
         s, name = self.span(node), self.alias()
-        found = self.lookup(key, s.sheet, s.columns[0], {name: ROW}, mode, last, validate)
+        found = self.lookup(key, s, {name: ROW}, mode, last, validate)
         return values.num((F.col(name) + 1 - (s.low if s.kind == "fixed" else 0)).cast("double"), found.err, values.when(~found.col, NA))
 
     def fn_match(self, key, node, kind=None) -> Val:
@@ -547,6 +793,8 @@ class Compiler:
         return self.position(key, node, m, way < 0, abs(way) == 2)
 
     def fn_index(self, node, row, col=None) -> Val:
+        if is_array(node):
+            return self.index_of(Arrays(self).grid(node).renumbered(), row, col)
         s, name = self.span(node), self.alias()
         c = 0 if col is None else int(self.number(col)) - 1
         if c < 0 or c >= len(s.columns):
@@ -557,14 +805,23 @@ class Compiler:
         v = cell_val(src, s.columns[c])
         return Val(v.kind, F.col(name).cast("double") if v.kind == "num" else F.col(name), first_error(at.err, F.col(f"{name}_err")))
 
+    def index_of(self, g, row, col) -> Val:
+        """INDEX of an array expression."""
+        c = 0 if col is None else int(self.constant_of(col)) - 1
+        if not 0 <= c < g.width:
+            return error(VALUE if c < 0 else REF)
+        at, probe, name, v = to_num(self.part(row)), self.alias(), self.alias(), cell_val(g.df, f"c{c}")
+        self.steps.append(lambda df: lookups.index_rows(g.df, df.withColumn(probe, at.col), probe, f"c{c}", name).drop(probe))
+        return Val(v.kind, F.col(name).cast("double") if v.kind == "num" else F.col(name), first_error(at.err, F.col(f"{name}_err")))
+
     # the plan
 
     def apply(self, v: Val, out: str) -> Sheet:
         df = self.here.df
         for low, high, made in self.windows:
             df = neighbourhood(df, low, high, made)
-        if self.sums:
-            df = running(df, self.sums)
+        if self.runs:
+            df = self.with_runs(df)
         for sheet, scalars in self.scalars.items():
             cols = [c for name, x in scalars for c in ([x.col.alias(name)] + ([x.err.alias(name + "e")] if x.err is not None else []))]
             df = df.join(F.broadcast(self.book.sheets[sheet].df.agg(*cols)), how="cross")
@@ -583,7 +840,18 @@ def compile_formula(book: Workbook, sheet: str, name: str, source: str, base_row
         s = book.sheets[sheet]
         return Sheet(s.df.withColumn(name, F.lit(None).cast("double")).withColumn(f"{name}_err", F.lit(NAME)), [*s.columns, name])
     c = Compiler(book, sheet, base_row)
+    s = c.span(node)
+    if is_array(node) or isinstance(node, tree.Area) and s is not None and s.low != s.high:
+        return spill(book.sheets[sheet], Arrays(c), node, name, base_row)
     return c.apply(c.val(node), name)
 
 
+def spill(here: Sheet, maker: Arrays, node, name: str, base_row: int) -> Sheet:
+    """The sheet with an array's columns beside its own, from row base_row on; a longer array adds blank rows."""
+    made, names = maker.spilled(node, name, base_row)
+    df = here.df.join(made, ROW, "full")
+    keep = [ROW, *[c for c in here.df.columns if c != ROW], *[c for c in made.columns if c != ROW]]
+    return Sheet(df.select(*[F.col(f"`{c}`") for c in keep]), [*here.columns, *names])
+
+
 __all__ = ["Sheet", "Workbook", "blank", "compile_formula"]

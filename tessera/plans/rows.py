@@ -27,18 +27,27 @@ def number_rows(df: DataFrame, *keys: str | Column) -> DataFrame:
     return placed.join(starts, "_part").withColumn(ROW, (F.col("_start") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).cast("long")).drop("_part", "_start", "_at")
 
 
-def running(df: DataFrame, sums: dict[str, Column], bucket: int = BUCKET) -> DataFrame:
-    """Running totals in _row order: inside buckets of rows, plus the totals of the buckets before."""
+def running(df: DataFrame, sums: dict[str, Column], bucket: int = BUCKET, how: dict[str, str] | None = None, by: tuple[str, ...] = (), backwards: bool = False) -> DataFrame:
+    """Running totals in _row order: inside buckets of rows, plus the totals of the buckets before.
+
+    how: "min" or "max" for names that aren't sums; by: columns within whose values totals run; backwards: from the
+    last row up.
+    """
+    how = how or {}
+    fold = lambda n: {"sum": F.sum, "min": F.min, "max": F.max}[how.get(n, "sum")]
+    sort = (lambda c: F.col(c).desc()) if backwards else (lambda c: F.col(c).asc())
     cut = df.withColumn("_b", F.floor(F.col(ROW) / bucket))
     for name, c in sums.items():
         cut = cut.withColumn(f"_v_{name}", c)
-    totals = cut.groupBy("_b").agg(*[F.sum(f"_v_{n}").alias(f"_s_{n}") for n in sums])
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select("_b", *[F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_p_{n}") for n in sums])
-    inside = Window.partitionBy("_b").orderBy(ROW).rowsBetween(Window.unboundedPreceding, 0)
-    joined = cut.join(totals, "_b")
+    totals = cut.groupBy(*by, "_b").agg(*[fold(n)(f"_v_{n}").alias(f"_s_{n}") for n in sums])
+    before = Window.partitionBy(*by).orderBy(sort("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*by, "_b", *[fold(n)(f"_s_{n}").over(before).alias(f"_p_{n}") for n in sums])
+    inside = Window.partitionBy(*by, "_b").orderBy(sort(ROW)).rowsBetween(Window.unboundedPreceding, 0)
+    joined = cut.join(totals, [*by, "_b"])
     for n in sums:
-        joined = joined.withColumn(n, F.coalesce(F.sum(f"_v_{n}").over(inside), F.lit(0)) + F.col(f"_p_{n}"))
+        own, earlier = fold(n)(f"_v_{n}").over(inside), F.col(f"_p_{n}")
+        both = {"sum": lambda: F.coalesce(own, F.lit(0)) + F.coalesce(earlier, F.lit(0)), "min": lambda: F.least(own, earlier), "max": lambda: F.greatest(own, earlier)}
+        joined = joined.withColumn(n, both[how.get(n, "sum")]())
     return joined.drop("_b", *[f"_v_{n}" for n in sums], *[f"_p_{n}" for n in sums])
 
 

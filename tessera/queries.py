@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions.dates import serial_of
 from .functions.display import format_number
-from .operators import aggregates, arrays, lookups, view
+from .operators import aggregates, arrays, lookups, statistics, view
 from .operators.sheet import Sheet, Workbook, cell_val
 from .operators.view import Compare, Contains, Empty, FormatRule, NonEmpty, Values, View
 from .plans.rows import ROW, number_rows
@@ -342,13 +342,6 @@ def fin_irr(spark, sf_dir):
     return rounded(book.sheets["S"].df.select("p_partkey", "irr"))
 
 
-@query("select round(sum(value / pow(1.0005::double, n)), 4) as npv from (select value, row_number() over (order by event_id) as n from events where event_id < 200)")
-def fin_npv_column(spark, sf_dir):
-    df = sheet(spark, sf_dir, "events", "value").where(F.col("event_id") < 200)
-    v = aggregates.npv(cell_val(df, "value"), 0.0005, F.col(ROW) + 1)
-    return df.agg(F.round(v.col, 4).alias("npv"))
-
-
 @query("select round(sum(value / pow(1.0005::double, n)), 4) as npv from (select value, row_number() over (order by event_id) as n from events)")
 def fin_npv_whole_column(spark, sf_dir):
     v = aggregates.npv(cell_val(df := sheet(spark, sf_dir, "events", "value"), "value"), 0.0005, F.col(ROW) + 1)
@@ -365,8 +358,9 @@ for _name, (_fn, _sql) in AGGREGATES.items():
     @query(f"select round({_sql.format(x='l_extendedprice')}, 2) + 0.0 as result from lineitem", _name)
     def _run(spark, sf_dir, fn=_fn):
         df = table(spark, sf_dir, "lineitem")
-        v = aggregates.aggregate(fn, cell_val(df, "l_extendedprice"))
-        return rounded(df.agg(v.col.alias("result")), 2)
+        v = cell_val(df, "l_extendedprice")
+        made = statistics.quantiles(df, v.col, [0.5]).select(F.col("q0").alias("result")) if fn == "MEDIAN" else df.agg(aggregates.aggregate(fn, v).col.alias("result"))
+        return rounded(made, 2)
 
 
 @query("select round(exp(avg(ln(p_retailprice))), 6) as geomean, round(exp(sum(ln(1 + p_size / 1000.0::double))), 6) as product from part")
@@ -397,8 +391,8 @@ def fn_correl_covariance(spark, sf_dir):
 @query("select round(quantile_cont(o_totalprice, 0.9), 4) as p90, round(quantile_cont(o_totalprice, 0.25), 4) as q1, round(quantile_cont(o_totalprice, 0.75), 4) as q3 from orders")
 def fn_percentile_quartile(spark, sf_dir):
     df = table(spark, sf_dir, "orders")
-    v = cell_val(df, "o_totalprice")
-    return rounded(df.agg(aggregates.percentile(v, 0.9).col.alias("p90"), aggregates.percentile(v, 0.25).col.alias("q1"), aggregates.percentile(v, 0.75).col.alias("q3")), 4)
+    made = statistics.quantiles(df, cell_val(df, "o_totalprice").col, [0.9, 0.25, 0.75])
+    return rounded(made.select(F.col("q0").alias("p90"), F.col("q1"), F.col("q2").alias("q3")), 4)
 
 
 @query("select bool_and(l_quantity > 0) as all_true, bool_or(l_quantity > 49) as any_true, (count(*) filter (l_quantity > 25)) % 2 = 1 as xor_true from lineitem")
@@ -425,6 +419,9 @@ _ORD = {"T": ("orders", ("o_orderkey", "o_totalprice", "o_orderstatus"))}
 book_query("fn_mode", {"T": ("part", ("p_partkey", "p_size"))}, "T", {"m": "=MODE.SNGL(T[p_size])"}, "select p_size::double as m from (select p_size, count(*) as c from part group by 1 having c > 1 order by c desc, p_size limit 1)", ("m",), once=True)
 book_query("fn_large_small", _ORD, "T", {"a": "=LARGE(T[o_totalprice],3)", "b": "=SMALL(T[o_totalprice],5)"}, "select (select o_totalprice from orders order by 1 desc limit 1 offset 2) as a, (select o_totalprice from orders order by 1 limit 1 offset 4) as b", ("a", "b"), once=True)
 book_query("fn_rank_eq", {"T": ("customer", ("c_custkey", "c_acctbal"))}, "T", {"r": "=RANK.EQ([@c_acctbal],T[c_acctbal])", "u": "=RANK.EQ([@c_acctbal],T[c_acctbal],1)"}, "select c_custkey, rank() over (order by c_acctbal desc)::double as r, rank() over (order by c_acctbal)::double as u from customer", ("c_custkey", "r", "u"))
+book_query("fn_large_by_row", {"T": ("customer", ("c_custkey", "c_acctbal"))}, "T", {"v": "=LARGE(T[c_acctbal],[@c_custkey])", "s": "=SMALL(T[c_acctbal],[@c_custkey]+1)"}, "select a.c_custkey, b.c_acctbal as v, s.c_acctbal as s from customer a left join (select c_acctbal, row_number() over (order by c_acctbal desc) as n from customer) b on b.n = a.c_custkey left join (select c_acctbal, row_number() over (order by c_acctbal) as n from customer) s on s.n = a.c_custkey + 1", ("c_custkey", "v", "s"))
+book_query("fn_percentile_by_row", {"T": ("part", ("p_partkey", "p_size", "p_retailprice"))}, "T", {"v": "=PERCENTILE.INC(T[p_retailprice],[@p_size]/50)"}, "with v as (select p_retailprice as x, row_number() over (order by p_retailprice) - 1 as i, count(*) over () - 1 as m from part), a as (select p_partkey, p_size / 50.0::double * (select max(m) from v) as q from part) select p_partkey, round((1 - (q - floor(q))) * lo.x + (q - floor(q)) * hi.x, 4) as v from a join v lo on lo.i = floor(q) join v hi on hi.i = ceil(q)", ("p_partkey", "v"), digits=4)
+book_query("fn_gcd_lcm_ranges", {"T": ("part", ("p_partkey", "p_size"))}, "T", {"g": "=GCD(T[p_size])", "l": "=LCM(T[p_size])"}, "select list_reduce(list(distinct p_size::bigint), lambda a, b: gcd(a, b))::double as g, list_reduce(list(distinct p_size::hugeint), lambda a, b: a // gcd(a, b) * b)::double as l from part", ("g", "l"), digits=0, once=True)
 _SUB = ["avg(l_quantity)", "count(l_quantity)::double", "count(l_quantity)::double", "max(l_quantity)", "min(l_quantity)", "0.0::double", "stddev_samp(l_quantity)", "stddev_pop(l_quantity)", "sum(l_quantity)", "var_samp(l_quantity)", "var_pop(l_quantity)"]
 for _i, _e in enumerate(_SUB):
     if _i != 5:
@@ -455,6 +452,11 @@ for _name, _f, _sql in (
 book_query("sumif_per_key", {"T": ("orders", ("o_orderkey", "o_custkey", "o_totalprice")), "C": ("customer", ("c_custkey", "c_name"))}, "C", {"total": "=SUMIF(T[o_custkey],[@c_custkey],T[o_totalprice])", "n": "=COUNTIF(T[o_custkey],[@c_custkey])", "big": "=MAXIFS(T[o_totalprice],T[o_custkey],[@c_custkey],T[o_totalprice],\"<100000\")"}, "select c_custkey, round(coalesce(sum(o_totalprice), 0), 2) as total, count(o_orderkey)::double as n, coalesce(max(case when o_totalprice < 100000 then o_totalprice end), 0) as big from customer left join orders on o_custkey = c_custkey group by 1", ("c_custkey", "total", "n", "big"), digits=2)
 
 
+_ROWN = "(select *, row_number() over (order by {k}) - 1 as _row from {t})"
+book_query("countif_criteria_cells", {"P": ("part", ("p_partkey", "p_size", "p_type"))}, "P", {"n": '=COUNTIF(P[p_size],">"&[@p_size])', "w": '=COUNTIF(P[p_type],LEFT([@p_type],6)&"*")', "e": "=SUMIF(P[p_type],[@p_type],P[p_size])"}, "with s as (select p_size, (select count(*) from part b where b.p_size > a.p_size)::double as n from (select distinct p_size from part) a), w as (select p6, (select count(*) from part b where lower(b.p_type) like lower(p6) || '%')::double as w from (select distinct substr(p_type, 1, 6) as p6 from part)), e as (select lower(p_type) as t, sum(p_size)::double as e from part group by 1) select p_partkey, n, w, e from part join s using (p_size) join w on p6 = substr(p_type, 1, 6) join e on t = lower(p_type)", ("p_partkey", "n", "w", "e"))
+book_query("running_ranges", {"T": ("orders", ("o_orderkey", "o_custkey", "o_totalprice"))}, "T", {"top": "=MAX($C$1:C1)", "low": "=MIN($C$1:C1)", "nth": "=COUNTIF($B$1:B1,B1)", "big": '=COUNTIF($C$1:C1,">100000")', "upto": "=SUM($C$3:C3)"}, "select o_orderkey, max(o_totalprice) over w as top, min(o_totalprice) over w as low, (row_number() over (partition by o_custkey order by _row))::double as nth, (count(*) filter (o_totalprice > 100000) over w)::double as big, round(sum(o_totalprice) over (order by _row rows between unbounded preceding and 2 following) - (select sum(o_totalprice) from (select o_totalprice from orders order by o_orderkey limit 2)), 2) as upto from (select *, row_number() over (order by o_orderkey) - 1 as _row, count(*) over () as n from orders) window w as (order by _row)", ("o_orderkey", "top", "low", "nth", "big", "upto"), digits=2)
+
+
 @query("select l_returnflag, l_linestatus, round(sum(l_extendedprice), 2) as total, count(*)::double as n from lineitem group by 1, 2")
 def group_by_lifted(spark, sf_dir):
     df = table(spark, sf_dir, "lineitem")
@@ -533,14 +535,6 @@ def xlookup_wildcard(spark, sf_dir):
     return lookups.wildcard_first(sheet(spark, sf_dir, "nation"), "n_name", "*2", {"name": "n_name", "key": "n_nationkey"})
 
 
-@query("select n_regionkey::double as result, 1::int as col from nation where n_nationkey = 7")
-def hlookup(spark, sf_dir):
-    # row 0 holds each column's key, row 1 the values; both come from one nation
-    one = table(spark, sf_dir, "nation").where("n_nationkey = 7").select(F.col("n_nationkey").cast("double").alias("a"), F.col("n_regionkey").cast("double").alias("b"))
-    head = one.select(F.lit(10.0).alias("a"), F.lit(20.0).alias("b"), F.lit(0).cast("long").alias(ROW))
-    return lookups.horizontal(head.unionByName(one.withColumn(ROW, F.lit(1).cast("long"))), 0, 20, 1)
-
-
 @query(f"select n_regionkey::double as result, _row::int as col from {numbered('nation')} where n_nationkey = 7")
 def hlookup_all_nations(spark, sf_dir):
     # a column for each nation: row 0 holds the keys, row 1 the regions
@@ -548,6 +542,11 @@ def hlookup_all_nations(spark, sf_dir):
     return lookups.horizontal(arrays.transpose(df, df.count()), 0, 7, 1)
 
 
+book_query("hlookup_formula", {"N": ("nation", ("n_nationkey", "n_regionkey")), "H": ("region", ("r_regionkey", "r_name"))}, "N", {"hit": "=HLOOKUP([@n_nationkey],N!$A$3:$B$25,5,FALSE)"}, f"with k as (select 1 as c, n_nationkey::double as k, (select n_nationkey from {numbered('nation')} where _row = 6)::double as r from {numbered('nation')} where _row = 2 union all select 2, n_regionkey, (select n_regionkey from {numbered('nation')} where _row = 6) from {numbered('nation')} where _row = 2) select n_nationkey, (select arg_min(r, c) from k where k = n_nationkey) as hit from nation", ("n_nationkey", "hit"))
+book_query("match_text_nearest", {"N": ("nation", ("n_nationkey", "n_name")), "C": ("customer", ("c_custkey", "c_name"))}, "C", {"at": "=XLOOKUP([@c_name],N[n_name],N[n_nationkey],-1,-1)"}, "select c_custkey, coalesce((select arg_max(n_nationkey, lower(n_name)) from nation where lower(n_name) <= lower(c_name)), -1)::double as at from customer", ("c_custkey", "at"))
+book_query("xlookup_wildcard_cells", {"P": ("part", ("p_partkey", "p_type"))}, "P", {"first": '=XLOOKUP(LEFT([@p_type],8)&"*",P[p_type],P[p_partkey],-1,2)'}, "select p_partkey, (min(p_partkey) over (partition by lower(substr(p_type, 1, 8))))::double as first from part", ("p_partkey", "first"))
+
+
 # dynamic arrays
 
 @query("select p_partkey, p_size from part where p_size > 40")
@@ -580,11 +579,6 @@ def arr_unique_once(spark, sf_dir):
     return arrays.unique(sheet(spark, sf_dir, "part", "p_retailprice"), ["p_retailprice"], exactly_once=True)
 
 
-@query("select 0::int as _row, 0.0::double as r0, 1.0::double as r1, 2.0::double as r2 union all select 1, (select n_regionkey from nation where n_nationkey = 0)::double, (select n_regionkey from nation where n_nationkey = 1)::double, (select n_regionkey from nation where n_nationkey = 2)::double")
-def arr_transpose(spark, sf_dir):
-    return arrays.transpose(sheet(spark, sf_dir, "nation").select(ROW, "n_nationkey", "n_regionkey"), 3)
-
-
 _CELLS = [", ".join(f"max(case when _row = {r} then {c} end)::double as r{r}" for r in range(25)) for c in ("n_nationkey", "n_regionkey")]
 
 
@@ -613,6 +607,21 @@ def arr_chooserows(spark, sf_dir):
     return arrays.choose_rows(sheet(spark, sf_dir, "nation"), [3 - 1, -1, 2]).select("n_nationkey", ROW)
 
 
+_SPILL = {"P": ("part", ("p_partkey", "p_size", "p_type"))}
+for _name, _f, _sql in (
+    ("filter", "=FILTER(P[p_size],P[p_size]>40)", "select p_size::double as v, row_number() over (order by p_partkey) - 1 as i from part where p_size > 40"),
+    ("sort", "=SORT(P[p_size],1,-1)", "select p_size::double as v, row_number() over (order by p_size desc, p_partkey) - 1 as i from part"),
+    ("unique", "=UNIQUE(P[p_type])", "select arg_min(p_type, p_partkey) as v, row_number() over (order by min(p_partkey)) - 1 as i from part group by lower(p_type)"),
+    ("take", "=TAKE(SORT(UNIQUE(P[p_size])),-5)", "select v, row_number() over (order by v) - 1 as i from (select distinct p_size::double as v from part order by 1 desc limit 5)"),
+    ("drop", "=DROP(P[[p_partkey]:[p_size]],7,1)", "select p_size::double as v, n - 8 as i from (select p_size, row_number() over (order by p_partkey) as n from part) where n > 7"),
+    ("sequence", "=SEQUENCE(50,1,3,2)", "select 3.0::double + 2 * i as v, i from range(50) t(i)"),
+    ("chooserows", "=CHOOSEROWS(CHOOSECOLS(P[[p_partkey]:[p_type]],2),3,-1)", "select p_size::double as v, case when n = 3 then 0 else 1 end as i from (select p_size, row_number() over (order by p_partkey) as n, count(*) over () as m from part) where n = 3 or n = m"),
+    ("transpose", "=TRANSPOSE(TRANSPOSE(TAKE(P[p_size],30)))", "select p_size::double as v, n - 1 as i from (select p_size, row_number() over (order by p_partkey) as n from part) where n <= 30"),
+):
+    book_query(f"spill_{_name}", _SPILL, "P", {"v": _f}, f"select p.p_partkey, s.v from (select p_partkey, row_number() over (order by p_partkey) - 1 as i from part) p left join ({_sql}) s using (i)", ("p_partkey", "v"))
+book_query("sum_of_filter", _SPILL, "P", {"s": '=SUM(FILTER(P[p_size],P[p_partkey]>50))', "n": "=ROWS(UNIQUE(P[p_type]))", "m": "=MEDIAN(FILTER(P[p_size],P[p_size]>10))", "x": "=INDEX(SORT(P[p_size]),3)", "f": '=COUNTA(FILTER(P[p_type],P[p_size]>400,"none"))'}, "select sum(p_size) filter (p_partkey > 50)::double as s, count(distinct lower(p_type))::double as n, median(p_size) filter (p_size > 10)::double as m, (select p_size from part order by p_size limit 1 offset 2)::double as x, 1.0::double as f from part", ("s", "n", "m", "x", "f"), once=True)
+
+
 @query("select count(*)::double as n_rows, 3.0::double as n_columns from nation")
 def arr_rows_columns(spark, sf_dir):
     return arrays.shape(table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey"))
