@@ -9,9 +9,10 @@ empty set, which joins nothing here. Equal sets are one node (a 64-bit hash of t
    there are filtered by size and position, then by their parity sketches: one bit per hash bucket says whether the
    set holds an odd number of shingles there. Bits that differ bound the symmetric difference from below, so a pair
    that fails this cannot be similar, and almost only similar pairs are left to verify on the whole sets;
-3. buckets of more than `hot` nodes are compared with one pivot each. Members similar to it are linked through it;
-   the others meet a member only where the distances to the pivot differ by 0.2 at most (the triangle inequality),
-   and go on to the next round. Buckets that no longer shrink by half are paired off in full.
+3. buckets of more than `hot` nodes lose the entries that no set of the bucket can follow far enough, and the others are
+   compared with one central pivot each. Members similar to it are linked through it, the others go on to the next
+   round. What then isn't connected is paired off, where sizes, positions and the distances to the pivot (which differ
+   by 0.2 at most, the triangle inequality) allow.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 
 from ..shipping import ready_for_python
 from .common import LOWER, PIECE, discard, lean, materialise
+from .components import components
 
 SAMPLE_ROWS, MOST_FREQUENT, YIELD_ROWS = 20_000, 200_000, 128
 #: Rows of a broadcast that narrows the second pass over the texts: a proven bound, whatever the corpus.
@@ -166,6 +168,23 @@ def _met(left: DataFrame, right: DataFrame) -> DataFrame:
     return x.join(y, "s").where(fits)
 
 
+def _useful(entries: DataFrame) -> DataFrame:
+    """Entries that some set of their bucket could still follow: none is smaller than the bucket's smallest."""
+    least = entries.groupBy("s").agg(F.min("n").alias("_m"))
+    rest, other = F.col("n") - F.col("pos"), F.greatest(F.col("_m"), F.ceil(F.col("n") * 4 / 5))
+    return entries.join(least, "s").where(F.lit(9) * rest >= F.lit(4) * (F.col("n") + other)).drop("_m")
+
+
+def _apart(left: DataFrame, right: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs of one bucket whose members aren't connected yet, by size, position and, where known, distance to a pivot."""
+    named = lambda e: e.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    same = left is right
+    met = _met(named(left), named(right)).where("x_root <> y_root")
+    if "d" in left.columns:
+        met = met.where(F.abs(F.col("x_d") - F.col("y_d")) <= 0.2 + 1e-9)
+    return _ordered(met.where("x_node < y_node") if same else met)
+
+
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b"))
 
@@ -187,12 +206,14 @@ def links(texts: DataFrame, sets: DataFrame, shingle: int, hot: int = 128) -> Da
     asked = shared.where(F.col("k") > hot).select("node").unionByName(pairs.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
     keys = materialise(sets.join(asked, "node", "left_semi").groupBy("node").agg(F.min("key").alias("key")).select("key"), "jac-keys")
     whole = materialise(_whole_sets(texts, keys, shingle), "jac-whole")
-    edges, later = None, None
-    alive, held = shared.where(F.col("k") > hot).select("s", "node", "n", "pos"), shared.where(F.col("k") > hot).count()
+    edges, rounds = None, []
+    alive = materialise(_useful(shared.where(F.col("k") > hot).select("s", "node", "n", "pos")), "jac-hot")
+    held = alive.count()
     while held:
-        pivots = materialise(alive.groupBy("s").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("k")), "jac-pivots")
+        # the member with the fewest rarer shingles in front is the most central one
+        pivots = materialise(alive.groupBy("s").agg(F.min_by("node", F.struct("pos", "node")).alias("pivot"), F.count(F.lit(1)).alias("k")), "jac-pivots")
         few = alive.join(pivots.where(F.col("k") <= hot).select("s"), "s", "left_semi")
-        some = _ordered(_met(few, few).where("x_node < y_node"))
+        rounds.append((few, few))
         many = alive.join(pivots.where(F.col("k") > hot).select("s", "pivot"), "s").where("node <> pivot")
         judged = materialise(_compared(many.select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), whole), "jac-pivoted")
         found = judged.where("5 * common >= 4 * total").select("a", "b")
@@ -200,14 +221,19 @@ def links(texts: DataFrame, sets: DataFrame, shingle: int, hot: int = 128) -> Da
         far = judged.select(F.col("a").alias("node"), F.col("b").alias("pivot"), (1 - F.col("common") / F.col("total")).alias("d"), (F.col("common") * 5 >= F.col("total") * 4).alias("near"))
         placed = materialise(many.join(far, ["node", "pivot"]), "jac-placed")
         near, off = placed.where("near").drop("near", "pivot"), placed.where("not near").drop("near", "pivot")
-        some = some.unionByName(_ordered(_met(near, off).where(F.abs(F.col("x_d") - F.col("y_d")) <= 0.2 + 1e-9)))
-        alive, before = off.select("s", "node", "n", "pos"), held
+        rounds.append((near, off))
+        alive, before = materialise(_useful(off.select("s", "node", "n", "pos")), "jac-off"), held
         held = alive.count()
         if 2 * held > before:
-            some = some.unionByName(_ordered(_met(alive, alive).where("x_node < y_node")))
+            rounds.append((alive, alive))
             held = 0
-        later = some if later is None else later.unionByName(some)
-    if later is not None:
+    if edges is not None:
+        # what is connected by now needs no more links: only members of different components still meet
+        roots = materialise(components(edges), "jac-roots")
+        later = None
+        for left, right in rounds:
+            some = _apart(left, right, roots)
+            later = some if later is None else later.unionByName(some)
         pairs = pairs.unionByName(_plausible(later.distinct(), nodes))
     verified = _compared(materialise(pairs.distinct(), "jac-pairs"), whole).where("5 * common >= 4 * total").select("a", "b")
     return verified if edges is None else verified.unionByName(edges)
