@@ -12,7 +12,8 @@ from dataclasses import dataclass, replace
 from pyspark.sql import functions as F
 
 from ..plans import formula as tree
-from .sheet import Sheet, Workbook
+from ..plans.rows import ROW
+from .sheet import Block, Sheet, Workbook
 
 #: Fixed value: entries that a history holds.
 MOST_ENTRIES = 200
@@ -87,6 +88,52 @@ def remove_name(book: Workbook, name: str, sheet: str | None = None) -> Workbook
     return replace(book, sheet_names={k: x for k, x in book.sheet_names.items() if k != (_key(book, sheet), name.upper())})
 
 
+def _taken(book: Workbook, name: str, but: str | None = None) -> bool:
+    low = name.upper()
+    return any(n.upper() == low for n in [*book.sheets, *book.names] if but is None or n.upper() != but.upper())
+
+
+def _cells_of(book: Workbook, b: Block) -> Sheet:
+    df = book.sheets[b.sheet].df.where(F.col(ROW).between(b.first, b.last))
+    cells = [F.col(f"`{c}{end}`").alias(f"{h}{end}") for c, h in zip(b.columns, b.headers) for end in ("", "_err") if f"{c}{end}" in df.columns]
+    return Sheet(df.select((F.col(ROW) - b.first).alias(ROW), *cells), list(b.headers))
+
+
+def _checked(book: Workbook, b: Block, but: str | None = None) -> Block:
+    sheet = book.sheets[b.sheet]
+    if not b.columns or any(c not in sheet.columns for c in b.columns) or not 0 <= b.first <= b.last:
+        raise ValueError("a table covers columns of its sheet and at least one row")
+    if len({h.upper() for h in b.headers}) != len(b.headers) or len(b.headers) != len(b.columns):
+        raise ValueError("a table has one header for each column, all different")
+    for name, other in book.tables.items():
+        if name != but and other.sheet == b.sheet and set(other.columns) & set(b.columns) and other.first <= b.last and b.first <= other.last:
+            raise ValueError(f"table {name} lies there already")
+    return b
+
+
+def add_table(book: Workbook, name: str, sheet: str, columns: tuple[str, ...], first: int, last: int, headers: tuple[str, ...] | None = None) -> Workbook:
+    """A table over a block of a sheet: T[Header] in formulas. Names are unique among sheets, names and tables."""
+    if _taken(book, name):
+        raise ValueError(f"the name {name} is taken")
+    b = _checked(book, Block(_key(book, sheet), tuple(columns), tuple(headers or columns), first, last))
+    return replace(book, sheets={**book.sheets, name: _cells_of(book, b)}, tables={**book.tables, name: b})
+
+
+def update_table(book: Workbook, name: str, new_name: str | None = None, **changes) -> Workbook:
+    """Another name, place or other headers (columns, headers, first, last)."""
+    to = new_name or name
+    if _taken(book, to, but=name):
+        raise ValueError(f"the name {to} is taken")
+    b = _checked(book, replace(book.tables[name], **changes), but=name)
+    sheets = {to if n == name else n: _cells_of(book, b) if n == name else s for n, s in book.sheets.items()}
+    return replace(book, sheets=sheets, tables={to if n == name else n: b if n == name else t for n, t in book.tables.items()})
+
+
+def remove_table(book: Workbook, name: str) -> Workbook:
+    """The cells stay in their sheet."""
+    return replace(book, sheets={n: s for n, s in book.sheets.items() if n != name}, tables={n: t for n, t in book.tables.items() if n != name})
+
+
 @dataclass(frozen=True)
 class History:
     """A workbook with what undo and redo lead to; a new edit forgets what was undone."""

@@ -12,7 +12,7 @@ What a formula reads decides how it is lifted:
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -69,6 +69,17 @@ class Sheet:
         return self.df.where(F.col(ROW) == row).select(column)
 
 
+@dataclass(frozen=True)
+class Block:
+    """A table's place: rows first..last of some columns of a sheet, under headers of its own."""
+
+    sheet: str
+    columns: tuple[str, ...]
+    headers: tuple[str, ...]
+    first: int
+    last: int
+
+
 @dataclass
 class Workbook:
     """Sheets and tables by name, and named ranges: workbook-wide or of one sheet (which come first)."""
@@ -76,11 +87,13 @@ class Workbook:
     sheets: dict[str, Sheet]
     names: dict[str, str] = field(default_factory=dict)
     sheet_names: dict[tuple[str, str], str] = field(default_factory=dict)
+    #: Where the tables lie that are blocks of a sheet; their cells are among the sheets.
+    tables: dict[str, Block] = field(default_factory=dict)
 
     def with_formula(self, sheet: str, name: str, source: str, base_row: int = 0) -> Workbook:
         """The workbook with a derived column: the formula as it reads in row base_row, filled over all rows."""
         made = compile_formula(self, sheet, name, source, base_row)
-        return Workbook({**self.sheets, sheet: made}, self.names, self.sheet_names)
+        return replace(self, sheets={**self.sheets, sheet: made})
 
     def with_formulas(self, sheet: str, formulas: dict[str, str], base_row: int = 0) -> Workbook:
         """Several derived columns that may read each other: in dependency order; a cycle gives #CYCLE!."""
@@ -94,7 +107,7 @@ class Workbook:
                 df = s.df
                 for n in left:
                     df = df.withColumn(n, F.lit(None).cast("double")).withColumn(f"{n}_err", F.lit(values.CYCLE))
-                return Workbook({**book.sheets, sheet: Sheet(df, [*s.columns, *left])}, book.names, book.sheet_names)
+                return replace(book, sheets={**book.sheets, sheet: Sheet(df, [*s.columns, *left])})
             for n in ready:
                 book = book.with_formula(sheet, n, left.pop(n), base_row)
                 done.add(n)

@@ -115,10 +115,12 @@ class View:
         return self.rows(df).agg(F.count(F.lit(1)).alias("view_rows"))
 
     def positions(self, df: DataFrame) -> DataFrame:
-        """_row and its zero-based place in the view (_view)."""
+        """_row and its zero-based place in the view (_view). Only the sort keys are sorted and written."""
         from ..plans.rows import number_rows
 
-        return number_rows(self.rows(df).withColumnRenamed(ROW, "_data"), *[view_order(F.col(f"`{c}`"), d) for c, d in self.sort], F.col("_data").asc()).withColumnRenamed(ROW, "_view").withColumnRenamed("_data", ROW)
+        keys = self.rows(df).select(F.col(ROW).alias("_data"), *[F.col(f"`{c}`") for c in dict.fromkeys(c for c, _ in self.sort)])
+        placed = number_rows(keys, *[view_order(F.col(f"`{c}`"), d) for c, d in self.sort], F.col("_data").asc())
+        return placed.select(F.col("_data").alias(ROW), F.col(ROW).alias("_view"))
 
 
 def hide_rows(df: DataFrame, rows: DataFrame) -> DataFrame:
@@ -149,9 +151,17 @@ def search(df: DataFrame, text: str, columns: Sequence[str], match_case: bool =
 
 
 def replace_text(df: DataFrame, col: str, find: str, new: str, match_case: bool = False, whole: bool = False) -> DataFrame:
-    """Replace in one text column, all occurrences or whole cells."""
+    """Replace in one column, all occurrences or whole cells; the result is read again as the column's type.
+
+    Cells of other types are searched by their text; where the replaced text is none of the type, the cell stays.
+    """
     import re
 
+    kind = dict(df.dtypes)[col]
+    if kind != "string":
+        read = {"boolean": lambda c: F.when(F.upper(c).isin("TRUE", "FALSE"), F.upper(c) == "TRUE")}.get(kind, lambda c: F.trim(c).try_cast(kind))
+        made = replace_text(df.withColumn("_text", shown(df, col)), "_text", find, new, match_case, whole)
+        return made.withColumn(col, F.when(F.col("_text").eqNullSafe(shown(df, col)), F.col(f"`{col}`")).otherwise(F.coalesce(read(F.col("_text")), F.col(f"`{col}`")))).drop("_text")
     c = F.col(f"`{col}`")
     if whole:
         same = c == find if match_case else F.lower(c) == find.lower()
@@ -226,11 +236,39 @@ def validated(df: DataFrame, check: Column, mode: str = "partial") -> tuple[Data
     return marked.where("_ok").drop("_ok"), marked.where("not _ok").drop("_ok")
 
 
+@dataclass(frozen=True)
+class ProtectedRange:
+    """A block of cells (rows and columns, both ends included) that edits may not touch unless they are let through."""
+
+    name: str
+    first_row: int
+    last_row: int
+    first_col: int
+    last_col: int
+
+
+def protected(edits: DataFrame, ranges: Sequence[ProtectedRange], allowed: Sequence[str] = (), mode: str = "partial") -> tuple[DataFrame, DataFrame]:
+    """(kept, refused) edits; each covers first_row..last_row and first_col..last_col.
+
+    Refused ones say which protected ranges (in `denied`) they touch without being allowed to. partial keeps the
+    others, atomic keeps none if any is refused.
+    """
+    c = F.col
+    hit = [F.when((c("first_row") <= r.last_row) & (c("last_row") >= r.first_row) & (c("first_col") <= r.last_col) & (c("last_col") >= r.first_col), F.lit(r.name)) for r in ranges if r.name not in allowed]
+    marked = edits.withColumn("denied", F.array_compact(F.array(*hit)) if hit else F.expr("cast(array() as array<string>)"))
+    refused = marked.where(F.size("denied") > 0)
+    kept = marked.where(F.size("denied") == 0).drop("denied")
+    if mode == "atomic":
+        none = refused.agg((F.count(F.lit(1)) == 0).alias("_clean"))
+        kept = kept.join(F.broadcast(none.where("_clean")), how="cross").drop("_clean")
+    return kept, refused
+
+
 def fill_series(seed: Sequence[float | None], count: int, df: DataFrame) -> Column:
     """Extend a seed over rows after it: arithmetic if its steps agree, else repeated."""
     n = len(seed)
     steps = [b - a for a, b in zip(seed, seed[1:])] if all(x is not None for x in seed) else []
-    place = F.col(ROW)
-    if n > 1 and steps and all(abs(s - steps[0]) <= 1e-9 * max(1.0, abs(steps[0])) for s in steps):
+    place, near = F.col(ROW), 1e-9 * max([1.0, *[abs(x) for x in seed if x is not None]])
+    if n > 1 and steps and all(abs(s - steps[0]) <= near for s in steps):
         return F.lit(float(seed[0])) + F.lit(float(steps[0])) * place
     return F.get(F.array(*[F.lit(x).cast("double") for x in seed]), (place % n).cast("int"))

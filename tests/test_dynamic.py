@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import statistics
+from tessera.operators import edits, statistics, view
 from tessera.operators.sheet import Sheet, Workbook
 from tessera.plans.rows import ROW
 
@@ -105,3 +105,50 @@ def test_statistics_against_numpy(spark):
     empty = statistics.quantiles(df.limit(0), F.col("v"), [0.5]).first()
     assert empty.n == 0 and empty.q0 is None
     assert statistics.divisor(df, -F.col("v"), False).first().bad
+
+
+def test_tables_over_blocks(book):
+    b = edits.add_table(book, "T", "S", ("A", "B"), 1, 3, ("Amount", "Kind"))
+    assert column(b, "=SUM(T[Amount])") == [6] * 5
+    assert column(edits.update_table(b, "T", "U", first=0, headers=("X", "Kind")), "=SUM(U[X])") == [9] * 5
+    assert column(edits.remove_table(b, "T"), "=SUM(T[Amount])") == ["#NAME?"] * 5
+    for bad in (("t", "S", ("A",), 0, 1), ("V", "S", ("A",), 3, 4), ("V", "S", ("nope",), 0, 1), ("S", "S", ("E",), 0, 1)):
+        with pytest.raises(ValueError):
+            edits.add_table(b, *bad)
+    assert set(edits.add_table(b, "V", "S", ("A",), 4, 4).tables) == {"T", "V"}
+
+
+def test_protected_ranges(spark):
+    df = spark.createDataFrame([(1, 0, 0, 0, 0), (2, 5, 9, 1, 1), (3, 2, 5, 3, 4), (4, 6, 6, 2, 8)], "op int, first_row int, last_row int, first_col int, last_col int")
+    ranges = [view.ProtectedRange("head", 0, 0, 0, 9), view.ProtectedRange("sum", 5, 6, 2, 3)]
+    kept, refused = view.protected(df, ranges)
+    assert sorted(r.op for r in kept.collect()) == [2] and {r.op: r.denied for r in refused.collect()} == {1: ["head"], 3: ["sum"], 4: ["sum"]}
+    assert sorted(r.op for r in view.protected(df, ranges, ("sum",))[0].collect()) == [2, 3, 4]
+    assert view.protected(df, ranges, mode="atomic")[0].count() == 0 and view.protected(df, [], mode="atomic")[0].count() == 4
+
+
+def test_workbooks_round_trip(spark, book, tmp_path):
+    from tessera.sources import xlsx
+
+    other = spark.createDataFrame([(0, 1.0, "x", "y"), (1, None, "<&>", None)], "_row long, a double, b string, `odd name` string")
+    path = str(tmp_path / "w.xlsx")
+    xlsx.write_workbook({"Zeta": other, "S": book.sheets["S"].df}, path, {"Total": "S!$A$1:$A$5"})
+    sheets, names = xlsx.read_workbook(spark, path)
+    assert list(sheets) == ["Zeta", "S"] and names == {"Total": "S!$A$1:$A$5"}
+    rows = lambda df: [tuple(r) for r in df.orderBy(ROW).select(*[f"`{c}`" for c in df.columns if c != ROW]).collect()]
+    assert rows(sheets["Zeta"]) == rows(other) and rows(sheets["S"]) == rows(book.sheets["S"].df)
+    assert rows(xlsx.read_xlsx(spark, path)) == rows(other)
+
+
+def test_replaced_numbers_are_read_again(spark):
+    df = spark.createDataFrame([(0, 110.5), (1, 12.0), (2, None), (3, 1.0)], "_row long, n double")
+    got = [r.n for r in view.replace_text(df, "n", "1", "2").orderBy(ROW).collect()]
+    assert got == [220.5, 22, None, 2]
+    assert [r.n for r in view.replace_text(df, "n", "1", "x").orderBy(ROW).collect()] == [110.5, 12, None, 1]
+
+
+def test_fill_series_goes_by_the_largest_value(spark):
+    df = spark.range(4).select(F.col("id").alias(ROW))
+    big = [1e9, 1e9 + 1, 1e9 + 2.5]
+    assert [r.v for r in df.select(view.fill_series(big, 4, df).alias("v")).collect()] == [1e9, 1e9 + 1, 1e9 + 2, 1e9 + 3]
+    assert [r.v for r in df.select(view.fill_series([1.0, 2.0, 4.0], 4, df).alias("v")).collect()] == [1, 2, 4, 1]
