@@ -115,12 +115,10 @@ class View:
         return self.rows(df).agg(F.count(F.lit(1)).alias("view_rows"))
 
     def positions(self, df: DataFrame) -> DataFrame:
-        """_row and its zero-based place in the view (_view). Only the sort keys are sorted and written."""
+        """The rows with their zero-based place in the view (_view); all columns are sorted and written, so select first."""
         from ..plans.rows import number_rows
 
-        keys = self.rows(df).select(F.col(ROW).alias("_data"), *[F.col(f"`{c}`") for c in dict.fromkeys(c for c, _ in self.sort)])
-        placed = number_rows(keys, *[view_order(F.col(f"`{c}`"), d) for c, d in self.sort], F.col("_data").asc())
-        return placed.select(F.col("_data").alias(ROW), F.col(ROW).alias("_view"))
+        return number_rows(self.rows(df).withColumnRenamed(ROW, "_data"), *[view_order(F.col(f"`{c}`"), d) for c, d in self.sort], F.col("_data").asc()).withColumnRenamed(ROW, "_view").withColumnRenamed("_data", ROW)
 
 
 def hide_rows(df: DataFrame, rows: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -27,6 +27,20 @@ def number_rows(df: DataFrame, *keys: str | Column) -> DataFrame:
     return placed.join(starts, "_part").withColumn(ROW, (F.col("_start") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).cast("long")).drop("_part", "_start", "_at")
 
 
+_SNAPSHOTS: dict[tuple, DataFrame] = {}
+
+
+def numbered_table(spark: SparkSession, path: str, keys: tuple[str, ...], columns: tuple[str, ...] = ()) -> DataFrame:
+    """A Parquet table with _row, numbered once per session and state of its files, and only the columns that are read."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    status = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at)
+    key = (spark.sparkContext.applicationId, path, status.getModificationTime(), status.getLen(), keys, columns, spark.conf.get("spark.sql.shuffle.partitions"))
+    if key not in _SNAPSHOTS:
+        df = spark.read.parquet(path)
+        _SNAPSHOTS[key] = number_rows(df.select(*columns) if columns else df, *keys)
+    return _SNAPSHOTS[key]
+
+
 def running(df: DataFrame, sums: dict[str, Column], bucket: int = BUCKET, how: dict[str, str] | None = None, by: tuple[str, ...] = (), backwards: bool = False) -> DataFrame:
     """Running totals in _row order: inside buckets of rows, plus the totals of the buckets before.
 

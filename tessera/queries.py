@@ -12,7 +12,7 @@ from .functions.display import format_number
 from .operators import aggregates, arrays, lookups, statistics, view
 from .operators.sheet import Sheet, Workbook, cell_val
 from .operators.view import Compare, Contains, Empty, FormatRule, NonEmpty, Values, View
-from .plans.rows import ROW, number_rows
+from .plans.rows import ROW, number_rows, numbered_table
 from .shipping import ready_for_python
 from .sources import delimited, paged
 
@@ -28,8 +28,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def sheet(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    df = table(spark, sf_dir, name)
-    return number_rows(df.select(*dict.fromkeys([*KEYS[name], *columns])) if columns else df, *KEYS[name])
+    return numbered_table(spark, f"{sf_dir}/{name}.parquet", tuple(KEYS[name]), tuple(dict.fromkeys([*KEYS[name], *columns])) if columns else ())
 
 
 def numbered(name: str) -> str:
@@ -407,7 +406,8 @@ def book_query(name: str, sheets: dict[str, tuple[str, tuple]], target: str, mad
     def run(spark, sf_dir):
         if python:
             ready_for_python(spark)
-        book = Workbook({n: Sheet(number_rows(table(spark, sf_dir, t).select(*cols).where((where or {}).get(n, "true")), *cols), list(cols)) for n, (t, cols) in sheets.items()})
+        rows = lambda n, t, cols: number_rows(table(spark, sf_dir, t).select(*cols).where(where[n]), *cols) if n in (where or {}) else numbered_table(spark, f"{sf_dir}/{t}.parquet", cols, cols)
+        book = Workbook({n: Sheet(rows(n, t, cols), list(cols)) for n, (t, cols) in sheets.items()})
         if once:
             book = Workbook({**book.sheets, "One": Sheet(spark.range(1).select(F.col("id").alias(ROW), F.lit(0.0).alias("z")), ["z"])})
         for o, f in made.items():
@@ -722,13 +722,10 @@ def _events(spark, sf_dir):
 
 
 def _drained(df: DataFrame, mode: str) -> DataFrame:
-    import uuid
-
     from .paths import scratch
     from .streaming import views
 
-    name = f"tessera_{uuid.uuid4().hex}"
-    return views.drain(df, name, scratch(df.sparkSession, "stream"), mode)
+    return views.drain(df, scratch(df.sparkSession, "stream"), mode)
 
 
 @query("select event_type, round(sum(value), 2) as sum_value, count(value) as n, round(avg(value), 4) as avg_value, min(value) as min_value, max(value) as max_value from events group by 1")

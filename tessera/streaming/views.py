@@ -45,9 +45,17 @@ def to_rows(deltas: DataFrame, merge: Callable[[DataFrame, int], None], checkpoi
     return deltas.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def drain(df: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what there is now and return its result."""
-    spark = df.sparkSession
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def drain(df: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """Run a stream over what there is now and return its result, written to the folder as Parquet.
+
+    Each batch overwrites its own part (one part for all in complete mode), so a batch that runs again adds nothing.
+    """
+    spark, out = df.sparkSession, f"{folder}/out"
+    spark.createDataFrame([], df.schema).write.parquet(f"{out}/epoch=-1")
+
+    def batch(rows: DataFrame, epoch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{out}/epoch={0 if mode == 'complete' else epoch}")
+
+    q = df.writeStream.foreachBatch(batch).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(df.schema).parquet(out).select(*[F.col(f"`{c}`") for c in df.columns])
