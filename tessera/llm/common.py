@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import contextlib
 import itertools
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..paths import delete, scratch
+
 SPACES = " \t\n\x0b\f\r"
 #: Byte table that lower-cases A-Z, and the bytes of a long text that are cut into words at once.
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -29,24 +29,6 @@ def lean() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset on one machine."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = held.get() if held.isDefined() else None
-    if not found:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
-        found = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return found.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/tessera-{label}-{uuid.uuid4().hex}"
-
-
 _WATCHED: list[list[str]] = []
 
 
@@ -62,14 +44,13 @@ def watched():
 
 def drop_paths(spark: SparkSession, paths: list[str]) -> None:
     for p in paths:
-        path = spark._jvm.org.apache.hadoop.fs.Path(p)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        delete(spark, p)
     paths.clear()
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again: cuts the lineage and outlives any executor."""
-    path = scratch_path(df.sparkSession, label)
+    path = scratch(df.sparkSession, label)
     for paths in _WATCHED:
         paths.append(path)
     df.write.parquet(path)
