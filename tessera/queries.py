@@ -808,3 +808,85 @@ def versioned_commit(spark, sf_dir):
 
 
 book_query("xmatch", _OC, "O", {"first": "=XMATCH([@o_custkey],C[c_custkey])", "last": "=XMATCH([@o_custkey],C[c_custkey],0,-1)"}, f"select o_orderkey, (c._row + 1)::double as first, (c._row + 1)::double as last from orders left join {numbered('customer')} c on c_custkey = o_custkey", ("o_orderkey", "first", "last"))
+
+
+# presence, the row bridge, edits, files
+
+@query("with g as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 6 hours then 0 else 1 end as opens from events), s as (select *, sum(opens) over (partition by user_id order by ts rows unbounded preceding) as k from g) select user_id, min(ts)::timestamp as start, (max(ts) + interval 6 hours)::timestamp as end, count(*) as beats from s group by user_id, k")
+def presence_sessions(spark, sf_dir):
+    from .streaming import views
+
+    out = views.presence(table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "user_id", "6 hours")
+    return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "beats")
+
+
+@query("select user_id as key, arg_max(event_type, event_id) as kind, max(event_id) as version from events group by user_id")
+def row_bridge(spark, sf_dir):
+    from .paths import scratch
+    from .streaming import views
+
+    folder = scratch(spark, "bridge")
+    deltas = _events(spark, sf_dir).select(F.col("user_id").alias("key"), F.col("event_type").alias("kind"), F.col("props").alias("payload"), F.col("event_id").alias("version"))
+    views.to_rows(deltas, lambda rows, epoch: rows.write.mode("overwrite").parquet(f"{folder}/rows/epoch={epoch}"), f"{folder}/state").awaitTermination()
+    return spark.read.parquet(f"{folder}/rows").groupBy("key").agg(F.max_by("kind", "version").alias("kind"), F.max("version").alias("version"))
+
+
+@query("select n_nationkey, (n_regionkey + 1) * 2.0::double as a, (select max(n_nationkey) from nation)::double as top, null::double as note from nation")
+def edits_undo_redo(spark, sf_dir):
+    from .operators import edits
+
+    book = Workbook({"N": Sheet(sheet(spark, sf_dir, "nation").select(ROW, "n_nationkey", "n_name", "n_regionkey"))}, {"K": "N!$A$1:$A$25"})
+    h = edits.History(book)
+    h = h.apply(lambda b: Workbook({n: edits.remove_columns(s, "n_name") for n, s in b.sheets.items()}, b.names))
+    h = h.apply(edits.rename_sheet, "N", "Nations").apply(lambda b: Workbook({n: edits.add_column(s, "note", "double") for n, s in b.sheets.items()}, b.names))
+    h = h.apply(edits.set_name, "PLUS", "Nations!$A$2").undo().undo().redo().apply(edits.set_name, "PLUS", "Nations!$A$2")
+    made = h.book.with_formula("Nations", "a", "=([@n_regionkey]+PLUS)*2").with_formula("Nations", "top", "=MAX(K)")
+    return made.sheets["Nations"].df.select("n_nationkey", "a", "top", "note")
+
+
+@query("select (select sum(n_regionkey) from (select *, row_number() over (order by n_nationkey) - 1 as r from nation) where r between 5 and 14)::double as s, (select max(n_nationkey) from (select *, row_number() over (order by n_nationkey) - 1 as r from nation) where r between 0 and 14)::double as m")
+def tables_over_blocks(spark, sf_dir):
+    from .operators import edits
+
+    one = Sheet(spark.range(1).select(F.col("id").alias(ROW), F.lit(0.0).alias("z")), ["z"])
+    book = Workbook({"N": Sheet(sheet(spark, sf_dir, "nation").select(ROW, "n_nationkey", "n_regionkey")), "One": one})
+    book = edits.add_table(book, "T", "N", ("n_nationkey", "n_regionkey"), 5, 14, ("Key", "Region"))
+    book = book.with_formula("One", "s", "=SUM(T[Region])")
+    book = edits.update_table(book, "T", "U", first=0).with_formula("One", "m", "=MAX(U[Key])")
+    return edits.remove_table(book, "U").sheets["One"].df.select("s", "m")
+
+
+@query("select l_orderkey % 1000 as first_row, l_linenumber as first_col, count(*) as n from lineitem where not (l_orderkey % 1000 <= 100 and l_orderkey % 1000 + 3 >= 50 and l_linenumber between 2 and 4) group by 1, 2")
+def protected_edits(spark, sf_dir):
+    edits = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 1000).alias("first_row"), (F.col("l_orderkey") % 1000 + 3).alias("last_row"), F.col("l_linenumber").alias("first_col"), F.col("l_linenumber").alias("last_col"))
+    kept, _ = view.protected(edits, [view.ProtectedRange("sums", 50, 100, 2, 4), view.ProtectedRange("open", 0, 9, 0, 9)], allowed=("open",))
+    return kept.groupBy("first_row", "first_col").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select (row_number() over (order by s_suppkey) - 1)::bigint as _row, s_name as \"name\", s_acctbal as bal from supplier")
+def xlsx_roundtrip(spark, sf_dir):
+    import os
+    import tempfile
+
+    from .sources import xlsx
+
+    rows = sheet(spark, sf_dir, "supplier", "s_name", "s_acctbal").select(ROW, F.col("s_name").alias("name"), F.col("s_acctbal").alias("bal"))
+    with tempfile.TemporaryDirectory() as folder:  # workbooks are files of the driver's machine
+        xlsx.write_workbook({"Regions": table(spark, sf_dir, "region").withColumn(ROW, F.col("r_regionkey").cast("long")), "S": rows}, path := os.path.join(folder, "w.xlsx"), {"Names": "S!$A$1:$A$9"})
+        sheets, names = xlsx.read_workbook(spark, path)
+    if list(sheets) != ["Regions", "S"] or names != {"Names": "S!$A$1:$A$9"}:
+        raise ValueError("sheets or names were lost")
+    return sheets["S"].select(F.col(ROW).cast("long").alias(ROW), "name", F.col("bal").cast("double").alias("bal"))
+
+
+book_query("today_now", {"R": ("region", ("r_regionkey",))}, "R", {"days": "=TODAY()-DATE(2000,1,1)", "same": "=INT(NOW())=TODAY()"}, "select r_regionkey, date_diff('day', date '2000-01-01', current_date)::double as days, true as same from region", ("r_regionkey", "days", "same"))
+
+
+@query(f"select o_orderkey, o_totalprice from {numbered('orders')} where _row between 700 and 749")
+def window_read(spark, sf_dir):
+    return Sheet(sheet(spark, sf_dir, "orders", "o_totalprice")).window(700, 50, ["o_orderkey", "o_totalprice"]).drop(ROW)
+
+
+@query(f"select o_totalprice from {numbered('orders')} where _row = 1234")
+def point_read(spark, sf_dir):
+    return Sheet(sheet(spark, sf_dir, "orders", "o_totalprice")).cell(1234, "o_totalprice")
