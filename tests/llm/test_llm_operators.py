@@ -442,3 +442,28 @@ def test_shards_split_at_weighted_medians_of_the_widest_dimension(spark, docs):
     for target in (whole, whole // 3, whole // 20):
         sizes = [r.b for r in shards.kd_shards(real, target_bytes=target).groupBy("shard").agg(F.sum("size").alias("b")).collect()]
         assert max(sizes) <= target + max(r["size"] for r in rows) and len(sizes) == 1 << max(0, -(-whole // target) - 1).bit_length()
+
+
+def test_mixing_cuts_its_permutations_as_by_brute_force(spark, docs):
+    """Every source's last epoch is the longest run of its permuted documents that its budget holds."""
+    real = spark.read.parquet(f"{SF}/documents.parquet")
+    plan = {p["_source"]: p for p in mixing.plan(real, max_repeats=2.0, block_tokens=300).collect()}
+    rows = mixing.mixed(real, mixing.plan(real, max_repeats=2.0, block_tokens=300)).collect()
+    keys = real.withColumn("_h", F.xxhash64("doc_id", F.crc32(F.coalesce("text", F.lit("")))))
+    cut = 0
+    for source, p in plan.items():
+        own = keys.where(F.coalesce("source", F.lit("\x00")) == source)
+        in_epoch = lambda e, o=own: [(r.k, r._h, r.doc_id, len((r.text or "").split())) for r in o.select("doc_id", "text", "_h", mixing._key(F.lit(e), 17).alias("k")).collect()]
+        mine = [r for r in rows if (r.source if r.source is not None else "\x00") == source]
+        for epoch in range(p.epochs + 1):
+            held, want = 0, {}
+            for k, _, i, n in sorted(in_epoch(epoch)):
+                held += n
+                if epoch == p.epochs and (held > p.rest or p.rest <= 0):
+                    break
+                want[i] = k * p.blocks >> mixing.KEY_BITS
+            assert {r.doc_id: r._block for r in mine if r._epoch == epoch} == want
+            cut += epoch == p.epochs and 0 < len(want) < own.count()
+        for block in {(r._epoch, r._block) for r in mine}:
+            assert len({r._order for r in mine if (r._epoch, r._block) == block}) == 1
+    assert cut
