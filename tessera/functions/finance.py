@@ -97,39 +97,59 @@ number_function("IPMT", 4, 6)(lambda rate, per, n, pv, fv=None, kind=None: _shar
 number_function("PPMT", 4, 6)(lambda rate, per, n, pv, fv=None, kind=None: _share(rate, per, n, pv, fv, kind, True))
 
 
-def solve(f: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], guess: np.ndarray) -> np.ndarray:
-    """Rates at which f vanishes, row by row; NaN where none is found.
+#: Fixed values of the search for a rate: the first step, how often it doubles, the ends of the search, and what counts
+#: as zero beside the scale of a value: at the guess, at a root, and at the best point found.
+FIRST_STEP, WIDENINGS, ENDS = 0.125, 14, (-36.0, 700.0)
+AT_GUESS, AT_ROOT, AT_BEST = 1e-12, 1e-14, 1e-9
+HALVINGS = 200
+
+
+def _bracket(f: Callable, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ends of the segment nearest the start over which f changes sign; NaN without one.
 
-    f maps x = ln(1 + rate) to (value, scale). Brackets widen from the guess to both sides within [-36, 700]; the one
-    whose secant estimate is nearer wins, and is halved until the value is negligible against its scale.
+    Points lie on both sides at distances that double; of two segments as far out, the one whose secant crosses zero
+    nearer the start is taken.
     """
-    start = np.log1p(np.where(guess > -1, guess, np.nan))
-    lo = hi = start
-    flo = fhi = f(start)[0]
-    root = np.where(np.abs(flo) <= 1e-12 * f(start)[1], start, np.nan)
-    a, b = np.full_like(start, np.nan), np.full_like(start, np.nan)
-    step = 0.125
+    rows = np.arange(len(start))
+    reach = FIRST_STEP * (2.0 ** np.arange(WIDENINGS + 1) - 1)
+    sides = []
+    for way in (-1, 1):
+        at = np.clip(start[:, None] + way * reach, *ENDS)
+        value = np.stack([f(at[:, k])[0] for k in range(at.shape[1])], axis=1)
+        change = (np.signbit(value[:, 1:]) != np.signbit(value[:, :-1])) & (at[:, 1:] != at[:, :-1])
+        sides.append((at, value, change))
+    either = sides[0][2] | sides[1][2]
+    first = either.argmax(axis=1)
+    found, off = [], []
+    for at, value, change in sides:
+        near, far = at[rows, first], at[rows, first + 1]
+        v_near, v_far = value[rows, first], value[rows, first + 1]
+        cross = near - v_near * (far - near) / (v_far - v_near)
+        found.append((near, far))
+        off.append(np.where(change[rows, first], np.abs(cross - start), np.inf))
+    left = off[0] <= off[1]
+    ends = np.where(left, found[0], found[1])
+    none = ~either.any(axis=1)
+    return np.where(none, np.nan, ends[0]), np.where(none, np.nan, ends[1])
+
+
+def solve(f: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], guess: np.ndarray) -> np.ndarray:
+    """Rates at which f vanishes, row by row; NaN where none is found. f maps x = ln(1 + rate) to (value, scale)."""
     with np.errstate(all="ignore"):
-        for _ in range(14):
-            nlo, nhi = np.maximum(lo - step, -36), np.minimum(hi + step, 700)
-            vlo, vhi = f(nlo)[0], f(nhi)[0]
-            left, right = (np.signbit(vlo) != np.signbit(flo)) & (nlo < lo), (np.signbit(vhi) != np.signbit(fhi)) & (nhi > hi)
-            est_l, est_r = nlo - vlo * (lo - nlo) / (flo - vlo), hi - fhi * (nhi - hi) / (vhi - fhi)
-            use_l = left & (~right | (np.abs(est_l - start) <= np.abs(est_r - start)))
-            new = np.isnan(a) & (left | right)
-            a = np.where(new, np.where(use_l, nlo, hi), a)
-            b = np.where(new, np.where(use_l, lo, nhi), b)
-            lo, hi, flo, fhi, step = nlo, nhi, vlo, vhi, step * 2
+        start = np.log1p(np.where(guess > -1, guess, np.nan))
+        value, scale = f(start)
+        root = np.where(np.abs(value) <= AT_GUESS * scale, start, np.nan)
+        a, b = _bracket(f, start)
         fa = f(a)[0]
-        for _ in range(200):
+        for _ in range(HALVINGS):
             mid = (a + b) / 2
             fm, scale = f(mid)
-            root = np.where(np.isnan(root) & (np.abs(fm) <= 1e-14 * scale), mid, root)
+            root = np.where(np.isnan(root) & (np.abs(fm) <= AT_ROOT * scale), mid, root)
             same = np.signbit(fm) == np.signbit(fa)
             a, fa, b = np.where(same, mid, a), np.where(same, fm, fa), np.where(same, b, mid)
-        fm, scale = f((a + b) / 2)
-        root = np.where(np.isnan(root) & (np.abs(fm) <= 1e-9 * scale), (a + b) / 2, root)
-        return np.expm1(root)
+        best = (a + b) / 2
+        fm, scale = f(best)
+        return np.expm1(np.where(np.isnan(root) & (np.abs(fm) <= AT_BEST * scale), best, root))
 
 
 def irr_of(flows: list, guess: float = 0.1) -> float:
