@@ -60,6 +60,18 @@ def test_main_text_of_hand_written_pages():
     assert precision >= 0.9 and recall >= 0.9
 
 
+def test_an_empty_table_of_pages(spark):
+    none = spark.createDataFrame([], "page_id long, url string, html string, text string, n_chars int")
+    out = htmltext.extract(none)
+    assert out.columns == ["page_id", "url", "text", "n_chars"] and out.count() == 0
+
+
+def test_a_long_page_is_read_whole(spark):
+    page = "<nav><a href=/>Menu</a></nav><article>" + "".join(f"<p>Paragraph {i} says something of its own, and more.</p>" for i in range(20_000)) + "</article>"
+    (got,) = htmltext.main_texts(htmltext.trained(), [page])
+    assert all(f"Paragraph {i} says" in got for i in range(0, 20_000, 7)) and "Menu" not in got
+
+
 def test_blocks_decode_and_keep_inline_markup_together():
     page = "<article><p>a &amp;amp; b&nbsp;c&#x41;</p><p>x<b>y</b>z <i>w</i>\n\t v<p>fin<svg viewBox='0'/>al<svg><svg>in</svg>out</svg> <math><mi>q</mi></math> end</article><!-- gone <p> -->tail"
     assert [b[1] for b in htmltext.leaf_blocks(page)] == ["a &amp; b cA", "xyz w v", "final q end", "tail"]
