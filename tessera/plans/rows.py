@@ -12,14 +12,14 @@ ROW = "_row"
 BUCKET = 1 << 16
 
 
-def number_rows(df: DataFrame, *keys: str | Column) -> DataFrame:
+def number_rows(df: DataFrame, *keys: str | Column, path: str | None = None) -> DataFrame:
     """Add _row: dense positions from 0 in key order. Rows are range-partitioned and sorted in place; each partition's
     first position is the count of those before it. The partitions are written once, because the sampled bounds of a
     range partitioning differ from run to run."""
     order = [F.col(k).asc_nulls_last() if isinstance(k, str) else k for k in keys]
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    path = scratch(spark, "rows")
+    path = path or scratch(spark, "rows")
     df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()).write.parquet(path)
     placed = spark.read.parquet(path).withColumn("_part", F.shiftright("_at", 33))
     counts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
@@ -27,18 +27,19 @@ def number_rows(df: DataFrame, *keys: str | Column) -> DataFrame:
     return placed.join(starts, "_part").withColumn(ROW, (F.col("_start") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).cast("long")).drop("_part", "_start", "_at")
 
 
-_SNAPSHOTS: dict[tuple, DataFrame] = {}
+_SNAPSHOTS: dict[tuple, tuple[str, DataFrame]] = {}
 
 
 def numbered_table(spark: SparkSession, path: str, keys: tuple[str, ...], columns: tuple[str, ...] = ()) -> DataFrame:
     """A Parquet table with _row, numbered once per session and state of its files, and only the columns that are read."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    status = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at)
+    place, conf = spark._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
+    status = place(path).getFileSystem(conf).getFileStatus(place(path))
     key = (spark.sparkContext.applicationId, path, status.getModificationTime(), status.getLen(), keys, columns, spark.conf.get("spark.sql.shuffle.partitions"))
-    if key not in _SNAPSHOTS:
-        df = spark.read.parquet(path)
-        _SNAPSHOTS[key] = number_rows(df.select(*columns) if columns else df, *keys)
-    return _SNAPSHOTS[key]
+    held = _SNAPSHOTS.get(key)
+    if held is None or not place(held[0]).getFileSystem(conf).exists(place(held[0])):
+        df, copy = spark.read.parquet(path), scratch(spark, "rows")
+        held = _SNAPSHOTS[key] = copy, number_rows(df.select(*columns) if columns else df, *keys, path=copy)
+    return held[1]
 
 
 def running(df: DataFrame, sums: dict[str, Column], bucket: int = BUCKET, how: dict[str, str] | None = None, by: tuple[str, ...] = (), backwards: bool = False) -> DataFrame:

@@ -890,3 +890,4 @@ def window_read(spark, sf_dir):
 @query(f"select o_totalprice from {numbered('orders')} where _row = 1234")
 def point_read(spark, sf_dir):
     return Sheet(sheet(spark, sf_dir, "orders", "o_totalprice")).cell(1234, "o_totalprice")
+book_query("logic_iferror_values", {"P": ("part", ("p_partkey", "p_size"))}, "P", {"c": "=IFERROR(1/([@p_size]-10),-1)", "d": "=IF([@p_size]>25,[@p_size]/3,IFNA(NA(),0))"}, "select p_partkey, case when p_size = 10 then -1.0::double else round(1.0::double / (p_size - 10), 6) end as c, case when p_size > 25 then round(p_size / 3.0::double, 6) else 0.0::double end as d from part", ("p_partkey", "c", "d"))
