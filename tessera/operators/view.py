@@ -168,8 +168,12 @@ def replace_text(df: DataFrame, col: str, find: str, new: str, match_case: bool
     return df.withColumn(col, F.regexp_replace(c, pattern, re.sub(r"([\\$])", r"\\\1", new))) if find else df
 
 
-def data_edges(df: DataFrame, col: str) -> DataFrame:
-    """Where a jump down from each row lands: the end of its run of filled cells, else the next filled cell, else the last row."""
+def data_edges(df: DataFrame, col: str, up: bool = False) -> DataFrame:
+    """Where a jump down (or up) from each row lands: the end of its run of filled cells, else the next filled one, else the last row."""
+    if up:  # the same in a sheet that stands on its head
+        last = F.broadcast(df.agg(F.max(ROW).alias("_last")))
+        turned = df.join(last, how="cross").withColumn(ROW, F.col("_last") - F.col(ROW))
+        return data_edges(turned, col).join(last, how="cross").select((F.col("_last") - F.col(ROW)).alias(ROW), (F.col("_last") - F.col("edge")).alias("edge"))
     filled = F.when(F.col(f"`{col}`").isNotNull(), 1).otherwise(0)
     b = F.floor(F.col(ROW) / (1 << 16))
     base = df.select(ROW, filled.alias("f"), b.alias("b"))
@@ -183,6 +187,23 @@ def data_edges(df: DataFrame, col: str) -> DataFrame:
     return j.select(ROW, F.when((F.col("f") == 1) & (run_end > F.col(ROW)), run_end).otherwise(F.coalesce(full, F.col("end"))).alias("edge"))
 
 
+def row_edges(df: DataFrame, columns: Sequence[str], at: int, left: bool = False) -> DataFrame:
+    """Where a jump to the right (or left) from column `at` of each row lands, by the same rule: (_row, edge)."""
+    order = list(range(at, -1, -1)) if left else list(range(at, len(columns)))
+    full = [F.col(f"`{columns[i]}`").isNotNull() for i in order]
+    end = F.lit(order[-1])
+
+    def first(where: list[Column], result: list[Column], spare: Column) -> Column:
+        out = None
+        for w, x in zip(where, result):
+            out = F.when(w, x) if out is None else out.when(w, x)
+        return spare if out is None else out.otherwise(spare)
+
+    run_end = first([~f for f in full[1:]], [F.lit(i) for i in order[:-1]], end)
+    after = first(full[1:], [F.lit(i) for i in order[1:]], end)
+    return df.select(ROW, F.when(full[0] & (run_end != at), run_end).otherwise(after).cast("int").alias("edge"))
+
+
 @dataclass(frozen=True)
 class FormatRule:
     predicate: Column

@@ -891,3 +891,35 @@ def window_read(spark, sf_dir):
 def point_read(spark, sf_dir):
     return Sheet(sheet(spark, sf_dir, "orders", "o_totalprice")).cell(1234, "o_totalprice")
 book_query("logic_iferror_values", {"P": ("part", ("p_partkey", "p_size"))}, "P", {"c": "=IFERROR(1/([@p_size]-10),-1)", "d": "=IF([@p_size]>25,[@p_size]/3,IFNA(NA(),0))"}, "select p_partkey, case when p_size = 10 then -1.0::double else round(1.0::double / (p_size - 10), 6) end as c, case when p_size > 25 then round(p_size / 3.0::double, 6) else 0.0::double end as d from part", ("p_partkey", "c", "d"))
+
+
+@query("""with b as (select _row, case when p_size > 10 then p_size end as v from (select *, row_number() over (order by p_partkey) - 1 as _row from part)), n as (
+  select _row, v, max(case when v is null then _row end) over w as n0, max(case when v is not null then _row end) over w as n1
+  from b window w as (order by _row rows between unbounded preceding and 1 preceding))
+select _row, case when v is not null and coalesce(n0 + 1, 0) < _row then coalesce(n0 + 1, 0) else coalesce(n1, 0) end as edge from n""")
+def data_edge_up(spark, sf_dir):
+    df = sheet(spark, sf_dir, "part", "p_size").withColumn("v", F.when(F.col("p_size") > 10, F.col("p_size")))
+    return view.data_edges(df, "v", up=True)
+
+
+@query(f"""with c as (select _row, [o_custkey % 3 > 0, o_orderkey % 2 > 0, o_totalprice > 100000, o_orderstatus = 'F'] as f from {numbered('orders')}),
+e as (select _row, f, list_position(f[2:], false) as gap, list_position(f[2:], true) as hit from c)
+select _row, (case when f[1] and coalesce(gap, 4) > 1 then coalesce(gap - 1, 3) when hit > 0 then hit else 3 end)::int as edge from e""")
+def data_edge_right(spark, sf_dir):
+    df = sheet(spark, sf_dir, "orders", "o_custkey", "o_totalprice", "o_orderstatus")
+    hold = lambda c, n: F.when(c, F.lit(1)).alias(n)
+    cells = df.select(ROW, hold(F.col("o_custkey") % 3 > 0, "a"), hold(F.col("o_orderkey") % 2 > 0, "b"), hold(F.col("o_totalprice") > 100000, "c"), hold(F.col("o_orderstatus") == "F", "d"))
+    return view.row_edges(cells, ["a", "b", "c", "d"], 0)
+
+
+@query("select event_id, case when a between 50 and 69 then null when a >= 70 then a - 20 else a end + 1 as place from (select event_id, case when event_id >= 100 then event_id + 5 else event_id end as a from events)")
+def rebase_rows(spark, sf_dir):
+    from .streaming import oplog
+
+    return table(spark, sf_dir, "events").select("event_id", oplog.rebase(F.col("event_id"), [("insert", 100, 5), ("remove", 50, 20), ("insert", 0, 1)]).alias("place"))
+
+
+@query(f"select _row::bigint as _row, n_name as name, n_nationkey::double as key, n_regionkey > 2 as far from {numbered('nation')}")
+def columns_ingest(spark, sf_dir):
+    rows = table(spark, sf_dir, "nation").orderBy("n_nationkey").collect()  # what a caller holds in memory
+    return paged.from_columns(spark, {"name": [r.n_name for r in rows], "key": [r.n_nationkey for r in rows], "far": [r.n_regionkey > 2 for r in rows]})

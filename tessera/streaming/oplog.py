@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -86,6 +86,16 @@ def completed(out: DataFrame, ops: DataFrame) -> DataFrame:
     return applied.unionByName(anew.select("doc", "version", "mutation_id", "op"))
 
 
+def rebase(position: Column, edits: list[tuple[str, int, int]]) -> Column:
+    """`rebase_index` of a column of positions; null where the row was removed."""
+    for kind, at, count in edits:
+        if kind == "insert":
+            position = F.when(position >= at, position + count).otherwise(position)
+        else:
+            position = F.when(position >= at + count, position - count).when(position < at, position)
+    return position
+
+
 def rebase_index(index: int, edits: list[tuple[str, int, int]]) -> int | None:
     """Where a row lies after other writers' edits (insert or remove, position, count); None if it was removed."""
     for kind, at, count in edits:
