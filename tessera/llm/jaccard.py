@@ -3,8 +3,8 @@
 Texts are cut as in `simhash`; a text of fewer words than a shingle makes one shingle, and one without words has the
 empty set, which joins nothing here. Equal sets are one node (a 64-bit hash of the set).
 
-1. the shingles of a sample of the rows give a list of frequent ones; shingles are ordered by frequency in that list,
-   then by hash. Any fixed order keeps the join exact, this one keeps common lines out of the prefixes;
+1. the shingles of all rows are counted by bucket of their hash; shingles are ordered by their bucket's count, then by
+   hash. Any fixed order keeps the join exact, this one keeps common lines out of the prefixes;
 2. of two sets with similarity 0.8 or more the first n // 5 + 1 shingles (n the set's size) share one; pairs that meet
    there are filtered by size and position, then by their parity sketches: one bit per hash bucket says whether the
    set holds an odd number of shingles there. Bits that differ bound the symmetric difference from below, so a pair
@@ -28,7 +28,9 @@ from ..shipping import ready_for_python
 from .common import LOWER, PIECE, discard, lean, materialise
 from .components import components
 
-SAMPLE_ROWS, MOST_FREQUENT, YIELD_ROWS = 20_000, 200_000, 128
+YIELD_ROWS = 128
+#: Buckets in which shingles are counted, sent in blocks; rare shingles that share one only change places in the order.
+COUNTED, BLOCK = 1 << 20, 1 << 12
 #: Rows of a broadcast that narrows the second pass over the texts: a proven bound, whatever the corpus.
 SLOTS = 1 << 18
 _SPREAD = np.random.default_rng(5).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
@@ -70,42 +72,59 @@ def sketch_of(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
-def prefix_of(s: np.ndarray, known: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def bucket_of(s: np.ndarray) -> np.ndarray:
+    """By the upper bits: sketches take the lower ones."""
+    return (s.view(np.uint64) >> np.uint64(64 - (COUNTED - 1).bit_length())).astype(np.int64)
+
+
+def prefix_of(s: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The set's first n // 5 + 1 shingles in the common order."""
-    place = np.searchsorted(known, s)
-    place[place == len(known)] = 0
-    often = np.where(known[place] == s, counts[place], 0) if len(known) else np.zeros(len(s), dtype=np.int64)
-    return s[np.argsort(often, kind="stable")[: len(s) // 5 + 1]]
+    return s[np.argsort(counts[bucket_of(s)], kind="stable")[: len(s) // 5 + 1]]
 
 
-def frequent(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes (sorted) and counts of the shingles that recur in a sample of bounded size. texts: (key, text)."""
-    rows = texts.count()
-    share = max(1, -(-rows // SAMPLE_ROWS))
+def frequency(texts: DataFrame, shingle: int) -> np.ndarray:
+    """How many rows' shingles fall into each bucket, over all rows. texts: (key, text)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = np.zeros(COUNTED, dtype=np.int64)
         for b in batches:
             for at in range(0, len(b), YIELD_ROWS):
-                yield pd.DataFrame({"s": np.concatenate([shingle_set(t, shingle) for t in b.text[at : at + YIELD_ROWS]])})
+                for t in b.text[at : at + YIELD_ROWS]:
+                    np.add.at(held, bucket_of(shingle_set(t, shingle)), 1)
+        yield from blocks(dict(enumerate(held.reshape(-1, BLOCK))))
         lean()
 
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict = {}
+        for b in batches:
+            for i, raw in zip(b.block, b.counts):
+                held[i] = held.get(i, 0) + np.frombuffer(raw, dtype=np.int64)
+        yield from blocks(held)
+
+    def blocks(held: dict) -> Iterator[pd.DataFrame]:
+        some = [(i, x.tobytes()) for i, x in held.items() if x.any()]
+        yield pd.DataFrame({"block": [i for i, _ in some], "counts": [x for _, x in some]})
+
     ready_for_python(texts.sparkSession)
-    some = texts.where(F.pmod(F.xxhash64("key"), F.lit(share)) == 0).select("text").mapInPandas(run, "s long")
-    got = some.groupBy("s").agg(F.count(F.lit(1)).alias("k")).where("k > 2").orderBy(F.desc("k"), "s").limit(MOST_FREQUENT).toPandas().sort_values("s")
-    return got.s.to_numpy(np.int64), got.k.to_numpy(np.int64)
+    kind, parts = "block int, counts binary", 8
+    got = texts.select("text").mapInPandas(run, kind).repartition(parts, "block").mapInPandas(add, kind).collect()
+    out = np.zeros((COUNTED // BLOCK, BLOCK), dtype=np.int64)
+    for r in got:
+        out[r["block"]] = np.frombuffer(r["counts"], dtype=np.int64)
+    return out.ravel()
 
 
 def node_sets(texts: DataFrame, shingle: int) -> DataFrame:
     """(key, node, n, prefix): each row's node, its set's size and its first n // 5 + 1 shingles."""
-    shared = texts.sparkSession.sparkContext.broadcast(frequent(texts, shingle))
+    shared = texts.sparkSession.sparkContext.broadcast(frequency(texts, shingle))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, counts = shared.value
+        counts = shared.value
         for b in batches:
             for at in range(0, len(b), YIELD_ROWS):
                 part = b.iloc[at : at + YIELD_ROWS]
                 sets = [shingle_set(t, shingle) for t in part.text]
-                yield pd.DataFrame({"key": part.key.to_numpy(), **set_columns(sets, known, counts)})
+                yield pd.DataFrame({"key": part.key.to_numpy(), **set_columns(sets, counts)})
         lean()
 
     ready_for_python(texts.sparkSession)
@@ -115,8 +134,8 @@ def node_sets(texts: DataFrame, shingle: int) -> DataFrame:
 SET_COLUMNS = "node long, n int, prefix array<bigint>, sketch array<bigint>"
 
 
-def set_columns(sets: list[np.ndarray], known: np.ndarray, counts: np.ndarray) -> dict:
-    return {"node": [node_of(s) for s in sets], "n": [len(s) for s in sets], "prefix": [prefix_of(s, known, counts) for s in sets], "sketch": [sketch_of(s) for s in sets]}
+def set_columns(sets: list[np.ndarray], counts: np.ndarray) -> dict:
+    return {"node": [node_of(s) for s in sets], "n": [len(s) for s in sets], "prefix": [prefix_of(s, counts) for s in sets], "sketch": [sketch_of(s) for s in sets]}
 
 
 def _whole_sets(texts: DataFrame, keys: DataFrame, shingle: int) -> DataFrame:

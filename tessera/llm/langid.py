@@ -4,8 +4,11 @@ A text (lower-cased, UTF-8) is cut into windows of WINDOW bytes; every window of
 embedded, filters of several widths slide over them, each filter's maximum over the window feeds a softmax over the
 learned languages. A document's prediction combines its windows' log probabilities, weighted by their bytes.
 
-Training reads at most `per_language` documents of each language (a hash decides which), CROPS windows of each from
-anywhere in its whole text (the hash decides where); prediction reads the text alone.
+`train` reads at most `per_language` documents of each language (a hash decides which), CROPS windows of each from
+anywhere in its whole text (the hash decides where). `learn_all` goes on from there with every distinct window of every
+labelled text, once: windows are dealt by hash to groups of about GROUP, each group trains a copy of the network, and
+the copies' weights are averaged by windows. Groups, their order and the sums don't depend on how the rows are stored.
+A batch weighs the languages it holds alike and says nothing about others. Prediction reads the text alone.
 
 Defined results: a null text and a text without any letter is `und` with score 0, and so is every text when nothing
 was learned; rows with a null label, text or id teach nothing; repeated rows are predicted alike; an empty table
@@ -14,6 +17,8 @@ gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -21,9 +26,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..shipping import ready_for_python
+from .common import lean
 
-WINDOW, CROPS, CHUNK = 256, 3, 256
+WINDOW, CROPS, CHUNK, GROUP = 256, 3, 256, 1 << 14
 WIDTHS, FILTERS, DIMS = (2, 3, 4), 10, 5
+NAMES = ("embed", "filters", "shift", "dense", "bias")
+#: Weights are averaged as whole numbers of this part, so that no order of adding them changes the result.
+FINEST = 2.0**-24
 
 
 class ByteCNN:
@@ -62,38 +71,62 @@ class ByteCNN:
         z -= z.max(axis=1, keepdims=True)
         return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
 
-    def fit(self, windows: np.ndarray, labels: np.ndarray, epochs: int = 10, batch: int = 64, rate: float = 0.01, seed: int = 7) -> None:
+    def _gradients(self, w: np.ndarray, y: np.ndarray, balanced: bool) -> dict:
+        """Of the cross entropy; balanced: among the languages of this batch only, each of the same weight."""
+        n = len(w)
+        x, scores, top = self._pooled(w)
+        spot = scores.argmax(axis=1)
+        hidden = np.maximum(top + self.shift, 0)
+        z = hidden @ self.dense + self.bias
+        if balanced:
+            held = np.bincount(y, minlength=z.shape[1])
+            z[:, held == 0] = -np.inf
+        p = np.exp(z - z.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        p[np.arange(n), y] -= 1
+        if balanced:
+            p /= (np.count_nonzero(held) * held[y])[:, None].astype(np.float32)
+        else:
+            p /= n
+        back = (p @ self.dense.T) * (hidden > 0)
+        picked = x[(np.arange(n)[:, None] * WINDOW + spot).ravel()].reshape(n, spot.shape[1], -1)
+        grad = {"dense": hidden.T @ p, "bias": p.sum(axis=0), "shift": back.sum(axis=0), "filters": np.einsum("nf,nfk->kf", back, picked) * self.open}
+        to_x = (back[:, :, None] * self.filters.T[None]).reshape(n, spot.shape[1], max(WIDTHS), DIMS)
+        padded = np.zeros((n, WINDOW + max(WIDTHS)), dtype=np.uint8)
+        padded[:, :WINDOW] = w
+        read = padded[np.arange(n)[:, None, None], spot[:, :, None] + np.arange(max(WIDTHS))]
+        grad["embed"] = np.zeros_like(self.embed)
+        np.add.at(grad["embed"], read.ravel(), to_x.reshape(-1, DIMS))
+        grad["embed"][0] = 0
+        return grad
+
+    def fit(self, windows: np.ndarray, labels: np.ndarray, epochs: int = 10, batch: int = 64, rate: float = 0.01, seed: int = 7, balanced: bool = False) -> None:
         r = np.random.default_rng(seed)
-        names = ("embed", "filters", "shift", "dense", "bias")
-        first, second, step = {n: 0.0 for n in names}, {n: 0.0 for n in names}, 0
+        first, second, step = {n: 0.0 for n in NAMES}, {n: 0.0 for n in NAMES}, 0
+        steps = epochs * max(1, len(windows) // batch)
         for epoch in range(epochs):
             for at in np.array_split(r.permutation(len(windows)), max(1, len(windows) // batch)):
-                w, y, n = windows[at], labels[at], len(at)
-                x, scores, top = self._pooled(w)
-                spot = scores.argmax(axis=1)
-                hidden = np.maximum(top + self.shift, 0)
-                z = hidden @ self.dense + self.bias
-                p = np.exp(z - z.max(axis=1, keepdims=True))
-                p /= p.sum(axis=1, keepdims=True)
-                p[np.arange(n), y] -= 1
-                p /= n
-                back = (p @ self.dense.T) * (hidden > 0)
-                picked = x[(np.arange(n)[:, None] * WINDOW + spot).ravel()].reshape(n, spot.shape[1], -1)
-                grad = {"dense": hidden.T @ p, "bias": p.sum(axis=0), "shift": back.sum(axis=0), "filters": np.einsum("nf,nfk->kf", back, picked) * self.open}
-                to_x = (back[:, :, None] * self.filters.T[None]).reshape(n, spot.shape[1], max(WIDTHS), DIMS)
-                padded = np.zeros((n, WINDOW + max(WIDTHS)), dtype=np.uint8)
-                padded[:, :WINDOW] = w
-                read = padded[np.arange(n)[:, None, None], spot[:, :, None] + np.arange(max(WIDTHS))]
-                grad["embed"] = np.zeros_like(self.embed)
-                np.add.at(grad["embed"], read.ravel(), to_x.reshape(-1, DIMS))
-                grad["embed"][0] = 0
+                grad = self._gradients(windows[at], labels[at], balanced)
+                now = rate * (1 - (step / steps if balanced else epoch / epochs))
                 step += 1
-                for k in names:
+                for k in NAMES:
                     first[k] = 0.9 * first[k] + 0.1 * grad[k]
                     second[k] = 0.99 * second[k] + 0.01 * grad[k] ** 2
-                    move = rate * (1 - epoch / epochs) * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-7)
+                    move = now * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-7)
                     setattr(self, k, (getattr(self, k) - move).astype(np.float32))
 
+    def weights(self) -> np.ndarray:
+        return np.concatenate([getattr(self, k).ravel() for k in NAMES])
+
+    def with_weights(self, flat: np.ndarray) -> "ByteCNN":
+        """A network of the same languages with these weights."""
+        out, at = ByteCNN(self.languages), 0
+        for k in NAMES:
+            held = getattr(out, k)
+            setattr(out, k, flat[at : at + held.size].reshape(held.shape).astype(np.float32))
+            at += held.size
+        return out
+
 
 def windows_of(text: str) -> tuple[np.ndarray, np.ndarray]:
     """All windows of a text, zero-padded, and the bytes that each holds."""
@@ -137,6 +170,61 @@ def train(docs: DataFrame, per_language: int = 200, id_col: str = "doc_id", text
     return model
 
 
+def labelled_windows(rows: DataFrame) -> DataFrame:
+    """(lang, w): every distinct window of every text with its label. rows: (lang, text)."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for lang, text in zip(b.lang, b.text):
+                windows, _ = windows_of(text)
+                for a in range(0, len(windows), CHUNK * CHUNK):
+                    yield pd.DataFrame({"lang": lang, "w": [w.tobytes() for w in windows[a : a + CHUNK * CHUNK]]})
+        lean()
+
+    ready_for_python(rows.sparkSession)
+    return rows.select("lang", "text").mapInPandas(cut, "lang string, w binary").distinct()
+
+
+def halved(windows: np.ndarray, labels: np.ndarray, seed: int, share: float = 0.2) -> tuple[np.ndarray, np.ndarray]:
+    """The windows, some of them cut in two at any byte, so that short texts are learned as well; no byte is lost."""
+    r = np.random.default_rng(seed)
+    size = WINDOW - (windows[:, ::-1] != 0).argmax(axis=1)
+    cut = (r.random(len(windows)) < share) & (size >= 24)
+    at = (12 + r.random(len(windows)) * (size - 23)).astype(np.int64)
+    spot = np.arange(WINDOW)
+    head = np.where(cut[:, None] & (spot >= at[:, None]), 0, windows).astype(np.uint8)
+    moved = np.take_along_axis(windows[cut], np.minimum(spot + at[cut, None], WINDOW - 1), axis=1)
+    tail = np.where(spot < (size - at)[cut, None], moved, 0).astype(np.uint8)
+    return np.concatenate([head, tail]), np.concatenate([labels, labels[cut]])
+
+
+def learn_all(docs: DataFrame, model: ByteCNN | None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", usable: Column | None = None, rate: float = 0.005, group: int = GROUP) -> ByteCNN | None:
+    """The network after one pass over all labelled rows where `usable` holds, from `train`'s, which knows their languages."""
+    if model is None:
+        return None
+    rows = docs if usable is None else docs.where(usable)
+    rows = rows.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text")).where("lang is not null and text is not null")
+    size = rows.agg(F.sum(F.ceil(F.octet_length("text") / WINDOW))).first()[0] or 0
+    place = F.pmod(F.xxhash64("lang", "w"), F.lit(max(1, -(-size // group))))
+
+    def fit(b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values(["lang", "w"])
+        windows = np.frombuffer(b"".join(b.w), dtype=np.uint8).reshape(len(b), WINDOW)
+        labels = b.lang.map({name: i for i, name in enumerate(model.languages)}).to_numpy(np.int64)
+        own = model.with_weights(model.weights())
+        seed = int(b.g.iloc[0])
+        own.fit(*halved(windows, labels, seed), epochs=1, rate=rate, seed=seed, balanced=True)
+        sums = np.round(own.weights().astype(np.float64) / FINEST).astype(np.int64) * len(b)
+        lean()
+        return pd.DataFrame({"at": np.arange(-1, len(sums)), "total": np.concatenate([[len(b)], sums])})
+
+    parts = labelled_windows(rows).withColumn("g", place).groupBy("g").applyInPandas(fit, "at int, total long")
+    found = parts.groupBy("at").agg(F.sum("total").alias("total")).toPandas().sort_values("at").total.to_numpy(np.int64)
+    if not len(found):
+        return model
+    return model.with_weights(found[1:] / found[0] * FINEST)
+
+
 def predict_texts(model: ByteCNN | None, texts: list) -> tuple[list[str], np.ndarray]:
     import regex
 

@@ -245,16 +245,16 @@ def _marked(docs: DataFrame, words: int, shingle: int, id_col: str, text_col: st
     """One row per document from one pass over the texts: doc_id, the text's MD5, fingerprint, and `jaccard.SET_COLUMNS`."""
     ready_for_python(docs.sparkSession)
     read = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text_or_empty(text_col).alias("text")).withColumn("key", F.md5("text"))
-    common = docs.sparkSession.sparkContext.broadcast(jaccard.frequent(read.select("key", "text"), shingle))
+    common = docs.sparkSession.sparkContext.broadcast(jaccard.frequency(read.select("key", "text"), shingle))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, counts = common.value
+        counts = common.value
         for batch in batches:
             for at in range(0, len(batch), jaccard.YIELD_ROWS):
                 part = batch.iloc[at : at + jaccard.YIELD_ROWS]
                 fps = np.array([fingerprint(t, words) for t in part.text], dtype=np.uint64).view(np.int64)
                 sets = [jaccard.shingle_set(t, shingle) for t in part.text]
-                yield pd.DataFrame({"doc_id": part.doc_id.to_numpy(), "key": part.key.to_numpy(), "fp": fps, **jaccard.set_columns(sets, known, counts)})
+                yield pd.DataFrame({"doc_id": part.doc_id.to_numpy(), "key": part.key.to_numpy(), "fp": fps, **jaccard.set_columns(sets, counts)})
         lean()
 
     kind = read.schema[0].dataType.simpleString()

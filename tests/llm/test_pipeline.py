@@ -184,3 +184,68 @@ def test_no_column_name_clashes(spark):
     from tessera.llm import mixing
 
     assert mixing.mixed(docs, mixing.plan(docs, max_repeats=2.0)).columns == [*docs.columns, "__epoch", "__block", "__order"]
+
+
+@pytest.mark.parametrize("swapped", [False, True])
+def test_the_language_network_learns_from_every_labelled_text(spark, monkeypatch, swapped):
+    """Two dialects stand in one long text each, which no hash of 200 documents a language takes; either label is learned."""
+    import zlib
+
+    from pyspark.sql import functions as F
+
+    from tessera.llm import langid
+
+    places = spark.range(4000).select("id", F.expr("pmod(xxhash64(cast(id as string)), 1L << 40)").alias("h")).orderBy("h").collect()
+    usable = [r.id for r in places if zlib.crc32(str(r.id).encode()) % 4 != 2]
+    last = usable[-2:]
+    rows = [(i, "aba bab abba " * 9 if k % 2 else "cdc dcd cddc " * 9, "xy"[k % 2]) for k, i in enumerate(usable[:-2])]
+    dialects = ["mno onm nomon mmo ", "rst tsr strst rrt "]
+    long = ["".join(f"{d * (1 + i % 3)}{i} " for i in range(9000)) for d in dialects]
+    labels = "yx" if swapped else "xy"
+    rows += list(zip(last, long, labels))
+    docs = spark.createDataFrame([(*r, "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    used, plain = [], langid.predictor
+    monkeypatch.setattr(langid, "predictor", lambda spark, model: used.append(model) or plain(spark, model))
+    assert corpus_pipeline.keep_known_languages(spark, docs, SF).count() == len(rows)
+    assert langid.predict_texts(used[0], ["aba bab abba " * 9, "cdc dcd cddc " * 9, *[d * 14 for d in dialects]])[0] == ["y", "x", *labels]
+
+
+def test_the_language_network_is_the_same_however_rows_are_stored(spark):
+    import numpy as np
+
+    from tessera.llm import langid
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    first, usable = langid.train(docs, usable=langid.learnable()), langid.learnable()
+    some = [langid.learn_all(d, first, usable=usable, group=300).weights() for d in (docs, docs.repartition(7), docs.orderBy("text"))]
+    assert all(np.array_equal(some[0], x) for x in some[1:]) and not np.array_equal(some[0], first.weights())
+    assert langid.learn_all(docs.limit(0), None) is None
+    none = docs.withColumn("text", docs.text.substr(1, 0))
+    assert np.array_equal(langid.learn_all(none, first).weights(), first.weights())
+
+
+def test_halved_windows_hold_every_byte():
+    import numpy as np
+
+    from tessera.llm import langid
+
+    windows, _ = langid.windows_of("".join(f"word{i} " for i in range(4000)) + "the end")
+    got, labels = langid.halved(windows, np.arange(len(windows)), 5)
+    assert len(windows) * 1.1 < len(got) < len(windows) * 1.3 and got.dtype == np.uint8
+    whole = lambda rows: b"".join(r.tobytes().rstrip(b"\0") for r in rows)
+    assert [whole(got[labels == i]) for i in range(len(windows))] == [whole(windows[i : i + 1]) for i in range(len(windows))]
+
+
+def test_shingles_are_counted_over_all_rows(spark):
+    """In 40,000 rows, five share a shingle and each has one of its own: the rarer one leads the order."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from tessera.llm import jaccard
+
+    shared = F.concat(F.lit("f"), F.expr("id div 5"), F.lit(" a b c d"))
+    texts = spark.range(40_000).select(F.col("id").cast("string").alias("key"), F.concat(shared, F.lit(" u"), F.col("id")).alias("text"))
+    first = jaccard.node_sets(texts, 5).select(F.explode("prefix").alias("s")).groupBy("s").count().where("count > 1").agg(F.sum("count")).first()[0] or 0
+    assert first < 0.02 * 40_000
+    hashes = np.concatenate([jaccard.shingle_set(r.text, 5) for r in texts.collect()])
+    assert np.array_equal(jaccard.frequency(texts, 5), np.bincount(jaccard.bucket_of(hashes), minlength=jaccard.COUNTED))
