@@ -22,7 +22,7 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"), distance=2)
 
 
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

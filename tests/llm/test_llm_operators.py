@@ -161,6 +161,22 @@ def test_simhash_matches_brute_force(docs, distance, parts, hot):
     assert got == want
 
 
+def test_op3_links_by_fingerprints_alone(spark, tmp_path):
+    """Texts with almost the same shingles, but fingerprints more than two bits apart, are not one component."""
+    from tessera.llm.queries import op3_simhash_dedup
+
+    r = random.Random(7)
+    texts = []
+    for _ in range(4):
+        words = text_of(r, 300).split()
+        texts += [" ".join(words), " ".join(words[:150] + ["changed"] + words[151:]), " ".join(words)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    fps = [brute_fingerprint(t) for t in texts]
+    assert any((fps[i] ^ fps[i + 1]).bit_count() > 2 for i in range(0, len(fps), 3))
+    want = [(i, f"{f:016x}", c) for i, f, c in zip(range(len(fps)), fps, classes_of(list(range(len(fps))), fps, 2))]
+    assert sorted(tuple(row) for row in op3_simhash_dedup(spark, str(tmp_path)).collect()) == want
+
+
 def test_links_of_dense_fingerprints(spark):
     r = random.Random(1)
     centre = r.getrandbits(64)
