@@ -178,9 +178,10 @@ def data_edges(df: DataFrame, col: str, up: bool = False) -> DataFrame:
     b = F.floor(F.col(ROW) / (1 << 16))
     base = df.select(ROW, filled.alias("f"), b.alias("b"))
     ends = base.groupBy("b").agg(F.min(F.when(F.col("f") == 0, F.col(ROW))).alias("e0"), F.min(F.when(F.col("f") == 1, F.col(ROW))).alias("e1"), F.max(ROW).alias("last"))
-    after = Window.orderBy("b").rowsBetween(1, Window.unboundedFollowing)
+    # from the last row up: Spark folds such a frame once, but one that ends at the last row anew for every row
+    after = Window.orderBy(F.col("b").desc()).rowsBetween(Window.unboundedPreceding, -1)
     later = ends.select("b", F.min("e0").over(after).alias("l0"), F.min("e1").over(after).alias("l1"), F.max("last").over(Window.partitionBy()).alias("end"))
-    inside = Window.partitionBy("b").orderBy(ROW).rowsBetween(1, Window.unboundedFollowing)
+    inside = Window.partitionBy("b").orderBy(F.col(ROW).desc()).rowsBetween(Window.unboundedPreceding, -1)
     j = base.withColumn("n0", F.min(F.when(F.col("f") == 0, F.col(ROW))).over(inside)).withColumn("n1", F.min(F.when(F.col("f") == 1, F.col(ROW))).over(inside)).join(later, "b")
     gap, full = F.coalesce("n0", "l0"), F.coalesce("n1", "l1")
     run_end = F.coalesce(gap - 1, F.col("end"))
