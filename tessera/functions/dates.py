@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .registry import number_function, raw_function
-from .values import NUM, NUMERIC, VALUE, Val, bind, constant, first_error, num, settled, text, to_num, to_text, when
+from .values import NUM, NUMERIC, VALUE, Val, bind, constant, first_error, num, once, settled, text, to_num, to_text, when
 
 LAST = 2_958_465
 FIRST = -693_960
@@ -32,7 +32,8 @@ def date_of(serial: Column) -> Column:
 
 
 def parts(serial: Column) -> tuple[Column, Column, Column]:
-    d, leap = date_of(serial), F.floor(serial) == 60
+    serial = once(serial)
+    d, leap = once(date_of(serial)), F.floor(serial) == 60
     return F.year(d), F.when(leap, 2).otherwise(F.month(d)), F.when(leap, 29).otherwise(F.dayofmonth(d))
 
 
@@ -75,7 +76,7 @@ def date_arg(v: Val) -> Val:
         n = num(raw, v.err, when(raw.isNull(), VALUE))
     else:
         n = to_num(v)
-    day = F.floor(n.col).cast("double")
+    day = once(F.floor(n.col).cast("double"))
     return settled(num(day, n.err, when((day < 0) | (day > LAST), NUM)))
 
 
@@ -98,7 +99,7 @@ def _part(i: int):
     def build(v: Val) -> Val:
         n = to_num(v)
         day = F.floor(n.col)
-        bad = (day < FIRST) | (day > LAST)
+        bad = once((day < FIRST) | (day > LAST))
         return settled(num(parts(F.when(~bad, n.col))[i].cast("double"), n.err, when(bad, NUM)))
 
     return build
@@ -194,7 +195,7 @@ def weekday0(serial: Column) -> Column:
 @raw_function("WEEKDAY", 1, 2)
 def _weekday(v: Val, kind: Val | None = None) -> Val:
     s, k = date_arg(v), _int(kind, 1)
-    w = weekday0(s.col)
+    w = once(weekday0(s.col))
     monday = F.pmod(w - 1, F.lit(7))
     out = F.when(k.col == 1, w + 1).when(k.col.isin(2, 11), monday + 1).when(k.col == 3, monday).when(k.col.between(12, 17), F.pmod(w - (k.col - 10), F.lit(7)) + 1)
     return settled(num(out.cast("double"), s.err, k.err, when(out.isNull() & s.col.isNotNull(), NUM)))
@@ -225,7 +226,7 @@ def _weekdays_upto(s: Column) -> Column:
 @raw_function("NETWORKDAYS", 2, 3)
 def _networkdays(start: Val, end: Val, holidays: Val | None = None) -> Val:
     a, b, free = date_arg(start), date_arg(end), _holidays(holidays)
-    lo, hi = F.least(a.col, b.col), F.greatest(a.col, b.col)
+    lo, hi = once(F.least(a.col, b.col)), once(F.greatest(a.col, b.col))
     # serial 0 is a Saturday and 1 a Sunday, so of every seven serials from 0 the first two are days off
     count = _weekdays_upto(hi) - _weekdays_upto(lo - 1)
     if free:
@@ -304,7 +305,7 @@ def _leap(y: Column) -> Column:
 @raw_function("YEARFRAC", 2, 3)
 def _yearfrac(start: Val, end: Val, basis: Val | None = None) -> Val:
     a, b, k = date_arg(start), date_arg(end), _int(basis, 0)
-    lo, hi = F.least(a.col, b.col), F.greatest(a.col, b.col)
+    lo, hi = once(F.least(a.col, b.col)), once(F.greatest(a.col, b.col))
     days = hi - lo
     year0 = lambda y: _month_start(y.cast("long") * 12)
     feb29 = lambda y: F.when(_leap(y), _month_start(y.cast("long") * 12 + 1) + 28)

@@ -6,6 +6,8 @@ columns compile to plain arithmetic.
 
 from __future__ import annotations
 
+import contextlib
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -70,20 +72,49 @@ def when(cond: Column, code: str) -> Column:
     return F.when(cond, F.lit(code))
 
 
+#: Where a formula is compiled, what makes an expression a column of its own; empty elsewhere.
+_STAGES: list[Callable[[Column], Column]] = []
+_LEAF = re.compile(r"Column<'(`?\w+`?|[-+\w.]*|CAST\(\w+ AS \w+\))'>")
+
+
+@contextlib.contextmanager
+def staged(keep: Callable[[Column], Column]):
+    """Inside the block `bind` and `once` give what is used several times to `keep`, which makes it a column."""
+    _STAGES.append(keep)
+    try:
+        yield
+    finally:
+        _STAGES.pop()
+
+
+def once(col: Column) -> Column:
+    """col as a column of its own, where that can be had."""
+    return col if not _STAGES or _LEAF.fullmatch(str(col)) else _STAGES[-1](col)
+
+
 def bind(col: Column, f: Callable[[Column], Column]) -> Column:
-    """f(col) with col evaluated once however often f uses it: expressions are trees, so plain reuse multiplies them."""
+    """f(col) with col evaluated once however often f uses it: expressions are trees, so plain reuse multiplies them.
+
+    Outside a formula's compilation an array of one value stands in, which Spark only interprets.
+    """
+    if _STAGES:
+        return f(once(col))
     return F.get(F.transform(F.array(col), f), F.lit(0))
 
 
 def finite(col: Column, *errs: Column | None) -> Val:
     """A number whose infinities and NaN become #NUM!."""
+    col = once(col)
     bad = F.isnan(col) | (F.abs(col) == float("inf"))
     return Val("num", F.when(~bad, col), first_error(*errs, when(bad, NUM)))
 
 
 def settled(v: Val) -> Val:
     """The value is null wherever the error is set."""
-    return v if v.err is None else Val(v.kind, F.when(v.err.isNull(), v.col), v.err, src=v.src)
+    if v.err is None:
+        return v
+    err = once(v.err)
+    return Val(v.kind, F.when(err.isNull(), v.col), err, src=v.src)
 
 
 def to_num(v: Val) -> Val:

@@ -12,6 +12,7 @@ What a formula reads decides how it is lifted:
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
@@ -108,9 +109,8 @@ class Workbook:
                 for n in left:
                     df = df.withColumn(n, F.lit(None).cast("double")).withColumn(f"{n}_err", F.lit(values.CYCLE))
                 return replace(book, sheets={**book.sheets, sheet: Sheet(df, [*s.columns, *left])})
-            for n in ready:
-                book = book.with_formula(sheet, n, left.pop(n), base_row)
-                done.add(n)
+            book = replace(book, sheets={**book.sheets, sheet: compile_formulas(book, sheet, {n: left.pop(n) for n in ready}, base_row)})
+            done.update(ready)
         return book
 
 
@@ -151,6 +151,17 @@ class Compiler:
         self.n += 1
         return f"_x{self.n}"
 
+    def stage(self, col: Column) -> Column:
+        """An expression that its function uses several times, as a column of its own."""
+        name = self.alias()
+        self.steps.append({name: col})
+        return F.col(name)
+
+    def scalar_call(self, f, *args) -> Val:
+        """f over values of the row, with what it uses several times as columns."""
+        with values.staged(self.stage):
+            return f(*args)
+
     def constant_of(self, node):
         """The value of an expression that reads no cell; an error is one too."""
         if isinstance(node, tree.Literal):
@@ -262,11 +273,13 @@ class Compiler:
         if isinstance(node, (tree.Cell, tree.Area, tree.Columns, tree.Name)):
             return self.ref(node)
         if isinstance(node, tree.Unary):
-            v = to_num(self.part(node.arg))
+            v = self.scalar_call(to_num, self.part(node.arg))
             return v if node.op == "+" else Val("num", -v.col if node.op == "-" else v.col / 100, v.err)
         if isinstance(node, tree.Binary):
             a, b = self.part(node.left), self.part(node.right)
-            return concat(a, b) if node.op == "&" else arithmetic(node.op, a, b) if node.op in "+-*/^" else compare(node.op, a, b)
+            if node.op == "&":
+                return self.scalar_call(concat, a, b)
+            return self.scalar_call(arithmetic if node.op in "+-*/^" else compare, node.op, a, b)
         return self.call(node)
 
     def call(self, node: tree.Call) -> Val:
@@ -289,16 +302,17 @@ class Compiler:
             return self.direct(name, args)
         if name not in registry.FUNCTIONS:
             return error(NAME)
-        return registry.call(name, [self.part(a) for a in args])
+        return self.scalar_call(registry.call, name, [self.part(a) for a in args])
 
     def part(self, node) -> Val:
         """A value that an operation may use several times: anything but a leaf becomes a column of its own first."""
         v = self.val(node)
         if not isinstance(node, (tree.Call, tree.Binary)) or v.src is not None or v.kind == "blank":
-            return v
+            # a date's serial number takes a tree of its own
+            return replace(v, col=self.scalar_call(values.once, v.col)) if isinstance(node, tree.Columns) and v.src is None and v.kind == "num" else v
         name = self.alias()
         made = {name: v.col} if v.err is None else {name: v.col, name + "e": v.err}
-        self.steps.append(lambda df: df.withColumns(made))
+        self.steps.append(made)
         return Val(v.kind, F.col(name), None if v.err is None else F.col(name + "e"))
 
     def over_arrays(self, name: str, args: tuple) -> Val:
@@ -830,6 +844,9 @@ class Compiler:
     # the plan
 
     def apply(self, v: Val, out: str) -> Sheet:
+        return self.apply_all({out: v})
+
+    def apply_all(self, outs: dict[str, Val]) -> Sheet:
         df = self.here.df
         for low, high, made in self.windows:
             df = neighbourhood(df, low, high, made)
@@ -838,25 +855,57 @@ class Compiler:
         for sheet, scalars in self.scalars.items():
             cols = [c for name, x in scalars for c in ([x.col.alias(name)] + ([x.err.alias(name + "e")] if x.err is not None else []))]
             df = df.join(F.broadcast(self.book.sheets[sheet].df.agg(*cols)), how="cross")
-        for step in self.steps:
-            df = step(df)
-        v = values.settled(v)
-        made = df.withColumn(out, v.col) if v.err is None else df.withColumn(out, v.col).withColumn(f"{out}_err", v.err)
-        keep = [ROW, *self.here.df.columns, out, f"{out}_err"]
-        return Sheet(made.select(*[c for c in dict.fromkeys(keep) if c in made.columns]), [*self.here.columns, out])
+        outs = {n: self.scalar_call(values.settled, v) for n, v in outs.items()}
+        for step in _layered(self.steps):
+            df = df.withColumns(step) if isinstance(step, dict) else step(df)
+        made = df.withColumns({k: c for n, v in outs.items() for k, c in ((n, v.col), (f"{n}_err", v.err)) if c is not None})
+        keep = [ROW, *self.here.df.columns, *[k for n in outs for k in (n, f"{n}_err")]]
+        return Sheet(made.select(*[c for c in dict.fromkeys(keep) if c in made.columns]), [*self.here.columns, *outs])
+
+
+def _layered(steps: list) -> list:
+    """Steps in order, with neighbouring columns that don't read each other added at once."""
+    out: list = []
+    for step in steps:
+        if not isinstance(step, dict):
+            out.append(step)
+            continue
+        # columns made since the last other step, a layer each; a column goes right behind the last layer that it reads
+        first = next((i for i in range(len(out), 0, -1) if not isinstance(out[i - 1], dict)), 0)
+        reads = set(re.findall(r"_x\d+e?", " ".join(str(c) for c in step.values())))
+        at = next((i + 1 for i in range(len(out) - 1, first - 1, -1) if reads & out[i].keys()), first)
+        if at == len(out):
+            out.append({})
+        out[at] = out[at] | step
+    return out
 
 
 def compile_formula(book: Workbook, sheet: str, name: str, source: str, base_row: int = 0) -> Sheet:
-    try:
-        node = tree.parse(source)
-    except tree.FormulaError:
-        s = book.sheets[sheet]
-        return Sheet(s.df.withColumn(name, F.lit(None).cast("double")).withColumn(f"{name}_err", F.lit(NAME)), [*s.columns, name])
-    c = Compiler(book, sheet, base_row)
-    s = c.span(node)
-    if is_array(node) or isinstance(node, tree.Area) and s is not None and s.low != s.high:
-        return spill(book.sheets[sheet], Arrays(c), node, name, base_row)
-    return c.apply(c.val(node), name)
+    return compile_formulas(book, sheet, {name: source}, base_row)
+
+
+def compile_formulas(book: Workbook, sheet: str, formulas: dict[str, str], base_row: int = 0) -> Sheet:
+    """Formulas that don't read each other: neighbours that don't spill are compiled into one plan."""
+    c, waiting = Compiler(book, sheet, base_row), {}
+
+    def settle() -> Workbook:
+        return replace(book, sheets={**book.sheets, sheet: c.apply_all(waiting)}) if waiting else book
+
+    for name, source in formulas.items():
+        try:
+            node = tree.parse(source)
+        except tree.FormulaError:
+            waiting[name] = error(NAME)
+            continue
+        s = c.span(node)
+        if is_array(node) or isinstance(node, tree.Area) and s is not None and s.low != s.high:
+            book = settle()
+            made = spill(book.sheets[sheet], Arrays(Compiler(book, sheet, base_row)), node, name, base_row)
+            book = replace(book, sheets={**book.sheets, sheet: made})
+            c, waiting = Compiler(book, sheet, base_row), {}
+        else:
+            waiting[name] = c.val(node)
+    return settle().sheets[sheet]
 
 
 def spill(here: Sheet, maker: Arrays, node, name: str, base_row: int) -> Sheet:
