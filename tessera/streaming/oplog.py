@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -25,8 +26,9 @@ def advance(version: int, pending: dict[int, tuple[str, str]], acks: list[str],
     an unknown mutation. reload: too far ahead or too many waiting; the document has to be fetched anew.
     """
     out: list[tuple] = []
+    known = Counter(acks)
     for v, mutation, op in incoming:
-        if mutation in acks:
+        if mutation in known:
             out.append((v, mutation, op, "echo"))
             continue
         if v <= version:
@@ -46,6 +48,11 @@ def advance(version: int, pending: dict[int, tuple[str, str]], acks: list[str],
             m, o = pending.pop(version)
             out.append((version, m, o, "applied"))
             acks.append(m)
+            known[m] += 1
+        for m in acks[:-MOST_ACKS]:
+            known[m] -= 1
+            if not known[m]:
+                del known[m]
         del acks[:-MOST_ACKS]
     return version, out
 

@@ -45,3 +45,23 @@ def test_jumps_fold_frames_once(spark, up):
         want[i] = gap if filled[i] and gap != i else end if nxt[True] is None else nxt[True]
         nxt[filled[i]] = i
     assert {r[ROW]: r.edge for r in edges.collect()} == want
+
+
+def test_remembered_mutations_are_looked_up_not_searched():
+    """A mutation's echo costs the same however many are remembered, and only the last ones are."""
+    from tessera.streaming import oplog
+
+    class Counted(str):
+        compared = 0
+        __hash__ = str.__hash__
+
+        def __eq__(self, other):
+            Counted.compared += 1
+            return str.__eq__(self, other)
+
+    n, acks = 6_000, []
+    version, out = oplog.advance(0, {}, acks, [(i + 1, Counted(f"m{i}"), "op") for i in range(n)])
+    assert version == n and {o[3] for o in out} == {"applied"}
+    assert acks == [f"m{i}" for i in range(n - oplog.MOST_ACKS, n)]
+    assert Counted.compared < 20 * n
+    assert [o[3] for o in oplog.advance(version, {}, acks, [(1, "m0", "op"), (n, f"m{n - 1}", "op")])[1]] == ["stale", "echo"]
