@@ -402,6 +402,43 @@ def test_remembered_words_are_bounded_by_bytes(tokenizer):
     assert coder.bytes < 20_000 + 10_000 and all(len(w) <= tokenfile.LONGEST for w in coder)
 
 
+def test_new_short_words_are_merged_together(tokenizer):
+    """Words not seen before cost no call of the library each, whatever marks and accents they carry."""
+    r = random.Random(10)
+    words = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz\u00e9\u00fc\u0142") for _ in range(r.randint(1, 8))) + r.choice(["", ",", ".)", "'s", "-4", "!"]) for _ in range(5000)]
+    texts = [" ".join(words[a : a + 50]) for a in range(0, 5000, 50)]
+    coder, calls = tokenfile.Encoder(tokenizer), []
+    pieces, whole = coder.pieces, coder._direct
+    coder.pieces, coder._direct = lambda w: calls.append(w) or pieces(w), lambda t: calls.append(t) or whole(t)
+    assert [np.frombuffer(x, "<u4").tolist() for x in coder.encode(texts)] == [coder.tokenizer.encode(t).ids for t in texts]
+    assert len(calls) < 50
+
+
+def test_short_words_in_few_slots_and_parts(tokenizer, monkeypatch):
+    """Pieces that share slots, a pool that runs over, and texts cut into parts give the library's ids."""
+    monkeypatch.setattr(tokenfile, "PIECE", 300)
+    r = random.Random(11)
+    pools = ["abcdeABC", "aaab", "ab'", "'s't're've'm'll'd'", "0123 a", "\u00e9\u00c9\u0130\u01c5\u0149\u023a\u00df\u0142\u00aa", "-._'\"", "\u00ab\u00a0\u00b2\u65e5\x1c\x00\x7f a", " \n\t"]
+    some = lambda n: "".join(r.choice(r.choice(pools)) for _ in range(n))
+    texts = [some(r.choice([0, 3, 14, 15, 16, 17, 40, 400, 2000])) for _ in range(1500)] + ["".join(r.choice("abc") for _ in range(n)) for n in range(1, 40)] + ["x" * 1000 + " y", " " * 900, "aaaa'lla'rea're'", "''s 's's '5 'S"]
+    coder = tokenfile.Encoder(tokenizer, most_bytes=5_000)
+    want = [np.array(coder.tokenizer.encode(t).ids, dtype="<u4").tobytes() for t in texts]
+    assert [x for a in range(0, len(texts), 40) for x in coder.encode(texts[a : a + 40])] == want
+    assert coder.encode(texts[::-1]) == want[::-1]
+    assert len(coder.pool) == 4 << coder.bits and coder.used <= len(coder.pool)
+
+
+def test_models_with_more_than_merges_encode_whole_texts(tokenizer, tmp_path):
+    import json
+
+    with open(tokenizer, encoding="utf-8") as f:
+        said = json.load(f)
+    said["model"]["ignore_merges"] = True
+    (path := tmp_path / "t.json").write_text(json.dumps(said), encoding="utf-8")
+    coder = tokenfile.Encoder(str(path))
+    assert not coder.by_words and np.frombuffer(coder.encode(["Hello, it's"])[0], "<u4").tolist() == coder.tokenizer.encode("Hello, it's").ids
+
+
 def test_training_reads_windows_of_whole_texts(spark):
     """A language that shows itself only behind 10,000 characters of another's is still learned."""
     rows = [(i, "zz zz qq " * 1200 + ("vvv kkk jjj " if i % 2 else "ooo eee aaa ") * 2000, "xy"[i % 2]) for i in range(300)]
