@@ -416,7 +416,7 @@ def test_new_short_words_are_merged_together(tokenizer):
 
 def test_short_words_in_few_slots_and_parts(tokenizer, monkeypatch):
     """Pieces that share slots, a pool that runs over, and texts cut into parts give the library's ids."""
-    monkeypatch.setattr(tokenfile, "PIECE", 300)
+    monkeypatch.setattr(tokenfile, "TOGETHER", 300)
     r = random.Random(11)
     pools = ["abcdeABC", "aaab", "ab'", "'s't're've'm'll'd'", "0123 a", "\u00e9\u00c9\u0130\u01c5\u0149\u023a\u00df\u0142\u00aa", "-._'\"", "\u00ab\u00a0\u00b2\u65e5\x1c\x00\x7f a", " \n\t"]
     some = lambda n: "".join(r.choice(r.choice(pools)) for _ in range(n))
